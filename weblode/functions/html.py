@@ -7,6 +7,7 @@ text and not as a tree, so an unclosed <a> runs to the next <a> or to the end of
 """
 
 import json
+from functools import lru_cache
 from html.entities import html5
 
 from pyspark.sql import Column, functions as F
@@ -45,14 +46,18 @@ def strip_hidden(html: Column) -> Column:
     return F.regexp_replace(html, _HIDDEN, " ")
 
 
+@lru_cache(None)
+def _names() -> str:
+    return json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";") and not set(v) & set("<>&\"'")})
+
+
 def expand_names(markup: Column) -> Column:
     """Named characters in their plain form, save those that could be read as markup.
 
     The latter keep their references; ``decode_entities`` resolves them once the markup has been
     taken apart. ``markup`` should be a plain column, it is named more than once.
     """
-    names = {k[:-1]: v for k, v in html5.items() if k.endswith(";") and not set(v) & set("<>&\"'")}
-    table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    table = F.from_json(F.lit(_names()), "map<string,string>")
     between = F.split(markup, _NAME)
     found = F.regexp_extract_all(markup, F.lit(_NAME), F.lit(1))
     expanded = F.array_join(F.zip_with(

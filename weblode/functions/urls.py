@@ -7,6 +7,7 @@ whose host cannot be parsed carries the message in ``error``.
 """
 
 import unicodedata
+from functools import lru_cache
 from urllib.parse import uses_params, uses_netloc, uses_relative
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,6 +21,7 @@ _RFC3986 = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?(
 _DOT_SEGMENT = r"(^|/)\.\.?(/|\z)"
 
 
+@lru_cache(None)
 def _unsafe_host_chars() -> str:
     """Characters whose compatibility form contains a URL delimiter."""
     return "".join(

@@ -42,6 +42,16 @@ def link_rows(extracted: DataFrame, keep: list) -> DataFrame:
         *keep, "pos", F.col("link.href").alias("href"), F.col("link.anchor").alias("anchor"))
 
 
+def explode_links(pages: DataFrame, keep: list, html: str = "html") -> DataFrame:
+    """``link_rows`` straight from page text.
+
+    The link array is not a column of its own here: Spark would then filter on its size first and
+    take every page apart twice.
+    """
+    rows = with_markup(pages.select(*keep, html), html).select(*keep, F.posexplode(H.links(F.col("markup"))).alias("pos", "link"))
+    return rows.select(*keep, "pos", F.col("link.href").alias("href"), F.col("link.anchor").alias("anchor"))
+
+
 def decode_pages(fetched: DataFrame, content: str = "content", out: str = "html") -> DataFrame:
     """Bytes of a fetch to text."""
     return fetched.withColumn(out, H.decode_content(content)).drop(content)

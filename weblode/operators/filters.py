@@ -11,9 +11,13 @@ CONFIG = ["max_depth", "max_pages", "allowed_domains", "url_pattern"]
 def resolve_links(links: DataFrame, base: str = "page_url", href: str = "href", out: str = "url") -> DataFrame:
     """Absolute, normalised target of each link in ``out`` and its parts in ``u``.
 
-    NULL marks a link that cannot be parsed. Base, href and target are each taken apart once.
+    A link that cannot be parsed has no target and is left out. It is left out by the generator
+    rather than by a filter: Spark would move a filter in front of the steps that compute the
+    target and so compute it again.
     """
-    return U.with_url_parts(U.with_resolved_url(links, base, href, out), out, "u")
+    resolved = U.with_resolved_url(links, base, href, out)
+    parsed = resolved.select(*links.columns, F.explode(F.array_compact(F.array(out))).alias(out))
+    return U.with_url_parts(parsed, out, "u")
 
 
 def with_config(df: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def extract_word_count(spark, sf):
 
 @query("extract_links", "SELECT page_id, pos, href, anchor FROM links", "links")
 def extract_links(spark, sf):
-    return X.link_rows(_extracted(spark, sf, "links"), ["page_id"]).select("page_id", big("pos"), "href", "anchor")
+    return X.explode_links(D.pages(spark, sf), ["page_id"]).select("page_id", big("pos"), "href", "anchor")
 
 
 @query("links_per_page", "SELECT page_id, CAST(len(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS BIGINT) AS links_found FROM pages")
@@ -465,3 +465,347 @@ def crawl_levels(spark, sf):
 WHERE j.status <> 'stopped'""", "pending jobs")
 def job_clear(spark, sf):
     return Q.live_frontier(_pending(spark, sf), D.jobs(D.events(spark, sf))).select("job_id", "url", "depth", "discovered_seq")
+
+
+# Event log --------------------------------------------------------------------------------------
+
+@query("event_history", """SELECT seq, job_id, event_type, url FROM (SELECT * FROM crawl_events WHERE seq >= 100 ORDER BY seq LIMIT 500) h
+WHERE job_id = 'job-1'""", "crawl_events")
+def event_history(spark, sf):
+    return E.history(log(spark, sf), "job-1", start=100).select("seq", "job_id", "event_type", "url")
+
+
+def _wire(spark, sf) -> DataFrame:
+    """The log as flat maps; one event type in ten thousand values is not known, some codes are not numbers."""
+    rows = log(spark, sf).withColumnRenamed("ts", "timestamp").withColumn("event_id", F.concat(F.lit("e"), F.col("seq").cast("string")))
+    flat = event_log.encode_events(rows, keep=("seq",))
+    broken = F.when(F.col("seq") % 50 == 3, F.map_from_arrays(F.array(F.lit("event_type")), F.array(F.lit("url_bogus")))).when(
+        F.col("seq") % 50 == 4, F.map_from_arrays(F.array(F.lit("depth")), F.array(F.lit("deep")))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    merged = F.map_zip_with("data", broken, lambda k, a, b: F.coalesce(b, a))
+    return flat.withColumn("data", merged)
+
+
+@query("event_decode", """SELECT seq, concat('e', seq) AS event_id, event_type, job_id, ts AS timestamp, url, depth, status_code, content_length,
+  fetch_duration_ms, status, discard_reason, m_frontier::DOUBLE AS frontier_depth FROM crawl_events WHERE seq % 50 NOT IN (3, 4)""", "crawl_events")
+def event_decode(spark, sf):
+    good = event_log.valid_events(event_log.decode_events(_wire(spark, sf), keep=("seq",)))
+    return good.select("seq", "event_id", "event_type", "job_id", "timestamp", "url", "depth", "status_code", "content_length",
+                       "fetch_duration_ms", "status", "discard_reason", F.col("metrics")["frontier_depth"].alias("frontier_depth"))
+
+
+@query("event_decode_rejects", """SELECT seq, CASE seq % 50 WHEN 3 THEN 'event_type unknown' ELSE 'depth malformed' END AS error
+FROM crawl_events WHERE seq % 50 IN (3, 4)""", "crawl_events")
+def event_decode_rejects(spark, sf):
+    return event_log.invalid_events(event_log.decode_events(_wire(spark, sf), keep=("seq",))).select("seq", "error")
+
+
+@query("event_encode", """SELECT seq, CAST(10 + (event_type = 'url_queued')::INT * 2 + (status_code IS NOT NULL)::INT * 2 + (links_found IS NOT NULL)::INT
+    + (content_length IS NOT NULL)::INT + (fetch_duration_ms IS NOT NULL)::INT + (discard_reason IS NOT NULL)::INT * 2
+    + (coalesce(m_queued, m_frontier, m_done) IS NOT NULL)::INT AS BIGINT) AS fields,
+  CAST(depth AS VARCHAR) AS depth, CAST(content_length AS VARCHAR) AS content_length, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, url
+FROM crawl_events""", "crawl_events")
+def event_encode(spark, sf):
+    flat = event_log.encode_events(log(spark, sf).withColumnRenamed("ts", "timestamp").withColumn("event_id", F.col("seq").cast("string")), keep=("seq",))
+    value = lambda name: F.col("data")[name].alias(name)
+    return flat.select("seq", big(F.size("data"), "fields"), value("depth"), value("content_length"), value("timestamp"), value("url"))
+
+
+@query("event_retention", "SELECT seq, job_id, event_type FROM crawl_events ORDER BY seq DESC LIMIT 5000", "crawl_events")
+def event_retention(spark, sf):
+    return E.retain_latest(log(spark, sf), 5000).select("seq", "job_id", "event_type")
+
+
+_STATE = "job_id, url, parent_url, depth, status, status_code, content_type, links_found, fetch_duration_ms, discard_reason, discard_detail, worker_id, ts, seq"
+
+
+@query("url_state", f"SELECT {_STATE} FROM url_state", "url_state")
+def url_state(spark, sf):
+    return E.url_state(log(spark, sf))
+
+
+@query("url_state_fetch_stage", "SELECT job_id, url, status, depth, discard_reason, seq FROM url_state_fetch", "url_state_fetch")
+def url_state_fetch_stage(spark, sf):
+    return E.url_state(log(spark, sf), ignore_link_stage=True).select("job_id", "url", "status", "depth", "discard_reason", "seq")
+
+
+@query("live_graph_nodes", """SELECT c.job_id, c.url, regexp_extract(c.url, '^[a-z]+://(.*)$', 1) AS label,
+  CAST(arg_min(depth, seq) AS INT) AS depth, arg_max(status, seq) AS status,
+  CAST(arg_max(CASE WHEN before IS NULL OR before <> status THEN status_code END, CASE WHEN status_code IS NOT NULL AND (before IS NULL OR before <> status) THEN seq END) AS INT) AS status_code
+FROM (SELECT *, lag(status) OVER (PARTITION BY job_id, url ORDER BY seq) AS before FROM crawl_events) c GROUP BY c.job_id, c.url""", "crawl_events")
+def live_graph_nodes(spark, sf):
+    return E.live_graph_nodes(log(spark, sf))
+
+
+@query("live_graph_edges", """SELECT job_id, source_url AS source, target_url AS target, min(seq) AS first_seq FROM crawl_events
+WHERE event_type = 'url_queued' GROUP BY ALL""", "crawl_events")
+def live_graph_edges(spark, sf):
+    return E.live_graph_edges(log(spark, sf))
+
+
+@query("discard_feed", """SELECT job_id, seq, url, discard_reason FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn
+FROM crawl_events WHERE event_type = 'url_discarded') d WHERE rn <= 300""", "crawl_events")
+def discard_feed(spark, sf):
+    return E.discard_feed(log(spark, sf), 300).select("job_id", "seq", "url", "discard_reason")
+
+
+@query("event_feed", """SELECT job_id, seq, event_type, url FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn
+FROM crawl_events) d WHERE rn <= 200""", "crawl_events")
+def event_feed(spark, sf):
+    return E.feed(log(spark, sf)).select("job_id", "seq", "event_type", "url")
+
+
+@query("event_labels", """SELECT seq, CASE event_type WHEN 'url_queued' THEN '→ QUEUE' WHEN 'url_fetching' THEN '⟳ FETCH' WHEN 'url_fetched' THEN '✓ FETCH'
+    WHEN 'url_stored' THEN '✓ STORE' ELSE '✗ DISCARD' END AS event_label,
+  CASE discard_reason WHEN 'duplicate' THEN 'DUP' WHEN 'max_depth' THEN 'DEPTH' WHEN 'robots_txt' THEN 'ROBOTS' WHEN 'http_error' THEN 'HTTP'
+    WHEN 'wrong_domain' THEN 'DOMAIN' END AS reason_label FROM crawl_events""", "crawl_events")
+def event_labels(spark, sf):
+    return E.event_labels(log(spark, sf)).select("seq", "event_label", "reason_label")
+
+
+@query("url_timeline", """SELECT job_id, key_url, seq FROM (SELECT *, row_number() OVER (PARTITION BY job_id, key_url ORDER BY seq DESC) AS rn FROM (
+  SELECT job_id, url AS key_url, seq FROM crawl_events UNION ALL
+  SELECT job_id, source_url, seq FROM crawl_events WHERE source_url <> url) k) r WHERE rn <= 30""", "crawl_events")
+def url_timeline(spark, sf):
+    return E.url_timeline(log(spark, sf)).select("job_id", "key_url", "seq")
+
+
+@query("crawl_rate", """SELECT job_id, seq, ts, rate FROM (
+  SELECT job_id, seq, ts, coalesce(1e6::DOUBLE / nullif(epoch_us(ts) - lag(epoch_us(ts)) OVER w, 0), 0.0) AS rate,
+    row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS rn FROM crawl_events WHERE event_type = 'url_stored'
+  WINDOW w AS (PARTITION BY job_id ORDER BY ts, seq)) r WHERE rn <= 120""", "crawl_events")
+def crawl_rate(spark, sf):
+    return E.crawl_rate(log(spark, sf))
+
+
+@query("active_domains", "SELECT job_id, domain, active_worker FROM active", "active")
+def active_domains(spark, sf):
+    return E.active_domains(log(spark, sf))
+
+
+# Metrics ----------------------------------------------------------------------------------------
+
+@query("job_metrics", "SELECT * FROM job_metrics", "job_metrics")
+def job_metrics(spark, sf):
+    return M.job_metrics(log(spark, sf))
+
+
+@query("frontier_size", """SELECT j.job_id, count(p.url) AS size, count(p.url) = 0 AS is_empty FROM jobs j LEFT JOIN pending p ON j.job_id = p.job_id
+GROUP BY j.job_id""", "jobs pending")
+def frontier_size(spark, sf):
+    return M.frontier_size(_pending(spark, sf), D.jobs(D.events(spark, sf)))
+
+
+_LIVE_SQL = """SELECT c.job_id,
+  CAST(coalesce(arg_max(c.m_queued, CASE WHEN c.m_queued IS NOT NULL THEN c.seq END), 0) + count(*) FILTER (event_type = 'url_queued' AND c.seq > coalesce(r.q, -1)) AS BIGINT) AS queued_total,
+  CAST(coalesce(arg_max(c.m_done, CASE WHEN c.m_done IS NOT NULL THEN c.seq END), 0) + count(*) FILTER (event_type = 'url_stored' AND c.seq > coalesce(r.d, -1)) AS BIGINT) AS done,
+  count(*) FILTER (event_type = 'url_discarded') AS discarded, count(*) FILTER (event_type = 'url_error') AS error,
+  CAST(coalesce(arg_max(c.m_frontier, CASE WHEN c.m_frontier IS NOT NULL THEN c.seq END), 0) AS BIGINT) AS frontier_depth
+FROM crawl_events c JOIN (SELECT job_id, max(CASE WHEN m_queued IS NOT NULL THEN seq END) AS q, max(CASE WHEN m_done IS NOT NULL THEN seq END) AS d
+  FROM crawl_events GROUP BY job_id) r ON c.job_id = r.job_id GROUP BY c.job_id"""
+
+
+@query("live_metrics", _LIVE_SQL, "crawl_events")
+def live_metrics(spark, sf):
+    return M.live_metrics(log(spark, sf))
+
+
+@query("domain_stats", "SELECT * FROM domain_stats", "domain_stats")
+def domain_stats(spark, sf):
+    return M.domain_stats(log(spark, sf))
+
+
+@query("domain_summary", """SELECT job_id, count(*) AS domains, count(active_worker) AS active, count(DISTINCT queue_shard) AS shards_used,
+  CAST(sum(done) AS BIGINT) AS done, CAST(sum(queued) AS BIGINT) AS queued FROM domain_stats GROUP BY job_id""", "domain_stats")
+def domain_summary(spark, sf):
+    return M.domain_summary(M.domain_stats(log(spark, sf)))
+
+
+@query("shard_heatmap", """SELECT j.job_id, CAST(s.shard AS INT) AS queue_shard, count(d.domain) AS domains, count(d.active_worker) > 0 AS has_active
+FROM (SELECT DISTINCT job_id FROM domain_stats) j CROSS JOIN (SELECT unnest(range(16)) AS shard) s
+LEFT JOIN domain_stats d ON d.job_id = j.job_id AND d.queue_shard = s.shard GROUP BY ALL""", "domain_stats")
+def shard_heatmap(spark, sf):
+    return M.shard_heatmap(M.domain_stats(log(spark, sf)))
+
+
+@query("queue_depths", f"""SELECT CAST(s.shard AS INT) AS queue_shard, concat('crawl.', s.shard) AS queue_name, count(p.url) AS pending
+FROM (SELECT unnest(range(16)) AS shard) s LEFT JOIN pending p ON {_SHARD.format(c='p.domain')} = s.shard GROUP BY s.shard""", "pending")
+def queue_depths(spark, sf):
+    return M.queue_depths(_pending(spark, sf))
+
+
+@query("url_status_counts", """SELECT s.job_id, count(*) AS "all", count(*) FILTER (status = 'done') AS done,
+  count(*) FILTER (status IN ('fetching', 'parsing')) AS fetching, any_value(d.n) AS discarded, count(*) FILTER (status = 'error') AS error
+FROM url_state s JOIN (SELECT job_id, count(*) AS n FROM crawl_events WHERE event_type = 'url_discarded' GROUP BY job_id) d ON s.job_id = d.job_id
+GROUP BY s.job_id""", "url_state")
+def url_status_counts(spark, sf):
+    events = log(spark, sf)
+    return M.url_status_counts(E.url_state(events), events)
+
+
+@query("success_rate", """SELECT job_id, CAST(CASE WHEN done + discarded + error > 0 THEN floor(100.0::DOUBLE * done / (done + discarded + error) + 0.5)
+  ELSE 0 END AS BIGINT) AS success_rate FROM job_metrics""", "job_metrics")
+def success_rate(spark, sf):
+    return M.success_rate(M.job_metrics(log(spark, sf)))
+
+
+@query("worker_stats", """SELECT worker_id, count(*) FILTER (event_type = 'url_stored') AS urls_processed, count(*) FILTER (event_type = 'url_error') AS errors,
+  CAST(coalesce(sum(content_length) FILTER (event_type = 'url_stored'), 0) AS BIGINT) AS bytes_downloaded, arg_max(status, seq) AS last_status,
+  max(ts) AS last_heartbeat FROM crawl_events GROUP BY worker_id""", "crawl_events")
+def worker_stats(spark, sf):
+    return M.worker_stats(log(spark, sf))
+
+
+@query("feed_counts", "SELECT job_id, count(*) AS events FROM crawl_events GROUP BY job_id", "crawl_events")
+def feed_counts(spark, sf):
+    return M.feed_counts(log(spark, sf))
+
+
+@query("job_latency", """SELECT job_id, floor(sum(fetch_duration_ms) * 10 + 0.5) / 10 AS latency_sum FROM crawl_events WHERE event_type = 'url_stored'
+GROUP BY job_id""", "crawl_events")
+def job_latency(spark, sf):
+    return M.job_latency(log(spark, sf)).withColumn("latency_sum", M.half_up(F.col("latency_sum"), 1))
+
+
+@query("job_status_fold", """SELECT j.job_id, coalesce(e.status, j.status) AS status FROM jobs j LEFT JOIN (
+  SELECT user_id, CASE arg_max(event_type, event_id) WHEN 'signup' THEN 'running' ELSE 'completed' END AS status FROM events
+  WHERE event_type IN ('signup', 'purchase') GROUP BY user_id) e ON j.user_id = e.user_id""", "jobs")
+def job_status_fold(spark, sf):
+    raw = D.events(spark, sf)
+    return M.job_status(D.jobs(raw), D.job_events(raw))
+
+
+@query("job_overview", """SELECT j.job_id, j.name, j.status, coalesce(m.queued_total, j.urls_queued) AS urls_queued,
+  coalesce(m.done, j.urls_fetched) AS urls_fetched, coalesce(m.discarded, j.urls_discarded) AS urls_discarded,
+  coalesce(a.bytes, 0) AS bytes_downloaded, floor(coalesce(a.stored / a.seconds, 0.0) * 1e9::DOUBLE + 0.5) / 1e9::DOUBLE AS pages_per_second
+FROM jobs j LEFT JOIN job_metrics m ON j.job_id = m.job_id LEFT JOIN (
+  SELECT job_id, CAST(sum(content_length) FILTER (event_type = 'url_stored') AS BIGINT) AS bytes, count(*) FILTER (event_type = 'url_stored') AS stored,
+    (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6::DOUBLE AS seconds FROM crawl_events GROUP BY job_id) a ON j.job_id = a.job_id""", "jobs job_metrics")
+def job_overview(spark, sf):
+    out = M.job_overview(D.jobs(D.events(spark, sf)), log(spark, sf))
+    return out.withColumn("pages_per_second", M.half_up(F.col("pages_per_second"), 9))
+
+
+@query("worker_liveness", """SELECT worker_id, max(ts) AS last_heartbeat, epoch_us(max(ts)) >= (SELECT max(epoch_us(ts)) FROM crawl_events) - 900000000 AS alive
+FROM crawl_events GROUP BY worker_id""", "crawl_events")
+def worker_liveness(spark, sf):
+    return M.worker_liveness(log(spark, sf), ttl_seconds=900)
+
+
+_SESSIONS = """SELECT worker_id, min(ts) AS first_beat, max(ts) AS last_beat, count(*) AS beats FROM (
+  SELECT *, sum(starts) OVER (PARTITION BY worker_id ORDER BY ts, seq) AS session FROM (
+    SELECT worker_id, ts, seq, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY worker_id ORDER BY ts, seq) < 3600000000 THEN 0 ELSE 1 END AS starts
+    FROM crawl_events) b) s GROUP BY worker_id, session"""
+
+
+@query("worker_sessions", _SESSIONS, "crawl_events")
+def worker_sessions(spark, sf):
+    return M.worker_sessions(log(spark, sf), gap_seconds=3600)
+
+
+# Views ------------------------------------------------------------------------------------------
+
+_PAGE = "url, parent_url, depth, status_code, title, content_type, links_found, fetch_duration_ms, fetched_at"
+
+
+def _stored(spark, sf):
+    return D.stored_pages(D.pages(spark, sf))
+
+
+@query("pages_page", f"""SELECT job_id, {_PAGE} FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY fetched_at DESC, url) AS rn FROM stored) p
+WHERE rn > 10 AND rn <= 60""", "stored")
+def pages_page(spark, sf):
+    return V.pages_page(_stored(spark, sf), n=50, offset=10)
+
+
+def _discard_rows(spark, sf):
+    return log(spark, sf).where(F.col("event_type") == "url_discarded").select(
+        "job_id", "url", "parent_url", "depth", F.col("discard_reason").alias("reason"), F.col("discard_detail").alias("detail"),
+        F.col("ts").alias("discarded_at"), "seq")
+
+
+@query("discards_page", """SELECT job_id, url, parent_url, depth, discard_reason AS reason, discard_detail AS detail, ts AS discarded_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS rn FROM crawl_events WHERE discard_reason = 'robots_txt') d
+WHERE rn <= 100""", "crawl_events")
+def discards_page(spark, sf):
+    return V.discards_page(_discard_rows(spark, sf), reason="robots_txt").drop("seq")
+
+
+@query("jobs_list", "SELECT job_id, name, status, created_at FROM jobs ORDER BY created_at DESC, job_id", "jobs")
+def jobs_list(spark, sf):
+    return V.jobs_list(D.jobs(D.events(spark, sf))).select("job_id", "name", "status", "created_at")
+
+
+@query("graph_nodes", """SELECT job_id, url AS id, concat(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), substr(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), 1, 40)) AS label,
+  depth, 'done' AS status, status_code, title FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY fetched_at, url) AS rn FROM stored) p
+WHERE rn <= 500""", "stored")
+def graph_nodes(spark, sf):
+    return V.graph_nodes(_stored(spark, sf))
+
+
+@query("graph_edges", """SELECT job_id, parent_url AS source, url AS target FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY fetched_at, url) AS rn FROM stored) p
+WHERE rn <= 500 AND parent_url <> url""", "stored")
+def graph_edges(spark, sf):
+    return V.graph_edges(_stored(spark, sf))
+
+
+@query("url_detail", """SELECT k.job_id, k.url, CASE WHEN s.seq IS NOT NULL THEN 'entry' ELSE 'discard' END AS found_in,
+  coalesce(s.status, 'discarded') AS status, CASE WHEN s.seq IS NOT NULL THEN s.depth ELSE d.depth END AS depth,
+  CASE WHEN s.seq IS NOT NULL THEN s.discard_reason ELSE d.discard_reason END AS discard_reason, coalesce(s.seq, d.seq) AS seq
+FROM (SELECT DISTINCT job_id, url FROM crawl_events) k LEFT JOIN url_state_fetch s ON k.job_id = s.job_id AND k.url = s.url
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY job_id, url ORDER BY seq DESC) AS rn FROM crawl_events WHERE event_type = 'url_discarded') d
+  ON k.job_id = d.job_id AND k.url = d.url AND d.rn = 1""", "url_state_fetch")
+def url_detail(spark, sf):
+    events = log(spark, sf)
+    return V.url_detail(events.select("job_id", "url").distinct(), events)
+
+
+@query("robots_as_of", """SELECT p.event_id AS seq, max(s.at_us) AS snap_us, max(s.at_us) IS NULL AS needs_refresh FROM (
+  SELECT event_id, user_id % 40 AS host, epoch_us(ts) AS at_us FROM events WHERE event_type = 'view') p LEFT JOIN (
+  SELECT user_id % 40 AS host, epoch_us(ts) AS at_us FROM events WHERE event_type = 'signup') s
+  ON p.host = s.host AND s.at_us <= p.at_us AND p.at_us - s.at_us < 3600000000 GROUP BY p.event_id""")
+def robots_as_of(spark, sf):
+    raw = D.events(spark, sf)
+    return V.robots_as_of(D.robots_probes(raw), D.robots_snapshots(raw)).select("seq", "snap_us", "needs_refresh")
+
+
+# Stored tables ----------------------------------------------------------------------------------
+
+@query("store_pages", "SELECT sha256(concat(job_id, chr(10), url)) AS id, job_id, url, depth, title, links_found, content_length FROM stored", "stored")
+def store_pages(spark, sf):
+    path = scratch_path(spark, "pages")
+    pages = _stored(spark, sf)
+    store.append_pages(pages, path)
+    store.append_pages(pages.withColumn("title", F.lit("stored again")), path)
+    return store.read_pages(spark, path).select("id", "job_id", "url", "depth", "title", "links_found", "content_length")
+
+
+@query("store_discards", "SELECT job_id, url, depth, reason, detail FROM fetch_outcomes WHERE reason IS NOT NULL", "fetch_outcomes")
+def store_discards(spark, sf):
+    path = scratch_path(spark, "discards")
+    out = D.fetch_outcomes(D.pages(spark, sf)).where(F.col("reason").isNotNull())
+    store.append_discards(out.select(*L.DISCARD_COLUMNS), path)
+    return spark.read.parquet(path).select("job_id", "url", "depth", "reason", "detail")
+
+
+@query("store_links", """SELECT job_id, sha256(concat(job_id, chr(10), page_url)) AS source_id, url AS target_url, anchor AS anchor_text FROM links""", "links")
+def store_links(spark, sf):
+    path = scratch_path(spark, "links")
+    store.append_links(_judged(spark, sf), path)
+    return spark.read.parquet(path).select("job_id", "source_id", "target_url", "anchor_text")
+
+
+@query("crawl_step", """SELECT job_id, url, reason, discard_stage FROM (
+  SELECT job_id, url, reason, 'fetch' AS discard_stage FROM fetch_outcomes WHERE reason IS NOT NULL
+  UNION ALL SELECT l.job_id, l.url, coalesce(l.reason, CASE WHEN l.rn > 1 THEN 'duplicate' WHEN l.place > j.max_pages THEN 'max_pages' ELSE 'queued' END), 'link' FROM (
+    SELECT *, row_number() OVER (PARTITION BY job_id, reason IS NULL, rn = 1 ORDER BY depth, page_id, pos) AS place FROM (
+      SELECT l.*, row_number() OVER (PARTITION BY l.job_id, l.url, l.reason IS NULL ORDER BY l.depth, l.page_id, l.pos) AS rn
+      FROM judged_links l JOIN fetch_outcomes f ON l.page_id = f.page_id AND f.reason IS NULL) a) l LEFT JOIN jobs j ON l.job_id = j.job_id) t""",
+       "judged_links fetch_outcomes")
+def crawl_step(spark, sf):
+    pages = D.pages(spark, sf)
+    out = crawl.crawl_step(D.fetches(pages), D.robots(pages), D.job_settings(D.events(spark, sf)), D.SUFFIXES)
+    queued = out["frontier"].select("job_id", "url", F.lit("queued").alias("reason"), F.lit("link").alias("discard_stage"))
+    return out["discards"].select("job_id", "url", "reason", "discard_stage").unionByName(queued)
+
+
+from weblode.plans import catalog_streams  # noqa: E402,F401  (registers the streaming queries)

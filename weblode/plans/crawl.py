@@ -18,8 +18,7 @@ def classified_links(occurrences: DataFrame, jobs: DataFrame, suffixes) -> DataF
     One narrow stage apart from the join with the job settings. A link that cannot be parsed has
     no URL and is left out, as nothing can be said about it.
     """
-    resolved = resolve_links(occurrences).where(F.col("url").isNotNull())
-    judged = classify_urls(with_config(resolved, jobs), suffixes)
+    judged = classify_urls(with_config(resolve_links(occurrences), jobs), suffixes)
     keep = ["job_id", "url", "depth", "parent_seq", "pos", "anchor", "reason", "detail"]
     return judged.select(*keep, F.col("page_url").alias("parent_url"), F.col("u.netloc").alias("domain"))
 

@@ -7,7 +7,7 @@ named. The same definitions are written in SQL in ``oracle.py``.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weblode.functions import urls as U
-from weblode.operators.extract import extract_pages, link_rows
+from weblode.operators.extract import explode_links, extract_pages
 from weblode.operators.filters import classify_fetches, robots_rules, robots_verdict
 
 SUFFIXES = ["com", "net", "org"]
@@ -133,8 +133,7 @@ def link_graph(pages: DataFrame) -> DataFrame:
 
 def link_occurrences(pages: DataFrame) -> DataFrame:
     """Every link of every page, with the job and depth its target would have."""
-    found = extract_pages(fetches(pages).select("page_id", "job_id", "url", "depth", "html"), fields=("links",))
-    rows = link_rows(found, ["page_id", "job_id", "url", "depth"])
+    rows = explode_links(fetches(pages), ["page_id", "job_id", "url", "depth"])
     return rows.select("page_id", "job_id", F.col("url").alias("page_url"), (F.col("depth") + 1).alias("depth"),
                        "pos", "href", "anchor", F.col("page_id").alias("parent_seq"))
 
