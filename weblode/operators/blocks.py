@@ -48,6 +48,16 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str, limit_bytes: int = 256 << 20) -> DataFrame:
+    """Deal a small table out to all cores before costly work on its rows.
+
+    A table of a few row groups would keep one core busy. A larger one has splits enough and is
+    returned as it is, so nothing is shuffled at scale.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size <= limit_bytes else df
+
+
 def salt_of(*columns, salts: int = SALTS) -> Column:
     """Slice number of a row, a pure function of the row and so equal on every retry."""
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")

@@ -476,13 +476,13 @@ def event_history(spark, sf):
 
 
 def _wire(spark, sf) -> DataFrame:
-    """The log as flat maps; one event type in ten thousand values is not known, some codes are not numbers."""
+    """The log as a stored table of flat maps; some event types are unknown, some depths no numbers."""
     rows = log(spark, sf).withColumnRenamed("ts", "timestamp").withColumn("event_id", F.concat(F.lit("e"), F.col("seq").cast("string")))
     flat = event_log.encode_events(rows, keep=("seq",))
     broken = F.when(F.col("seq") % 50 == 3, F.map_from_arrays(F.array(F.lit("event_type")), F.array(F.lit("url_bogus")))).when(
         F.col("seq") % 50 == 4, F.map_from_arrays(F.array(F.lit("depth")), F.array(F.lit("deep")))).otherwise(F.expr("cast(map() as map<string,string>)"))
     merged = F.map_zip_with("data", broken, lambda k, a, b: F.coalesce(b, a))
-    return flat.withColumn("data", merged)
+    return written(flat.withColumn("data", merged), "wire")
 
 
 @query("event_decode", """SELECT seq, concat('e', seq) AS event_id, event_type, job_id, ts AS timestamp, url, depth, status_code, content_length,

@@ -79,9 +79,9 @@ def stream_worker_sessions(spark, sf):
 
 
 @query("stream_worker_liveness", f"""SELECT worker_id, event_type, ms FROM (
-  SELECT worker_id, 'worker_online' AS event_type, epoch_ms(first_beat) AS ms FROM ({_SESSIONS}) a
-  UNION ALL SELECT worker_id, 'worker_offline', epoch_ms(last_beat) + 3600000 FROM ({_SESSIONS}) b) t
-WHERE event_type = 'worker_online' OR ms <= (SELECT max(epoch_ms(ts)) FROM crawl_events) - 60000""", "crawl_events")
+  SELECT worker_id, 'worker_online' AS event_type, epoch_us(first_beat) // 1000 AS ms FROM ({_SESSIONS}) a
+  UNION ALL SELECT worker_id, 'worker_offline', epoch_us(last_beat) // 1000 + 3600000 FROM ({_SESSIONS}) b) t
+WHERE event_type = 'worker_online' OR ms <= (SELECT max(epoch_us(ts)) // 1000 FROM crawl_events) - 60000""", "crawl_events")
 def stream_worker_liveness(spark, sf):
     path = scratch_path(spark, "liveness")
     with folds.use_rocksdb(spark):

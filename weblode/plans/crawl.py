@@ -60,7 +60,7 @@ def crawl_levels(seeds: DataFrame, edges: DataFrame, limits: DataFrame, judge=No
     what was admitted before, apply the page cap. The first occurrence is an aggregate that
     combines before the shuffle, so a page that a third of all links point to is one row per task.
     Each level is written to the shared folder: lineage stays short and a lost executor costs one
-    level at most. The loop reads back only whether a level is empty.
+    level at most. The loop reads back one row per level: is it empty, does a job exceed its limit.
     """
     spark = seeds.sparkSession
     root = scratch_path(spark, "levels")
@@ -95,12 +95,13 @@ def crawl_levels(seeds: DataFrame, edges: DataFrame, limits: DataFrame, judge=No
         level = save(fresh)
         used = known.groupBy("job_id").agg(F.count("*").alias("_used"))
         room = bounds.join(used, "job_id", "left").select("job_id", (F.col("_most") - F.coalesce("_used", F.lit(0))).alias("_room"))
-        over = level.groupBy("job_id").agg(F.count("*").alias("_new")).join(room, "job_id").where(F.col("_new") > F.col("_room"))
-        if not over.isEmpty():
+        per_job = level.groupBy("job_id").agg(F.count("*").alias("_new")).join(room, "job_id", "left")
+        state = per_job.agg(F.count("*").alias("jobs"), F.max(F.col("_new") > F.col("_room")).alias("over")).first()
+        if state.jobs == 0:
+            break
+        if state.over:
             # Some job reaches its page limit on this level: rank only there, and replace the level.
             paths.pop()
             level = save(mark_limit(level.join(room, "job_id", "left"), ["job_id"], [], "parent_seq", ["pos", "node"], "_room", "_kept")
                          .where("_kept"))
-        if level.isEmpty():
-            break
     return spark.read.schema(schema).parquet(*paths)

@@ -7,6 +7,7 @@ named. The same definitions are written in SQL in ``oracle.py``.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weblode.functions import urls as U
+from weblode.operators.blocks import spread
 from weblode.operators.extract import explode_links, extract_pages
 from weblode.operators.filters import classify_fetches, robots_rules, robots_verdict
 
@@ -14,7 +15,7 @@ SUFFIXES = ["com", "net", "org"]
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/pages.parquet")
+    return spread(spark.read.parquet(f"{sf}/pages.parquet"), "page_id")
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:

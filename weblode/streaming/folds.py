@@ -99,7 +99,7 @@ class _Liveness(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "ms bigint")
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         # The beats of one worker in one micro-batch; a worker beats every few seconds.
         beats = sorted(int(t) for frame in rows for t in frame["ms"])
         last = self.last.get()[0] if self.last.exists() else None
@@ -117,9 +117,9 @@ class _Liveness(StatefulProcessor):
         self.handle.registerTimer(last + self.ttl_ms)
         yield pd.DataFrame(out, columns=["worker_id", "event_type", "ms"])
 
-    def handleExpiredTimer(self, key, timers, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         last = self.last.get()[0] if self.last.exists() else None
-        if last is not None and expired.getExpiryTimeInMs() >= last + self.ttl_ms:
+        if last is not None and expiredTimerInfo.getExpiryTimeInMs() >= last + self.ttl_ms:
             self.last.clear()
             yield pd.DataFrame([(key[0], "worker_offline", last + self.ttl_ms)], columns=["worker_id", "event_type", "ms"])
 
@@ -150,7 +150,7 @@ class _BoundedState(StatefulProcessor):
         self.handle = handle
         self.entry = handle.getValueState("entry", "rank int, seq bigint, status string, ms bigint")
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         before = tuple(self.entry.get()) if self.entry.exists() else None
         best, newest = (before[:3], before[3]) if before else (None, 0)
         for frame in rows:
@@ -166,7 +166,7 @@ class _BoundedState(StatefulProcessor):
         if before is None or best != before[:3]:
             yield pd.DataFrame([(key[0], key[1], best[2], best[1])], columns=["job_id", "url", "status", "seq"])
 
-    def handleExpiredTimer(self, key, timers, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.entry.clear()
         yield pd.DataFrame({"job_id": [], "url": [], "status": [], "seq": []}).astype({"job_id": str, "url": str, "status": str, "seq": "int64"})
 
