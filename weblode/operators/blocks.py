@@ -54,7 +54,7 @@ def spread(df: DataFrame, key: str, limit_bytes: int = 256 << 20) -> DataFrame:
     A table of a few row groups would keep one core busy. A larger one has splits enough and is
     returned as it is, so nothing is shuffled at scale.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size <= limit_bytes else df
 
 
