@@ -114,9 +114,9 @@ def block_of(df: DataFrame, column: str, blocks: int = BLOCKS) -> Column:
     The range comes from one scalar aggregate of a single column. Any monotone cut gives right
     results; the width only decides how evenly a hot group spreads.
     """
-    low = df.agg(F.min(column)).scalar()
-    width = df.agg(F.floor((F.max(column) - F.min(column)) / blocks) + 1).scalar()
-    return F.floor((F.col(column) - low) / width).cast("bigint")
+    width = F.floor((F.max(column) - F.min(column)) / blocks) + 1
+    bounds = df.agg(F.struct(F.min(column).alias("low"), width.alias("width")).alias("r")).scalar()
+    return F.floor((F.col(column) - bounds["low"]) / bounds["width"]).cast("bigint")
 
 
 def _with_offsets(df: DataFrame, group: list, major: list, column: str, blocks: int) -> tuple:

@@ -4,7 +4,7 @@ Aggregates keep numbers in their buffers and strings in their keys, so that Spar
 hash, combines before the shuffle, and a hot job or domain costs one row per task.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weblode.functions import urls as U
 from weblode.operators.events import _active_worker, _domain_activity, micros
@@ -39,13 +39,13 @@ def job_metrics(events: DataFrame) -> DataFrame:
 
 def pending_frontier(events: DataFrame) -> DataFrame:
     """URLs accepted and not yet stored or discarded, with their first arrival."""
+    queued_at = F.when(_is("url_queued"), F.col("seq"))
     return (
         events.where(F.col("url").isNotNull()).groupBy("job_id", "url", "domain").agg(
-            F.min(F.when(_is("url_queued"), F.col("seq"))).alias("discovered_seq"),
-            F.min(F.when(_is("url_queued"), F.struct("seq", "depth"))).alias("_q"),
+            F.min(queued_at).alias("discovered_seq"), F.min_by("depth", queued_at).alias("depth"),
             F.count_if(_finished()).alias("_finished"))
         .where(F.col("discovered_seq").isNotNull() & (F.col("_finished") == 0))
-        .select("job_id", "url", "domain", F.col("_q.depth").alias("depth"), "discovered_seq")
+        .select("job_id", "url", "domain", "depth", "discovered_seq")
     )
 
 
@@ -70,17 +70,17 @@ def live_metrics(events: DataFrame) -> DataFrame:
     own = events.where(F.col("job_id") != SYSTEM_JOB)
     names = [*_LIVE, "frontier_depth"]
 
-    def snapshot(name: str) -> Column:
-        return F.col("metrics")[name]
+    def reset_at(name: str) -> Column:
+        return F.when(F.col("metrics")[name].isNotNull(), F.col("seq"))
 
-    resets = own.where(F.col("metrics").isNotNull()).groupBy("job_id").agg(*[
-        F.max(F.when(snapshot(c).isNotNull(), F.struct("seq", snapshot(c).alias("value")))).alias(f"r_{c}") for c in names])
+    resets = own.where(F.col("metrics").isNotNull()).groupBy("job_id").agg(
+        *[F.max(reset_at(c)).alias(f"at_{c}") for c in names],
+        *[F.max_by(F.col("metrics")[c], reset_at(c)).alias(f"base_{c}") for c in names])
     counted = own.select("job_id", "seq", "event_type").join(resets, "job_id", "left")
     return (
         counted.groupBy("job_id").agg(
-            *[F.count_if(_is(kind) & (F.col(f"r_{c}").isNull() | (F.col("seq") > F.col(f"r_{c}.seq")))).alias(f"n_{c}")
-              for c, kind in _LIVE.items()],
-            *[F.max(f"r_{c}.value").alias(f"b_{c}") for c in names])
+            *[F.count_if(_is(kind) & (F.col("seq") > F.coalesce(f"at_{c}", F.lit(-1)))).alias(f"n_{c}") for c, kind in _LIVE.items()],
+            *[F.max(f"base_{c}").alias(f"b_{c}") for c in names])
         .select("job_id", *[(F.coalesce(f"b_{c}", F.lit(0)) + F.col(f"n_{c}")).cast("bigint").alias(c) for c in _LIVE],
                 F.coalesce("b_frontier_depth", F.lit(0)).cast("bigint").alias("frontier_depth"))
     )
@@ -183,7 +183,6 @@ def worker_sessions(events: DataFrame, gap_seconds: int = WORKER_TTL_SECONDS) ->
     Beats are first merged per bucket as wide as the gap, which can never span two sessions; the
     window then sees a bounded number of rows per worker and hour, however busy the worker is.
     """
-    from pyspark.sql import Window
     at = micros(F.col("ts"))
     gap = gap_seconds * 1_000_000
     buckets = events.where(F.col("worker_id").isNotNull()).groupBy(

@@ -212,14 +212,15 @@ def dedup(stream: DataFrame, key=("job_id", "url_hash"), late: str | None = None
 def admission_step(path: str):
     """Batch transform: outcome of every link of the batch against all batches before it.
 
-    The set of admitted URLs is the table itself, so it needs no state store, and the aggregate in
-    ``frontier.admit`` keeps a hot URL out of one task.
+    The set of admitted URLs is the table itself, so it needs no state store, and the salted windows
+    of ``frontier.admit`` keep a hot URL out of one task.
     """
     def step(batch: DataFrame, batch_id: int) -> DataFrame:
         seen = None
         if batch_id > 0:
-            folders = [batch_folder(f"{path}/data", i) for i in range(batch_id)]
-            seen = batch.sparkSession.read.parquet(*folders).where("queued").select("job_id", "url_hash")
+            # Folders of earlier batches only, by partition pruning; so a replay sees what it saw before.
+            table = batch.sparkSession.read.parquet(f"{path}/data")
+            seen = table.where((F.col("batch") < batch_id) & F.col("queued")).select("job_id", "url_hash")
         return Q.admit(batch, seen)
 
     return step
