@@ -79,13 +79,13 @@ def test_allowlist(spark):
 def test_fetch_rules(spark):
     limit = 100
     rows = [(0, True, "timeout", 500, "x", 1), (1, False, "timeout", 500, "x", 1), (2, False, None, 404, "x", 1), (3, False, None, 200, "image/png", 999),
-            (4, False, None, 200, "Text/HTML; charset=x", 101), (5, False, None, 399, "text/htmlx", 100), (6, False, None, 200, "", None)]
+            (4, False, None, 200, "Text/HTML; charset=x", 101), (5, False, None, 399, "text/htmlx", 100), (6, False, None, 200, "", None), (7, False, None, 200, None, 0)]
     df = spark.createDataFrame(rows, "i int, robots_blocked boolean, fetch_error string, status_code int, content_type string, content_length bigint")
     def run(types):
         typed = df.withColumn("types", F.lit(None).cast("array<string>") if types is None else F.array(*map(F.lit, types)).cast("array<string>"))
         return [r.reason for r in L.classify_fetches(typed, "types", limit).orderBy("i").collect()]
-    assert run(["text/html"]) == ["robots_txt", "timeout", "http_error", "bad_content_type", "too_large", None, "bad_content_type"]
-    assert run(None) == run([]) == ["robots_txt", "timeout", "http_error", "too_large", "too_large", None, None]
+    assert run(["text/html"]) == ["robots_txt", "timeout", "http_error", "bad_content_type", "too_large", None, "bad_content_type", "bad_content_type"]
+    assert run(None) == run([]) == ["robots_txt", "timeout", "http_error", "too_large", "too_large", None, None, None]
 
 
 def simple_robots(text):

@@ -68,7 +68,7 @@ def url_verdict(url: Column, u: Column, depth: Column, max_depth: Column, allowe
 
 
 def media_type(content_type: Column) -> Column:
-    return F.lower(F.trim(F.substring_index(content_type, ";", 1)))
+    return F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
 
 
 def bad_content_type(content_type: Column, allowed_types: Column) -> Column:

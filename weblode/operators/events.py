@@ -29,7 +29,8 @@ def url_events(events: DataFrame, ignore_link_stage: bool = False) -> DataFrame:
 
 def latest_entry() -> Column:
     """Aggregate: the row that survives the state fold (highest rank, then latest)."""
-    row = F.struct(*ENTRY, "seq")
+    defaults = {"status": "queued", "depth": 0}
+    row = F.struct(*[F.coalesce(c, F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in ENTRY], "seq")
     return F.max_by(row, F.struct(status_rank(F.col("status")), F.col("seq")))
 
 
@@ -156,7 +157,8 @@ def live_graph_nodes(events: DataFrame, max_nodes: int | None = None, blocks: in
     its last node.
     """
     rows = url_events(events).select(
-        "job_id", "url", "seq", F.coalesce("status", F.lit("queued")).alias("status"), "status_code", "depth")
+        "job_id", "url", "seq", F.coalesce("status", F.lit("queued")).alias("status"), "status_code",
+        F.coalesce("depth", F.lit(0)).alias("depth"))
     if max_nodes is not None:
         first = rows.groupBy("job_id", "url").agg(F.min("seq").alias("seq"))
         last = top_per_group(first, ["job_id"], ["seq"], max_nodes).groupBy("job_id").agg(

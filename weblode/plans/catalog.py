@@ -457,7 +457,7 @@ def crawl_levels(spark, sf):
     pages = D.pages(spark, sf).select("page_id")
     p = F.col("page_id")
     seeds = pages.groupBy(F.concat(F.lit("job-"), (p % 4).cast("string")).alias("job_id")).agg(F.min(p).alias("node")).withColumn("seq", F.col("node"))
-    edges = D.link_graph(pages).withColumn("dst_seq", F.col("dst"))
+    edges = written(D.link_graph(pages).withColumn("dst_seq", F.col("dst")), "edges")
     return crawl.crawl_levels(seeds, edges, D.jobs(D.events(spark, sf))).select("job_id", "node", "depth", "parent")
 
 

@@ -75,7 +75,8 @@ def crawl_levels(seeds: DataFrame, edges: DataFrame, limits: DataFrame, judge=No
         df.select(*names).write.mode("error").parquet(paths[-1])
         return spark.read.schema(schema).parquet(paths[-1])
 
-    bounds = limits.select("job_id", F.col("max_depth").alias("_deepest"), F.col("max_pages").alias("_most"))
+    # Every level reads the limits twice.
+    bounds = written(limits.select("job_id", F.col("max_depth").alias("_deepest"), F.col("max_pages").alias("_most")), "limits")
     level = save(seeds.select(
         "job_id", "node", F.col("seq").cast("bigint").alias("seq"), F.lit(0).alias("depth"),
         F.lit(None).cast(node_type).alias("parent"), F.lit(None).cast("bigint").alias("parent_seq"),
