@@ -83,7 +83,11 @@ def crawl_levels(seeds: DataFrame, edges: DataFrame, limits: DataFrame, judge=No
         F.lit(None).cast("int").alias("pos")))
     for depth in range(1, max_levels + 1):
         known = spark.read.schema(schema).parquet(*paths)
-        growing = level.join(bounds, "job_id", "left").where(F.col("_deepest").isNull() | (F.col("_deepest") >= depth))
+        used = known.groupBy("job_id").agg(F.count("*").alias("_used"))
+        room = bounds.join(used, "job_id", "left").select(
+            "job_id", "_deepest", (F.col("_most") - F.coalesce("_used", F.lit(0))).alias("_room"))
+        growing = level.join(room, "job_id", "left").where(
+            F.coalesce(F.col("_deepest") >= depth, F.lit(True)) & F.coalesce(F.col("_room") > 0, F.lit(True)))
         found = (
             growing.select("job_id", F.col("node").alias("src"), F.col("seq").alias("parent_seq")).join(edges, "src")
             .select("job_id", F.col("dst").alias("node"), F.col("dst_seq").alias("seq"), F.lit(depth).alias("depth"),
@@ -94,8 +98,6 @@ def crawl_levels(seeds: DataFrame, edges: DataFrame, limits: DataFrame, judge=No
         first = found.groupBy("job_id", "node").agg(F.min(F.struct("parent_seq", "pos", "parent", "seq", "depth")).alias("f"))
         fresh = first.select("job_id", "node", "f.*").join(known.select("job_id", "node"), ["job_id", "node"], "left_anti")
         level = save(fresh)
-        used = known.groupBy("job_id").agg(F.count("*").alias("_used"))
-        room = bounds.join(used, "job_id", "left").select("job_id", (F.col("_most") - F.coalesce("_used", F.lit(0))).alias("_room"))
         per_job = level.groupBy("job_id").agg(F.count("*").alias("_new")).join(room, "job_id", "left")
         state = per_job.agg(F.count("*").alias("jobs"), F.max(F.col("_new") > F.col("_room")).alias("over")).first()
         if state.jobs == 0:
@@ -103,6 +105,6 @@ def crawl_levels(seeds: DataFrame, edges: DataFrame, limits: DataFrame, judge=No
         if state.over:
             # Some job reaches its page limit on this level: rank only there, and replace the level.
             paths.pop()
-            level = save(mark_limit(level.join(room, "job_id", "left"), ["job_id"], [], "parent_seq", ["pos", "node"], "_room", "_kept")
+            level = save(mark_limit(level.join(room.drop("_deepest"), "job_id", "left"), ["job_id"], [], "parent_seq", ["pos", "node"], "_room", "_kept")
                          .where("_kept"))
     return spark.read.schema(schema).parquet(*paths)
