@@ -461,6 +461,34 @@ def crawl_levels(spark, sf):
     return crawl.crawl_levels(seeds, edges, D.jobs(D.events(spark, sf))).select("job_id", "node", "depth", "parent")
 
 
+_WALK_RULES = """, seeds AS (SELECT concat('job-', page_id % 4) AS job_id, min(page_id) AS node FROM pages GROUP BY 1),
+caps AS (SELECT * FROM (VALUES ('job-0', 3, 1000000), ('job-1', 3, 1000000), ('job-2', 5, 1000000), ('job-3', 6, 50)) t(job_id, deepest, most)),
+steps AS (SELECT c.job_id, c.deepest, g.src, g.dst, g.pos FROM link_graph g JOIN pages p ON g.dst = p.page_id JOIN caps c
+  ON (c.job_id <> 'job-1' OR regexp_matches(p.url, '^https?://([^/?#]*[.])?example[.]com([/?#]|$)')) AND (c.job_id <> 'job-2' OR regexp_matches(p.url, '/[a-m]'))),
+walk AS (SELECT job_id, node, 0 AS depth FROM seeds
+  UNION SELECT w.job_id, s.dst, w.depth + 1 FROM walk w JOIN steps s ON w.node = s.src AND w.job_id = s.job_id WHERE w.depth < s.deepest),
+reached AS (SELECT job_id, node, min(depth) AS depth FROM walk GROUP BY job_id, node),
+placed AS (SELECT r.job_id, r.node, r.depth, g.src AS parent, g.pos, row_number() OVER (PARTITION BY r.job_id, r.node ORDER BY g.src, g.pos) AS rn
+  FROM reached r LEFT JOIN (SELECT s.job_id, s.src, s.dst, s.pos, q.depth FROM steps s JOIN reached q ON q.job_id = s.job_id AND q.node = s.src) g
+    ON g.job_id = r.job_id AND g.dst = r.node AND g.depth = r.depth - 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY depth, parent, pos, node) AS place FROM placed WHERE rn = 1)
+SELECT r.job_id, n.url, CAST(r.depth AS INT) AS depth, p.url AS parent_url FROM ranked r JOIN caps c ON r.job_id = c.job_id
+JOIN pages n ON n.page_id = r.node LEFT JOIN pages p ON p.page_id = r.parent WHERE place <= most"""
+
+
+@query("crawl_levels_with_rules", _WALK_RULES, "link_graph", recursive=True)
+def crawl_levels_with_rules(spark, sf):
+    pages = D.pages(spark, sf).select("page_id", "url")
+    job = F.concat(F.lit("job-"), (F.col("page_id") % 4).cast("string")).alias("job_id")
+    seeds = pages.groupBy(job).agg(F.min_by("url", "page_id").alias("node"), F.min("page_id").alias("seq"))
+    by_id = lambda key, name: pages.select(F.col("page_id").alias(key), F.col("url").alias(name))
+    graph = D.link_graph(pages).withColumnsRenamed({"src": "s", "dst": "d"})
+    edges = graph.join(by_id("s", "src"), "s").join(by_id("d", "dst"), "d").select("src", "dst", F.col("d").alias("dst_seq"), "pos")
+    jobs = written(D.job_settings(D.events(spark, sf)), "jobs")
+    out = crawl.crawl_levels(seeds, written(edges, "edges"), jobs, crawl.url_judge(jobs, D.SUFFIXES))
+    return out.select("job_id", F.col("node").alias("url"), "depth", F.col("parent").alias("parent_url"))
+
+
 @query("job_clear", """SELECT p.job_id, p.url, p.depth, p.discovered_seq FROM pending p JOIN jobs j ON p.job_id = j.job_id
 WHERE j.status <> 'stopped'""", "pending jobs")
 def job_clear(spark, sf):

@@ -51,6 +51,20 @@ def crawl_step(fetches: DataFrame, robots: DataFrame, jobs: DataFrame, suffixes,
     return {"pages": extracted, "links": outcomes, "discards": drops, "frontier": capped.where("kept")}
 
 
+def url_judge(jobs: DataFrame, suffixes):
+    """``judge`` for ``crawl_levels`` on URLs: a link must pass its job's URL rules.
+
+    Refused links leave through the generator, so the verdict is computed once (see
+    ``filters.resolve_links``).
+    """
+    def judge(found: DataFrame) -> DataFrame:
+        judged = classify_urls(with_config(U.with_url_parts(found, "node"), jobs), suffixes, url="node")
+        passed = F.array_compact(F.array(F.when(F.col("reason").isNull(), F.col("node"))))
+        return judged.select(*[c for c in found.columns if c != "node"], F.explode(passed).alias("node"))
+
+    return judge
+
+
 def crawl_levels(seeds: DataFrame, edges: DataFrame, limits: DataFrame, judge=None, max_levels: int = 64) -> DataFrame:
     """Crawl a link table level by level; (job_id, node, depth, parent, parent_seq, pos) per node.
 

@@ -20,7 +20,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def append_pages(pages: DataFrame, path: str) -> None:
     """Insert or ignore: a page already stored under its (job, URL) stays as it is.
 
-    The earliest row of a batch wins. Only the ids of the stored table are read for the check.
+    The earliest row of a batch wins. Only the ids of the same jobs are read for the check.
     """
     spark = pages.sparkSession
     names = [f.split()[0] for f in PAGES.split(", ") if f.split()[0] not in ("id", "job_id", "url")]
@@ -29,7 +29,9 @@ def append_pages(pages: DataFrame, path: str) -> None:
         .select(U.row_id("job_id", "url").alias("id"), "url", *[F.col(f"p.{n}").alias(n) for n in names], "job_id")
     )
     if _exists(spark, path):
-        first = first.join(read_pages(spark, path).select("job_id", "id"), ["job_id", "id"], "left_anti")
+        # Only the partitions of the batch's own jobs are read.
+        known = read_pages(spark, path).select("job_id", "id").join(pages.select("job_id").distinct(), "job_id", "left_semi")
+        first = first.join(known, ["job_id", "id"], "left_anti")
     first.write.mode("append").partitionBy("job_id").parquet(path)
 
 
