@@ -48,14 +48,16 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str, limit_bytes: int = 256 << 20) -> DataFrame:
-    """Deal a small table out to all cores before costly work on its rows.
+def spread(df: DataFrame, key: str, limit_bytes: int = 256 << 20, share_bytes: int = 256 << 10) -> DataFrame:
+    """Deal a small table out to the cores before costly work on its rows.
 
     A table of a few row groups would keep one core busy. A larger one has splits enough and is
     returned as it is, so nothing is shuffled at scale.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size <= limit_bytes else df
+    if size > limit_bytes:
+        return df
+    return df.repartition(min(df.sparkSession.sparkContext.defaultParallelism, size // share_bytes + 1), key)
 
 
 def salt_of(*columns, salts: int = SALTS) -> Column:
