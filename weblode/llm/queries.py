@@ -1,6 +1,6 @@
 """One query per operator: the operator with production parameters over its whole table."""
 
-from weblode.llm import quality_rules, sharding
+from weblode.llm import near_dedup, quality_rules, sharding
 from weblode.llm.common import table
 
 
@@ -8,9 +8,13 @@ def op5_ngram_perplexity(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("_key")
 
 
+def op8_chosen_path_join(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_rendezvous_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_ngram_perplexity, op9_rendezvous_sharding)}
+QUERIES = {f.__name__: f for f in (op5_ngram_perplexity, op8_chosen_path_join, op9_rendezvous_sharding)}
 ORACLES: dict[str, str] = {}
