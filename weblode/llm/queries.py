@@ -1,6 +1,6 @@
 """One query per operator: the operator with production parameters over its whole table."""
 
-from weblode.llm import near_dedup, quality_rules, sharding
+from weblode.llm import line_dedup, near_dedup, quality_rules, sharding
 from weblode.llm.common import table
 
 
@@ -8,6 +8,10 @@ def op5_ngram_perplexity(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("_key")
 
 
+def op7_line_winnowing(spark, sf_dir):
+    return line_dedup.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_chosen_path_join(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -16,5 +20,5 @@ def op9_rendezvous_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_ngram_perplexity, op8_chosen_path_join, op9_rendezvous_sharding)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_ngram_perplexity, op7_line_winnowing, op8_chosen_path_join, op9_rendezvous_sharding)}
+ORACLES = {"op7_line_winnowing": line_dedup.ORACLE}
