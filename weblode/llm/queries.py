@@ -1,6 +1,6 @@
 """One query per operator: the operator with production parameters over its whole table."""
 
-from weblode.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules, sharding
+from weblode.llm import chat, decontaminate, line_dedup, near_dedup, packing, quality_rules, sharding
 from weblode.llm.common import table
 
 
@@ -8,6 +8,10 @@ def op1_island_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_snapshot_collapse(spark, sf_dir):
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_template_decontamination(spark, sf_dir):
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_key")
 
@@ -28,5 +32,5 @@ def op9_rendezvous_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_island_packing, op4_template_decontamination, op5_ngram_perplexity, op7_line_winnowing, op8_chosen_path_join, op9_rendezvous_sharding)}
-ORACLES = {"op4_template_decontamination": decontaminate.ORACLE, "op7_line_winnowing": line_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_island_packing, op2_snapshot_collapse, op4_template_decontamination, op5_ngram_perplexity, op7_line_winnowing, op8_chosen_path_join, op9_rendezvous_sharding)}
+ORACLES = {"op2_snapshot_collapse": chat.ORACLE, "op4_template_decontamination": decontaminate.ORACLE, "op7_line_winnowing": line_dedup.ORACLE}
