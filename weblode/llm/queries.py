@@ -1,7 +1,7 @@
 """One query per operator: the operator with production parameters over its whole table."""
 
 import corpus_pipeline
-from weblode.llm import chat, decontaminate, line_dedup, near_dedup, packing, quality_rules, sharding
+from weblode.llm import chat, decontaminate, html_extract, line_dedup, near_dedup, packing, quality_rules, sharding
 from weblode.llm.common import table
 
 
@@ -33,9 +33,13 @@ def op9_rendezvous_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_dom_boosted_extraction(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_island_packing, op2_snapshot_collapse, op4_template_decontamination, op5_ngram_perplexity, op7_line_winnowing, op8_chosen_path_join, op9_rendezvous_sharding, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_island_packing, op2_snapshot_collapse, op4_template_decontamination, op5_ngram_perplexity, op7_line_winnowing, op8_chosen_path_join, op9_rendezvous_sharding, op10_dom_boosted_extraction, pipeline)}
 ORACLES = {"op2_snapshot_collapse": chat.ORACLE, "op4_template_decontamination": decontaminate.ORACLE, "op7_line_winnowing": line_dedup.ORACLE}
