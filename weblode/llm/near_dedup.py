@@ -12,7 +12,9 @@ that keep the number of confirmations linear:
 
 1. every document against the first document (in a fixed random order) of those it shares a node with and
    resembles by its minwise vector; the links found make first components;
-2. pairs inside a node whose components still differ and whose vectors allow a similarity of 0.75.
+2. in each node, the pairs whose components still differ and whose vectors allow a similarity of 0.75, most
+   alike first; a link merges two components there and then, so that a group of n near copies needs few more
+   than n confirmations, and only merging links leave the node.
 
 A node that stays larger than ``NODE`` to the last level holds texts alike enough that step 1 has nearly
 always joined them; what still differs there is compared block against block, so nothing is dropped.
@@ -23,6 +25,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weblode.llm.common import WORD, batches
@@ -31,24 +34,28 @@ from weblode.operators.blocks import written
 SHINGLE = 5
 NUM, DEN = 75, 100
 COORDINATES = 64
+"""Minwise hashes of 32 bits, by which nodes branch."""
+CHECKS = 128
+"""More of them, 8 bits each, for estimates only."""
 TREES = 16
 LEVELS = 6
 NODE = 128
 """Documents in a node that is compared exhaustively."""
-LOOSE = 31
-"""Coordinates of 64 that must agree before a pair is confirmed on full sets. At J = 0.75 fewer agree with
-probability 1e-6 or so (see ``miss``)."""
+LOOSE = 117
+"""Hashes of all 192 that must agree before a pair is confirmed on full sets. At J = 0.75 fewer agree with
+probability 1e-5 (see ``miss``)."""
 
-_words = re.compile(WORD).findall
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
+_words = re.compile(WORD.encode()).findall
 _rng = np.random.default_rng(20240229)
-_MULT = (_rng.integers(1, 2 ** 63, COORDINATES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _rng.integers(0, 2 ** 63, COORDINATES, dtype=np.uint64)
+HASHES = COORDINATES + CHECKS
+_MULT = (_rng.integers(1, 2 ** 63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_ADD = _rng.integers(0, 2 ** 63, HASHES, dtype=np.uint64)
+WIDTH = 4 * COORDINATES + CHECKS
 
 
 def miss(similarity: float = NUM / DEN, loose: int = LOOSE) -> float:
     """Chance that fewer than ``loose`` of the coordinates agree for two sets of this similarity."""
-    return sum(comb(COORDINATES, i) * similarity ** i * (1 - similarity) ** (COORDINATES - i) for i in range(loose))
+    return sum(comb(HASHES, i) * similarity ** i * (1 - similarity) ** (HASHES - i) for i in range(loose))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,57 +64,76 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a whole text."""
-    words = _words(text.translate(_LOWER)) if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = _mix(np.array([hash_word(w) for w in words], np.uint64))
-    width = min(width, len(words))
-    out = np.full(len(words) - width + 1, width, np.uint64)
-    for i in range(width):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i:len(h) - width + 1 + i])
-    return np.unique(out)
+def _lowered_words(text: str | None) -> list[bytes]:
+    """Words of a text in UTF-8; lower() of bytes changes A-Z alone."""
+    return _words(text.encode().lower()) if text else []
 
 
-_known: dict[str, int] = {}
+def _windows(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of every run of ``width`` word hashes."""
+    out = np.full(len(h) - width + 1, width, np.uint64)
+    for i in range(width):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i:len(h) - width + 1 + i])
+    return out
 
 
-def hash_word(word: str) -> int:
-    """64-bit hash of a word, remembered for the most recent words."""
-    found = _known.get(word)
-    if found is None:
-        import xxhash
-        if len(_known) > 500_000:
-            _known.clear()
-        found = _known[word] = xxhash.xxh3_64_intdigest(word.encode())
-    return found
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return _mix(np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64))
 
 
-def minwise(found: np.ndarray) -> np.ndarray:
-    """Minwise hash of a set at each coordinate, as 32-bit numbers."""
-    best = np.full(COORDINATES, np.uint64(2 ** 64 - 1))
-    for start in range(0, len(found), 4096):  # memory stays bounded for very long texts
-        part = found[start:start + 4096]
-        best = np.minimum(best, (part[None, :] * _MULT[:, None] + _ADD[:, None]).min(axis=1))
-    return (_mix(best) >> np.uint64(32)).astype(np.uint32)
+def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a whole text."""
+    words = _lowered_words(text)
+    return np.unique(_windows(_hashes(words), min(width, len(words)))) if words else np.empty(0, np.uint64)
+
+
+def shingles_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of many texts at once: all hashes in a row, and where each text's begin (one entry more)."""
+    words = [_lowered_words(t) for t in texts]
+    lengths = np.array([len(w) for w in words], np.int64)
+    h = _hashes([w for own in words for w in own])
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    if len(h) >= SHINGLE:
+        values, whole = _windows(h, SHINGLE), owner[:len(h) - SHINGLE + 1] == owner[SHINGLE - 1:]
+        values, of = values[whole], owner[:len(h) - SHINGLE + 1][whole]
+    else:
+        values, of = np.empty(0, np.uint64), np.empty(0, np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    short = np.flatnonzero((lengths > 0) & (lengths < SHINGLE))
+    if len(short):
+        values = np.concatenate([values, *[_windows(h[starts[i]:starts[i + 1]], int(lengths[i])) for i in short]])
+        of = np.concatenate([of, short])
+    order = np.lexsort((values, of))
+    values, of = values[order], of[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
+    values, of = values[new], of[new]
+    return values, np.searchsorted(of, np.arange(len(texts) + 1))
+
+
+def minwise(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Minwise hashes of the sets that begin at ``starts`` (none empty): ``COORDINATES`` of 32 bits, then ``CHECKS``
+    of 8 bits, as rows of bytes."""
+    best = np.stack([np.minimum.reduceat(values * m + a, starts) for m, a in zip(_MULT, _ADD)], axis=1)
+    best = _mix(best) >> np.uint64(32)
+    return np.concatenate([best[:, :COORDINATES].astype("<u4").view(np.uint8).reshape(len(best), -1),
+                           (best[:, COORDINATES:] & np.uint64(255)).astype(np.uint8)], axis=1)
 
 
 def _describe(reader):
-    for batch in batches(reader):
-        counts, digests, vectors = [], [], []
-        for text in batch.column("text").to_pylist():
-            found = shingles(text)
-            counts.append(len(found))
-            if len(found):
-                low = np.bitwise_xor.reduce(_mix(found))
-                with np.errstate(over="ignore"):
-                    high = _mix(found ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
-                digests.append(np.array([low, high], np.uint64).tobytes())
-                vectors.append(minwise(found).tobytes())
-            else:
-                digests.append(None)
-                vectors.append(None)
+    for batch in batches(reader, 1 << 20):
+        values, bounds = shingles_of(batch.column("text").to_pylist())
+        counts = np.diff(bounds)
+        full = np.flatnonzero(counts)
+        digests: list = [None] * len(counts)
+        vectors: list = [None] * len(counts)
+        if len(full):
+            starts = bounds[:-1][full]
+            low = np.bitwise_xor.reduceat(_mix(values), starts)
+            high = np.add.reduceat(_mix(values ^ np.uint64(0xD6E8FEB86659FD93)), starts)
+            for i, x, y, v in zip(full, low, high, minwise(values, starts)):
+                digests[i] = x.tobytes() + y.tobytes()
+                vectors[i] = v.tobytes()
         yield pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
                                pa.array(vectors, pa.binary())], names=["doc_id", "n_shingles", "digest", "vector"])
 
@@ -166,8 +192,9 @@ def memberships(classes: DataFrame) -> DataFrame:
     return written(out, "nodes")
 
 
-def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).sum(axis=1)
+def _agreeing(a: tuple, b: tuple) -> np.ndarray:
+    """Hashes on which rows of two (32-bit, 8-bit) pairs of matrices agree."""
+    return (a[0] == b[0]).sum(axis=1) + (a[1] == b[1]).sum(axis=1)
 
 
 def _fits(n_a, n_b) -> np.ndarray:
@@ -175,8 +202,9 @@ def _fits(n_a, n_b) -> np.ndarray:
     return DEN * np.minimum(n_a, n_b) >= NUM * np.maximum(n_a, n_b)
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+def _matrices(vectors: list) -> tuple:
+    every = np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, WIDTH)
+    return np.ascontiguousarray(every[:, :4 * COORDINATES]).view(np.uint32), every[:, 4 * COORDINATES:]
 
 
 def _alike(reader):
@@ -184,7 +212,7 @@ def _alike(reader):
     for batch in reader:
         if batch.num_rows:
             n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            ok = _fits(n_a, n_b) & (_agreeing(_matrix(batch.column("v_a")), _matrix(batch.column("v_b"))) >= LOOSE)
+            ok = _fits(n_a, n_b) & (_agreeing(*(_matrices(batch.column(c).to_pylist()) for c in ("v_a", "v_b"))) >= LOOSE)
             yield pa.record_batch([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
 
 
@@ -194,10 +222,6 @@ def filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_alike, "a bigint, b bigint")
 
 
-def _sets_of(texts: list) -> list:
-    return [shingles(t) for t in texts]
-
-
 def _confirm(reader):
     """Rows of a group follow each other, its head (head = true) first; emits confirmed links (a, b)."""
     group, head_set, head = None, None, None
@@ -278,62 +302,97 @@ def first_links(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     return filtered(pairs, classes).groupBy("b").agg(F.min(_order("a")).getField("a").alias("a")).select("a", "b")
 
 
-def _node_pairs(reader):
-    """Rows of a node follow each other: pairs of different components that may be links."""
-    held: list = []
-    node = None
+def _groups(reader, columns):
+    """Rows that follow each other with the same node, as (node, list of the other columns)."""
+    node, held = None, []
     for batch in reader:
-        columns = [batch.column(c).to_pylist() for c in ("node", "rep", "component", "n_shingles", "vector")]
-        out: list = []
-        for row in zip(*columns):
+        for row in zip(*(batch.column(c).to_pylist() for c in columns)):
             if row[0] != node:
-                out += _compare(held)
-                held, node = [], row[0]
+                if held:
+                    yield node, held
+                node, held = row[0], []
             held.append(row[1:])
-        yield _pair_batch(out)
-    yield _pair_batch(_compare(held))
-
-
-def _pair_batch(out):
-    return pa.record_batch([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
-
-
-def _compare(rows: list) -> list:
-    if len(rows) < 2:
-        return []
-    reps, comps, sizes = (np.array([r[i] for r in rows]) for i in range(3))
-    if (comps == comps[0]).all():
-        return []
-    vectors = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(-1, COORDINATES)
-    out = []
-    for i in range(len(rows) - 1):
-        rest = slice(i + 1, None)
-        ok = np.flatnonzero((comps[rest] != comps[i]) & _fits(sizes[rest], sizes[i])) + i + 1
-        if len(ok):
-            ok = ok[_agreeing(vectors[ok], vectors[i]) >= LOOSE]
-            out += [(min(reps[i], reps[j]), max(reps[i], reps[j])) for j in ok]
-    return out
+    if held:
+        yield node, held
+
+
+def _candidates(comps, sizes, vectors) -> tuple:
+    """(i, j, agreement) of pairs of different components that may be links."""
+    one, two, alike = [], [], []
+    for i in range(len(comps) - 1):
+        at = np.flatnonzero((comps[i + 1:] != comps[i]) & _fits(sizes[i + 1:], sizes[i])) + i + 1
+        if len(at):
+            agree = _agreeing((vectors[0][at], vectors[1][at]), (vectors[0][i], vectors[1][i]))
+            ok = agree >= LOOSE
+            one.append(np.full(ok.sum(), i))
+            two.append(at[ok])
+            alike.append(agree[ok])
+    return tuple(np.concatenate(x) if x else np.empty(0, int) for x in (one, two, alike))
+
+
+_MEMBER = ["node", "rep", "component", "n_shingles", "vector"]
+
+
+def _flag(reader):
+    """The rows of a node that may have a link to another component."""
+    for node, rows in _groups(reader, _MEMBER):
+        reps, comps, sizes = (np.array([r[i] for r in rows]) for i in range(3))
+        if len(rows) < 2 or (comps == comps[0]).all():
+            continue
+        one, two, _ = _candidates(comps, sizes, _matrices([r[3] for r in rows]))
+        at = np.union1d(one, two).astype(int)
+        if len(at):
+            yield pa.record_batch([pa.array([node] * len(at), pa.int64()), pa.array(reps[at]), pa.array(comps[at]), pa.array(sizes[at]),
+                                   pa.array([rows[i][3] for i in at], pa.binary())], names=_MEMBER)
+
+
+def _link(reader):
+    """Links that merge components inside a node, confirmed on full sets, most alike first."""
+    for _, rows in _groups(reader, [*_MEMBER, "found"]):
+        reps, comps, sizes = (np.array([r[i] for r in rows]) for i in range(3))
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        one, two, alike = _candidates(comps, sizes, _matrices([r[3] for r in rows]))
+        comps, out = comps.copy(), []
+        for k in np.argsort(-alike, kind="stable"):
+            i, j = one[k], two[k]
+            if comps[i] != comps[j]:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if DEN * common >= NUM * (sizes[i] + sizes[j] - common):
+                    out.append((reps[i], reps[j]))
+                    comps[comps == comps[j]] = comps[i]
+        if out:
+            yield pa.record_batch([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+
+
+def _sets(reader):
+    for batch in batches(reader):
+        yield pa.record_batch([batch.column("doc"), pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())],
+                              names=["rep", "found"])
+
+
+def _by_node(rows: DataFrame) -> DataFrame:
+    return rows.repartition("node").sortWithinPartitions("node")
 
 
-def open_pairs(nodes: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
-    """Step 2: pairs inside a node whose components differ and that may be links."""
+def open_links(nodes: DataFrame, classes: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
+    """Step 2: links (a, b) between components that meet in a node."""
     placed = nodes.join(joined.withColumnRenamed("doc", "rep"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("node").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
     known = classes.select("rep", "n_shingles", "vector")
     left = written(placed.join(mixed.select("node"), "node", "left_semi").join(known, "rep"), "mixed")
-    small = (left.where("NOT large").select("node", "rep", "component", "n_shingles", "vector")
-             .repartition("node").sortWithinPartitions("node").mapInArrow(_node_pairs, "a bigint, b bigint"))
-    # Leaves of the last level that are still large: blocks of about NODE documents, each pair of blocks a task's work.
+    # Leaves of the last level that are still large: every two blocks of about NODE / 2 documents meet.
     stuck = left.where("large AND last")
     size = stuck.groupBy("node").agg(F.ceil(F.count("*") / (NODE / 2)).cast("bigint").alias("_blocks"))
     cut = stuck.join(size, "node").withColumn("_own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("_blocks")))
     meets = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_other")
-    spread = (cut.select("*", meets)
-              .withColumn("node", F.xxhash64("node", F.least("_own", "_other"), F.greatest("_own", "_other")))
-              .select("node", "rep", "component", "n_shingles", "vector")
-              .repartition("node").sortWithinPartitions("node").mapInArrow(_node_pairs, "a bigint, b bigint"))
-    return small.unionByName(spread).distinct()
+    blocks = cut.select("*", meets).withColumn("node", F.xxhash64("node", F.least("_own", "_other"), F.greatest("_own", "_other")))
+    rows = left.where("NOT large").select(_MEMBER).unionByName(blocks.select(_MEMBER))
+    kind = "node bigint, rep bigint, component bigint, n_shingles bigint, vector binary"
+    flagged = written(_by_node(rows).mapInArrow(_flag, kind), "flagged")
+    wanted = flagged.select(F.col("rep").alias("doc")).distinct()
+    found = written(texts.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_sets, "rep bigint, found binary"), "found")
+    return _by_node(flagged.join(found, "rep")).mapInArrow(_link, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -355,9 +414,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
     links = written(confirmed(first, texts.join(firsts, "doc", "left_semi").dropDuplicates(["doc"])), "links")
     joined = components(links)
-    pairs = written(open_pairs(nodes, classes, joined), "open")
-    seconds = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    more = written(confirmed(pairs, texts.join(seconds, "doc", "left_semi").dropDuplicates(["doc"])), "more-links")
+    more = written(open_links(nodes, classes, joined, texts), "more-links")
     final = components(links.unionByName(more))
     by_class = classes.join(final.withColumnRenamed("doc", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id"), "copies")

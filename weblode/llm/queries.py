@@ -1,7 +1,7 @@
 """One query per operator: the operator with production parameters over its whole table."""
 
 import corpus_pipeline
-from weblode.llm import chat, decontaminate, html_extract, line_dedup, near_dedup, packing, quality_rules, sharding
+from weblode.llm import chat, cotrain, decontaminate, html_extract, line_dedup, near_dedup, packing, quality_rules, sharding
 from weblode.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op5_ngram_perplexity(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("_key")
 
 
+def op6_cotrained_quality(spark, sf_dir):
+    return cotrain.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_winnowing(spark, sf_dir):
     return line_dedup.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -41,5 +45,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_island_packing, op2_snapshot_collapse, op4_template_decontamination, op5_ngram_perplexity, op7_line_winnowing, op8_chosen_path_join, op9_rendezvous_sharding, op10_dom_boosted_extraction, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_island_packing, op2_snapshot_collapse, op4_template_decontamination, op5_ngram_perplexity, op6_cotrained_quality, op7_line_winnowing, op8_chosen_path_join, op9_rendezvous_sharding, op10_dom_boosted_extraction, pipeline)}
 ORACLES = {"op2_snapshot_collapse": chat.ORACLE, "op4_template_decontamination": decontaminate.ORACLE, "op7_line_winnowing": line_dedup.ORACLE}
