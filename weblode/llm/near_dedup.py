@@ -5,7 +5,7 @@ documents by these hashes: a node picks one or two coordinates by a hash of its
 down to one child per picked coordinate, named by its minwise value there. Two sets with similarity J agree
 on a coordinate with probability J, so near copies meet in small nodes while others part. Nodes of at most
 ``NODE`` documents are compared exhaustively; larger ones branch on. ``TREES`` independent trees bring the
-chance to miss a link at J = 0.75 below 0.1 %.
+chance to miss a link at J = 0.75 to 4e-8 where nodes are small at once, 1e-5 after two levels and 1e-4 after three.
 
 Copies with equal sets are one class from the start. Links are confirmed on full shingle sets, in two steps
 that keep the number of confirmations linear:
@@ -37,9 +37,11 @@ COORDINATES = 64
 """Minwise hashes of 32 bits, by which nodes branch."""
 CHECKS = 128
 """More of them, 8 bits each, for estimates only."""
-TREES = 16
+TREES = 10
+HEAD_TREES = 4
+"""Trees whose nodes give step 1 its pairs."""
 LEVELS = 6
-NODE = 128
+NODE = 2048
 """Documents in a node that is compared exhaustively."""
 LOOSE = 117
 """Hashes of all 192 that must agree before a pair is confirmed on full sets. At J = 0.75 fewer agree with
@@ -150,7 +152,7 @@ def _coordinate(index: Column) -> Column:
 
 
 def _children(rows: DataFrame) -> DataFrame:
-    """Rows (rep, n_shingles, vector, node) to one row per child node.
+    """Rows (rep, vector, tree, node) to one row (rep, tree, node) per child node.
 
     A node of hash h takes coordinate h mod 64 and, with a chance of one in three, a second: 4/3 = 1/0.75
     children on average, so a pair at the threshold meets in about one child of each node it shares.
@@ -160,32 +162,32 @@ def _children(rows: DataFrame) -> DataFrame:
     second = F.pmod(first + 1 + F.pmod(F.shiftrightunsigned(draw, 8), F.lit(COORDINATES - 1)), F.lit(COORDINATES))
     picked = F.when(F.pmod(F.shiftrightunsigned(draw, 24), F.lit(3)) == 0, F.array(first, second)).otherwise(F.array(first))
     return (
-        rows.select("rep", "n_shingles", "vector", "node", F.explode(picked).alias("_at"))
-        .select("rep", "n_shingles", "vector", F.xxhash64("node", "_at", _coordinate(F.col("_at").cast("int"))).alias("node"))
+        rows.select("rep", "vector", "tree", "node", F.explode(picked).alias("_at"))
+        .select("rep", "tree", F.xxhash64("node", "_at", _coordinate(F.col("_at").cast("int"))).alias("node"))
     )
 
 
 def memberships(classes: DataFrame) -> DataFrame:
-    """(node, large, rep): documents of every node that is compared, nodes of one document left out.
+    """(node, large, last, tree, rep): documents of every node that is compared, nodes of one document left out.
 
     ``large`` marks nodes still over ``NODE`` documents: inner nodes that also branch on (level below the
     last), or leaves of the last level.
     """
-    rows = classes.select("rep", "n_shingles", "vector", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = rows.select("rep", "n_shingles", "vector", F.xxhash64(F.lit("tree"), "tree").alias("node"))
+    rows = classes.select("rep", "vector", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = rows.select("rep", "vector", "tree", F.xxhash64(F.lit("tree"), "tree").alias("node"))
     found = []
     for level in range(1, LEVELS + 1):
         # Inner levels are written narrow: the vectors of the few large nodes come back by a join.
-        children = written(_children(rows).select("node", "rep"), "paths")
+        children = written(_children(rows), "paths")
         sizes = children.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > 1)
         kept = children.join(sizes, "node")
-        found.append(kept.select("node", (F.col("size") > NODE).alias("large"), F.lit(level == LEVELS).alias("last"), "rep"))
+        found.append(kept.select("node", (F.col("size") > NODE).alias("large"), F.lit(level == LEVELS).alias("last"), "tree", "rep"))
         if level == LEVELS:
             break
-        large = written(kept.where(F.col("size") > NODE).select("node", "rep"), "large")
+        large = written(kept.where(F.col("size") > NODE).select("node", "tree", "rep"), "large")
         if large.isEmpty():
             break
-        rows = large.join(classes.select("rep", "n_shingles", "vector"), "rep")
+        rows = large.join(classes.select("rep", "vector"), "rep")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -297,6 +299,7 @@ def _order(column: str) -> Column:
 def first_links(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     """Step 1: for each document one pair with the first document among those it may be linked with as
     head of one of its nodes."""
+    nodes = nodes.where(F.col("tree") < HEAD_TREES)
     heads = nodes.groupBy("node").agg(F.min(_order("rep")).getField("rep").alias("a"))
     pairs = nodes.select("node", "rep").join(heads, "node").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     return filtered(pairs, classes).groupBy("b").agg(F.min(_order("a")).getField("a").alias("a")).select("a", "b")
