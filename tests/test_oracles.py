@@ -6,7 +6,7 @@ from conftest import SMALL
 
 import __spark_entry__ as entry
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from weblode.plans.catalog import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -26,3 +26,7 @@ def test_entry(spark):
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLES)
+
+
+def test_entry_offers_the_catalogue():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())

@@ -11,14 +11,21 @@ from weblode.schema import MAX_CONTENT_BYTES, MAX_URL_LENGTH
 
 
 def _verdict(failures: list) -> Column:
-    """Struct (allowed, reason, detail) from [(condition, reason, detail)] in order."""
+    """Struct (allowed, reason, detail) from [(condition, reason, detail)] in order.
+
+    The number of the first failing rule is found once; reason and detail are looked up by it.
+    """
+    number = None
+    for i, (condition, _, _) in enumerate(failures):
+        number = F.when(condition, i) if number is None else number.when(condition, i)
     reason = detail = None
-    for condition, why, text in failures:
+    for i, (_, why, text) in enumerate(failures):
         why = F.lit(why) if isinstance(why, str) else why
         text = F.lit(text) if isinstance(text, str) else text
-        reason = F.when(condition, why) if reason is None else reason.when(condition, why)
-        detail = F.when(condition, text) if detail is None else detail.when(condition, text)
-    return F.struct(reason.isNull().alias("allowed"), reason.alias("reason"), detail.alias("detail"))
+        own = number == i
+        reason = F.when(own, why) if reason is None else reason.when(own, why)
+        detail = F.when(own, text) if detail is None else detail.when(own, text)
+    return F.struct(number.isNull().alias("allowed"), reason.alias("reason"), detail.alias("detail"))
 
 
 def too_long(url: Column, limit: int = MAX_URL_LENGTH) -> Column:

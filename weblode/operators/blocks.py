@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 SALTS = 64
-BLOCKS = 1024
+BLOCKS = 128
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,18 +48,6 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str, limit_bytes: int = 256 << 20, share_bytes: int = 256 << 10) -> DataFrame:
-    """Deal a small table out to the cores before costly work on its rows.
-
-    A table of a few row groups would keep one core busy. A larger one has splits enough and is
-    returned as it is, so nothing is shuffled at scale.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > limit_bytes:
-        return df
-    return df.repartition(min(df.sparkSession.sparkContext.defaultParallelism, size // share_bytes + 1), key)
-
-
 def salt_of(*columns, salts: int = SALTS) -> Column:
     """Slice number of a row, a pure function of the row and so equal on every retry."""
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
@@ -110,15 +98,36 @@ def mark_first(df: DataFrame, key: list, order: list, out: str, eligible: Column
     )
 
 
-def block_of(df: DataFrame, column: str, blocks: int = BLOCKS) -> Column:
-    """Number of the equal-width block of a BIGINT column, 0 .. ``blocks`` - 1.
+def cut_points(df: DataFrame, column: str, blocks: int = BLOCKS) -> list:
+    """Up to ``blocks - 1`` ascending quantiles of a column; nulls do not count.
 
-    The range comes from one scalar aggregate of a single column. Any monotone cut gives right
-    results; the width only decides how evenly a hot group spreads.
+    A small job of its own, so that every reader of the cut uses the same numbers. Any cut gives right results;
+    quantiles make blocks of like size whatever the values, outliers included.
     """
-    width = F.floor((F.max(column) - F.min(column)) / blocks) + 1
-    bounds = df.agg(F.struct(F.min(column).alias("low"), width.alias("width")).alias("r")).scalar()
-    return F.floor((F.col(column) - bounds["low"]) / bounds["width"]).cast("bigint")
+    shares = [i / blocks for i in range(1, blocks)]
+    found = df.agg(F.percentile_approx(column, shares, 20 * blocks).alias("c")).first()["c"] if shares else None
+    return sorted(set(found or []))
+
+
+def block_number(column: str, cuts: list) -> Column:
+    """How many cut points lie below the value; 0 for NULL, which sorts first too."""
+    points = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
+    return F.size(F.filter(points, lambda c: c < F.col(column)))
+
+
+def block_of(df: DataFrame, column: str, blocks: int = BLOCKS) -> Column:
+    """Number of the quantile block of a column."""
+    return block_number(column, cut_points(df, column, blocks))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list, how: str = "left") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys of ``left`` stay."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = None
+    for k in keys:
+        same = left[k].eqNullSafe(renamed[f"_right_{k}"])
+        on = same if on is None else on & same
+    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def _with_offsets(df: DataFrame, group: list, major: list, column: str, blocks: int) -> tuple:
@@ -145,7 +154,7 @@ def rank_in_group(df: DataFrame, group: list, major: list, column: str, minor: l
     cut, offsets, key = _with_offsets(df, group, major, column, blocks)
     local = F.row_number().over(Window.partitionBy(*key).orderBy(column, *minor))
     return (
-        cut.withColumn("_local", local).join(offsets, key, "left")
+        join_null_safe(cut.withColumn("_local", local), offsets, key)
         .withColumn(out, (F.col("_offset") + F.col("_local")).cast("bigint"))
         .select(*df.columns, out)
     )
@@ -159,7 +168,7 @@ def mark_limit(df: DataFrame, group: list, major: list, column: str, minor: list
     beyond it are out by their counts alone; only the block that holds the limit is ranked.
     """
     cut, offsets, key = _with_offsets(df, group, major, column, blocks)
-    placed = cut.join(offsets, key, "left")
+    placed = join_null_safe(cut, offsets, key)
     within = F.col(limit).isNull() | (F.col("_end") <= F.col(limit))
     beyond = F.col("_offset") >= F.col(limit)
     local = F.row_number().over(Window.partitionBy(*key).orderBy(column, *minor))

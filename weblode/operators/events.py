@@ -8,7 +8,7 @@ merged.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weblode.functions import urls as U
-from weblode.operators.blocks import block_of, top_per_group
+from weblode.operators.blocks import block_number, block_of, cut_points, top_per_group
 from weblode.schema import EVENT_HISTORY, EVENT_LABELS, EVENT_RETENTION, REASON_LABELS, SYSTEM_JOB, URL_STATUSES
 
 ENTRY = ["parent_url", "depth", "status", "status_code", "content_type", "links_found",
@@ -53,22 +53,27 @@ def history(events: DataFrame, job_id: str, start: int = 0, count: int = EVENT_H
     return events.where(F.col("seq") >= start).orderBy("seq").limit(count).where(F.col("job_id") == job_id)
 
 
-def retain_latest(events: DataFrame, n: int = EVENT_RETENTION, blocks: int = 1024) -> DataFrame:
+def retain_latest(events: DataFrame, n: int = EVENT_RETENTION, blocks: int = 128) -> DataFrame:
     """The newest ``n`` events.
 
-    Counts per block of ``seq`` find the block in which the limit falls; newer blocks stay whole,
-    and only that one block is sorted. No task sorts the whole log.
+    Counts per block of ``seq`` find the block in which the limit falls. Newer blocks stay whole and only that one
+    is sorted; both are plain ranges of ``seq``, which the scan can skip files by. No task sorts the whole log.
     """
-    cut = events.withColumn("_b", block_of(events, "seq", blocks))
-    newer = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    # At most ``blocks`` rows reach this window.
-    sizes = cut.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
-    placed = cut.join(F.broadcast(sizes), "_b")
-    whole = placed.where(F.col("_newer") + F.col("_n") <= n)
-    edge = placed.where((F.col("_newer") < n) & (F.col("_newer") + F.col("_n") > n))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("seq")))
-    part = edge.withColumn("_rank", rank).where(F.col("_rank") + F.col("_newer") <= n).drop("_rank")
-    return whole.unionByName(part).select(*events.columns)
+    cuts = cut_points(events, "seq", blocks)
+    sizes = {r["b"]: r["n"] for r in events.groupBy(block_number("seq", cuts).alias("b")).agg(F.count("*").alias("n")).collect()}
+    newer = 0
+    for b in range(len(cuts), -1, -1):
+        if newer + sizes.get(b, 0) > n:
+            break
+        newer += sizes.get(b, 0)
+    else:
+        return events
+    in_block = (F.col("seq") > cuts[b - 1]) if b else F.lit(True)
+    if b < len(cuts):
+        older = (F.col("seq") <= cuts[b]) if b else F.col("seq").isNull() | (F.col("seq") <= cuts[b])
+        edge = events.where(in_block & older).orderBy(F.desc("seq")).limit(n - newer)
+        return events.where(F.col("seq") > cuts[b]).unionByName(edge)
+    return events.where(in_block).orderBy(F.desc("seq")).limit(n)
 
 
 def feed(events: DataFrame, n: int = 200, salts: int = 64) -> DataFrame:

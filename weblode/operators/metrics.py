@@ -38,14 +38,30 @@ def job_metrics(events: DataFrame) -> DataFrame:
 
 
 def pending_frontier(events: DataFrame) -> DataFrame:
-    """URLs accepted and not yet stored or discarded, with their first arrival."""
+    """URLs accepted and not yet stored or discarded, with their first arrival.
+
+    The host is read from the URL, as seeds are queued without one."""
     queued_at = F.when(_is("url_queued"), F.col("seq"))
     return (
-        events.where(F.col("url").isNotNull()).groupBy("job_id", "url", "domain").agg(
+        events.where(F.col("url").isNotNull()).groupBy("job_id", "url").agg(
             F.min(queued_at).alias("discovered_seq"), F.min_by("depth", queued_at).alias("depth"),
             F.count_if(_finished()).alias("_finished"))
         .where(F.col("discovered_seq").isNotNull() & (F.col("_finished") == 0))
-        .select("job_id", "url", "domain", "depth", "discovered_seq")
+        .select("job_id", "url", U.url_netloc("url").alias("domain"), "depth", "discovered_seq")
+    )
+
+
+def stored_fetches(events: DataFrame) -> DataFrame:
+    """(job_id, url, domain, ms, bytes, worker_id) of each stored URL: time and size of its last fetch, worker that
+    stored it last. Only fetch events carry the two, so they are brought together by URL."""
+    fetched_at, stored_at = F.when(_is("url_fetched"), F.col("seq")), F.when(_is("url_stored"), F.col("seq"))
+    last = lambda c, at: F.max_by(c, F.when(F.col(c).isNotNull(), at))
+    return (
+        events.where(F.col("url").isNotNull() & (_is("url_fetched") | _is("url_stored"))).groupBy("job_id", "url").agg(
+            F.max("domain").alias("domain"), last("fetch_duration_ms", fetched_at).alias("ms"),
+            last("content_length", fetched_at).alias("bytes"), last("worker_id", stored_at).alias("worker_id"),
+            F.max(stored_at).alias("_stored"))
+        .where(F.col("_stored").isNotNull()).drop("_stored")
     )
 
 
@@ -94,14 +110,15 @@ def half_up(value: Column, digits: int = 0) -> Column:
 
 def domain_stats(events: DataFrame, shards: int = QUEUE_SHARDS) -> DataFrame:
     """Queued, done, mean fetch time, busy worker and queue of each (job, domain)."""
-    took = F.when(_is("url_stored"), F.col("fetch_duration_ms").cast("bigint"))
     per_worker = _domain_activity(
-        events, F.count_if(_is("url_queued")).alias("queued"), F.count_if(_is("url_stored")).alias("done"),
-        F.sum(took).alias("took"), F.count(took).alias("timed"))
-    mean = F.when(F.sum("timed") > 0, half_up(F.sum("took") / F.sum("timed"), 1)).otherwise(F.lit(0.0))
-    out = per_worker.groupBy("job_id", "domain").agg(
-        F.sum("queued").alias("queued"), F.sum("done").alias("done"), mean.alias("avg_fetch_ms"),
-        _active_worker().alias("active_worker"))
+        events, F.count_if(_is("url_queued")).alias("queued"), F.count_if(_is("url_stored")).alias("done"))
+    counts = per_worker.groupBy("job_id", "domain").agg(
+        F.sum("queued").alias("queued"), F.sum("done").alias("done"), _active_worker().alias("active_worker"))
+    took = stored_fetches(events).groupBy("job_id", "domain").agg(
+        F.sum(F.col("ms").cast("bigint")).alias("_took"), F.count("ms").alias("_timed"))
+    mean = F.when(F.col("_timed") > 0, half_up(F.col("_took") / F.col("_timed"), 1)).otherwise(F.lit(0.0))
+    out = counts.join(took, ["job_id", "domain"], "left").select(
+        "job_id", "domain", "queued", "done", mean.alias("avg_fetch_ms"), "active_worker")
     return out.withColumn("queue_shard", U.queue_shard("domain", shards)).withColumn("queue_name", U.queue_name("queue_shard"))
 
 
@@ -154,12 +171,13 @@ def worker_stats(events: DataFrame) -> DataFrame:
     """Pages stored, bytes of stored pages, last status and last sign of life of each worker."""
     per_status = events.where(F.col("worker_id").isNotNull()).groupBy("worker_id", "status").agg(
         _n(_is("url_stored")).alias("urls_processed"), _n(_is("url_error")).alias("errors"),
-        F.sum(F.when(_is("url_stored"), F.col("content_length"))).alias("bytes_downloaded"),
         F.max("seq").alias("last_seq"), F.max("ts").alias("last_heartbeat"))
+    size = stored_fetches(events).groupBy("worker_id").agg(F.sum("bytes").alias("_bytes"))
     return per_status.groupBy("worker_id").agg(
         F.sum("urls_processed").alias("urls_processed"), F.sum("errors").alias("errors"),
-        F.coalesce(F.sum("bytes_downloaded"), F.lit(0)).alias("bytes_downloaded"),
-        F.max_by("status", "last_seq").alias("last_status"), F.max("last_heartbeat").alias("last_heartbeat"))
+        F.max_by("status", "last_seq").alias("last_status"), F.max("last_heartbeat").alias("last_heartbeat"),
+    ).join(size, "worker_id", "left").select(
+        "worker_id", "urls_processed", "errors", F.coalesce("_bytes", F.lit(0)).alias("bytes_downloaded"), "last_status", "last_heartbeat")
 
 
 def worker_liveness(events: DataFrame, ttl_seconds: int = WORKER_TTL_SECONDS) -> DataFrame:
@@ -205,7 +223,7 @@ def feed_counts(events: DataFrame) -> DataFrame:
 
 def job_latency(events: DataFrame) -> DataFrame:
     """Sum of fetch times of the stored pages of each job."""
-    return events.where(_is("url_stored")).groupBy("job_id").agg(F.sum("fetch_duration_ms").alias("latency_sum"))
+    return stored_fetches(events).groupBy("job_id").agg(F.sum("ms").alias("latency_sum"))
 
 
 def job_status(jobs: DataFrame, events: DataFrame) -> DataFrame:
@@ -223,12 +241,13 @@ def job_overview(jobs: DataFrame, events: DataFrame) -> DataFrame:
     """Jobs with their live counters; a stored counter is used where no live one exists."""
     stored = _is("url_stored")
     activity = events.groupBy("job_id").agg(
-        F.sum(F.when(stored, F.col("content_length"))).alias("_bytes"), F.count_if(stored).alias("_stored"),
+        F.count_if(stored).alias("_stored"),
         F.max(micros(F.col("ts"))).alias("_hi"), F.min(micros(F.col("ts"))).alias("_lo"))
     m = job_metrics(events).select("job_id", F.col("queued_total").alias("_q"), F.col("done").alias("_d"), F.col("discarded").alias("_x"))
+    size = stored_fetches(events).groupBy("job_id").agg(F.sum("bytes").alias("_bytes"))
     seconds = (F.col("_hi") - F.col("_lo")) / 1e6
     return (
-        jobs.join(m, "job_id", "left").join(activity, "job_id", "left").select(
+        jobs.join(m, "job_id", "left").join(activity, "job_id", "left").join(size, "job_id", "left").select(
             "job_id", "name", "status",
             F.coalesce("_q", "urls_queued").alias("urls_queued"),
             F.coalesce("_d", "urls_fetched").alias("urls_fetched"),

@@ -677,8 +677,8 @@ def success_rate(spark, sf):
 
 
 @query("worker_stats", """SELECT worker_id, count(*) FILTER (event_type = 'url_stored') AS urls_processed, count(*) FILTER (event_type = 'url_error') AS errors,
-  CAST(coalesce(sum(content_length) FILTER (event_type = 'url_stored'), 0) AS BIGINT) AS bytes_downloaded, arg_max(status, seq) AS last_status,
-  max(ts) AS last_heartbeat FROM crawl_events GROUP BY worker_id""", "crawl_events")
+  CAST(coalesce((SELECT sum(bytes) FROM stored_fetches f WHERE f.worker_id = e.worker_id), 0) AS BIGINT) AS bytes_downloaded, arg_max(status, seq) AS last_status,
+  max(ts) AS last_heartbeat FROM crawl_events e GROUP BY worker_id""", "stored_fetches")
 def worker_stats(spark, sf):
     return M.worker_stats(log(spark, sf))
 
@@ -688,8 +688,8 @@ def feed_counts(spark, sf):
     return M.feed_counts(log(spark, sf))
 
 
-@query("job_latency", """SELECT job_id, floor(sum(fetch_duration_ms) * 10 + 0.5) / 10 AS latency_sum FROM crawl_events WHERE event_type = 'url_stored'
-GROUP BY job_id""", "crawl_events")
+@query("job_latency", """SELECT job_id, floor(sum(ms) * 10 + 0.5) / 10 AS latency_sum FROM stored_fetches
+GROUP BY job_id""", "stored_fetches")
 def job_latency(spark, sf):
     return M.job_latency(log(spark, sf)).withColumn("latency_sum", M.half_up(F.col("latency_sum"), 1))
 
@@ -706,8 +706,8 @@ def job_status_fold(spark, sf):
   coalesce(m.done, j.urls_fetched) AS urls_fetched, coalesce(m.discarded, j.urls_discarded) AS urls_discarded,
   coalesce(a.bytes, 0) AS bytes_downloaded, floor(coalesce(a.stored / a.seconds, 0.0) * 1e9::DOUBLE + 0.5) / 1e9::DOUBLE AS pages_per_second
 FROM jobs j LEFT JOIN job_metrics m ON j.job_id = m.job_id LEFT JOIN (
-  SELECT job_id, CAST(sum(content_length) FILTER (event_type = 'url_stored') AS BIGINT) AS bytes, count(*) FILTER (event_type = 'url_stored') AS stored,
-    (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6::DOUBLE AS seconds FROM crawl_events GROUP BY job_id) a ON j.job_id = a.job_id""", "jobs job_metrics")
+  SELECT job_id, CAST((SELECT sum(bytes) FROM stored_fetches f WHERE f.job_id = e.job_id) AS BIGINT) AS bytes, count(*) FILTER (event_type = 'url_stored') AS stored,
+    (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6::DOUBLE AS seconds FROM crawl_events e GROUP BY job_id) a ON j.job_id = a.job_id""", "jobs job_metrics stored_fetches")
 def job_overview(spark, sf):
     out = M.job_overview(D.jobs(D.events(spark, sf)), log(spark, sf))
     return out.withColumn("pages_per_second", M.half_up(F.col("pages_per_second"), 9))

@@ -41,7 +41,10 @@ def stream_live_metrics(spark, sf):
     return sink.last_batch(spark, path)
 
 
-@query("stream_domain_stats", "SELECT job_id, domain, queued, done, avg_fetch_ms, active_worker FROM domain_stats", "domain_stats")
+@query("stream_domain_stats", """SELECT job_id, domain, queued, done, coalesce(floor(took / timed * 10 + 0.5) / 10, 0.0) AS avg_fetch_ms, active_worker
+FROM domain_stats LEFT JOIN (
+  SELECT job_id, domain, CAST(sum(CAST(trunc(fetch_duration_ms) AS BIGINT)) AS DOUBLE) AS took, count(fetch_duration_ms) AS timed
+  FROM crawl_events WHERE event_type = 'url_fetched' GROUP BY job_id, domain) t USING (job_id, domain)""", "domain_stats")
 def stream_domain_stats(spark, sf):
     path = scratch_path(spark, "domains")
     sink.drain(folds.domain_stats(live_log(spark, sf)), path, "update")

@@ -1,5 +1,6 @@
 """Plans that chain operators: link discovery, one crawl step, and a whole crawl by levels."""
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
@@ -65,7 +66,7 @@ def url_judge(jobs: DataFrame, suffixes):
     return judge
 
 
-def crawl_levels(seeds: DataFrame, edges: DataFrame, limits: DataFrame, judge=None, max_levels: int = 64) -> DataFrame:
+def crawl_levels(seeds: DataFrame, edges: DataFrame, limits: DataFrame, judge=None) -> DataFrame:
     """Crawl a link table level by level; (job_id, node, depth, parent, parent_seq, pos) per node.
 
     ``seeds`` (job_id, node, seq), ``edges`` (src, dst, dst_seq, pos), ``limits`` (job_id,
@@ -95,7 +96,7 @@ def crawl_levels(seeds: DataFrame, edges: DataFrame, limits: DataFrame, judge=No
         "job_id", "node", F.col("seq").cast("bigint").alias("seq"), F.lit(0).alias("depth"),
         F.lit(None).cast(node_type).alias("parent"), F.lit(None).cast("bigint").alias("parent_seq"),
         F.lit(None).cast("int").alias("pos")))
-    for depth in range(1, max_levels + 1):
+    for depth in itertools.count(1):  # ends when a level is empty, at each job's own depth at the latest
         known = spark.read.schema(schema).parquet(*paths)
         used = known.groupBy("job_id").agg(F.count("*").alias("_used"))
         room = bounds.join(used, "job_id", "left").select(

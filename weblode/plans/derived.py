@@ -7,7 +7,6 @@ named. The same definitions are written in SQL in ``oracle.py``.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weblode.functions import urls as U
-from weblode.operators.blocks import spread
 from weblode.operators.events import micros
 from weblode.operators.extract import explode_links, extract_pages
 from weblode.operators.filters import classify_fetches, robots_rules, robots_verdict
@@ -16,7 +15,7 @@ SUFFIXES = ["com", "net", "org"]
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf}/pages.parquet"), "page_id")
+    return spark.read.parquet(f"{sf}/pages.parquet")
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,7 +38,7 @@ def crawl_events(raw: DataFrame) -> DataFrame:
     host = F.concat(F.lit("d"), text(user % 40), F.lit(".example.com"))
     url = F.concat(F.lit("https://"), host, F.lit("/"), text(user), F.lit("/"), text(k % 5))
     parent = F.concat(F.lit("https://d"), text((user * 7 + 3) % 40), F.lit(".example.com/"))
-    paged = kind.isin("click", "purchase")
+    fetched = kind == "click"
     reason = F.element_at(F.array(*[F.lit(r) for r in ("duplicate", "max_depth", "robots_txt", "http_error", "wrong_domain")]),
                           (eid % 5 + 1).cast("int"))
     metrics = F.map_filter(F.create_map(
@@ -59,8 +58,8 @@ def crawl_events(raw: DataFrame) -> DataFrame:
         pick(click=200).alias("status_code"),
         pick(click="text/html").alias("content_type"),
         pick(purchase=k % 7).alias("links_found"),
-        F.when(paged, F.col("value") * 10).alias("fetch_duration_ms"),
-        F.when(paged, k * 1000).alias("content_length"),
+        F.when(fetched, F.col("value") * 10).alias("fetch_duration_ms"),
+        F.when(fetched, k * 1000).alias("content_length"),
         F.when(kind == "error", reason).alias("discard_reason"),
         F.when(kind == "error", F.concat(F.lit("k="), text(k))).alias("discard_detail"),
         F.when(kind == "error", F.when((eid % 5).isin(2, 3), "fetch").otherwise("link")).alias("discard_stage"),
@@ -144,7 +143,7 @@ def fetch_outcomes(pages: DataFrame) -> DataFrame:
     """Fetch log with robots and fetch rules applied; the page text stays out of it."""
     log = fetches(pages.select("page_id", "url", "html")).drop("html")
     checked = robots_verdict(U.with_url_parts(log, "url"), robots_rules(robots(pages)))
-    return classify_fetches(checked).withColumn("parent_url", F.lit(None).cast("string"))
+    return classify_fetches(checked).withColumn("parent_url", F.lit(None).cast("string"))  # the fetch log has none
 
 
 def stored_pages(pages: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ SELECT event_id AS seq, ts, concat('job-', user_id % 4) AS job_id,
   CASE WHEN event_type = 'click' THEN 200 END AS status_code,
   CASE WHEN event_type = 'click' THEN 'text/html' END AS content_type,
   CASE WHEN event_type = 'purchase' THEN k % 7 END AS links_found,
-  CASE WHEN event_type IN ('click', 'purchase') THEN value * 10 END AS fetch_duration_ms,
-  CASE WHEN event_type IN ('click', 'purchase') THEN k * 1000 END AS content_length,
+  CASE WHEN event_type = 'click' THEN value * 10 END AS fetch_duration_ms,
+  CASE WHEN event_type = 'click' THEN k * 1000 END AS content_length,
   CASE WHEN event_type = 'error' THEN CASE event_id % 5 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'max_depth'
     WHEN 2 THEN 'robots_txt' WHEN 3 THEN 'http_error' ELSE 'wrong_domain' END END AS discard_reason,
   CASE WHEN event_type = 'error' THEN concat('k=', k) END AS discard_detail,
@@ -137,16 +137,20 @@ SELECT job_id, url, status, depth, discard_reason, seq FROM (
   FROM crawl_events WHERE coalesce(discard_stage, '') <> 'link') s WHERE rn = 1""",
     "pending": """
 SELECT job_id, url, domain, depth, discovered_seq FROM (
-  SELECT job_id, url, domain, min(CASE WHEN event_type = 'url_queued' THEN seq END) AS discovered_seq,
+  SELECT job_id, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain, min(CASE WHEN event_type = 'url_queued' THEN seq END) AS discovered_seq,
     arg_min(depth, CASE WHEN event_type = 'url_queued' THEN seq END) AS depth,
     count(*) FILTER (event_type = 'url_stored' OR discard_stage = 'fetch') AS finished
-  FROM crawl_events GROUP BY job_id, url, domain) p WHERE discovered_seq IS NOT NULL AND finished = 0""",
+  FROM crawl_events GROUP BY job_id, url) p WHERE discovered_seq IS NOT NULL AND finished = 0""",
     "job_metrics": """
 SELECT job_id, CAST(sum(q) AS BIGINT) AS queued_total, CAST(sum(d) AS BIGINT) AS done, CAST(sum(x) AS BIGINT) AS discarded,
   CAST(sum(e) AS BIGINT) AS error, count(*) FILTER (q > 0) AS accepted_total, count(*) FILTER (q > 0 AND d = 0 AND x = 0) AS frontier_depth
 FROM (SELECT job_id, url, count(*) FILTER (event_type = 'url_queued') AS q, count(*) FILTER (event_type = 'url_stored') AS d,
     count(*) FILTER (discard_stage = 'fetch') AS x, count(*) FILTER (event_type = 'url_error') AS e
   FROM crawl_events GROUP BY job_id, url) u GROUP BY job_id""",
+    "stored_fetches": """
+SELECT job_id, url, max(domain) AS domain, arg_max(fetch_duration_ms, seq) FILTER (event_type = 'url_fetched') AS ms,
+  arg_max(content_length, seq) FILTER (event_type = 'url_fetched') AS bytes, arg_max(worker_id, seq) FILTER (event_type = 'url_stored') AS worker_id
+FROM crawl_events GROUP BY job_id, url HAVING count(*) FILTER (event_type = 'url_stored') > 0""",
     "active": """
 SELECT job_id, domain, CASE WHEN event_type = 'url_fetching' THEN worker_id END AS active_worker FROM (
   SELECT *, row_number() OVER (PARTITION BY job_id, domain ORDER BY CASE WHEN event_type IN ('url_fetching', 'url_stored', 'url_discarded')
@@ -155,10 +159,11 @@ SELECT job_id, domain, CASE WHEN event_type = 'url_fetching' THEN worker_id END
 SELECT s.job_id, s.domain, queued, done, avg_fetch_ms, active_worker,
   CAST(instr('0123456789abcdef', right(md5(s.domain), 1)) - 1 AS INT) AS queue_shard,
   concat('crawl.', instr('0123456789abcdef', right(md5(s.domain), 1)) - 1) AS queue_name FROM (
-  SELECT job_id, domain, count(*) FILTER (event_type = 'url_queued') AS queued, count(*) FILTER (event_type = 'url_stored') AS done,
-    coalesce(floor(CAST(sum(CASE WHEN event_type = 'url_stored' THEN CAST(trunc(fetch_duration_ms) AS BIGINT) END) AS DOUBLE)
-      / count(CASE WHEN event_type = 'url_stored' THEN fetch_duration_ms END) * 10 + 0.5) / 10, 0.0) AS avg_fetch_ms
-  FROM crawl_events GROUP BY job_id, domain) s JOIN active a ON s.job_id = a.job_id AND s.domain = a.domain""",
+  SELECT job_id, domain, queued, done, coalesce(floor(took / timed * 10 + 0.5) / 10, 0.0) AS avg_fetch_ms FROM (
+    SELECT job_id, domain, count(*) FILTER (event_type = 'url_queued') AS queued, count(*) FILTER (event_type = 'url_stored') AS done
+    FROM crawl_events GROUP BY job_id, domain) c LEFT JOIN (
+    SELECT job_id, domain, CAST(sum(CAST(trunc(ms) AS BIGINT)) AS DOUBLE) AS took, count(ms) AS timed FROM stored_fetches GROUP BY job_id, domain) t
+  USING (job_id, domain)) s JOIN active a ON s.job_id = a.job_id AND s.domain = a.domain""",
     "link_graph": """
 SELECT page_id AS src, (page_id * 7 + 3) % (SELECT count(*) FROM pages) AS dst, 0 AS pos FROM pages
 UNION ALL SELECT page_id, (page_id * 13 + 5) % (SELECT count(*) FROM pages), 1 FROM pages
@@ -170,7 +175,7 @@ NEEDS = {
     "links": ["fetches"], "judged_links": ["links", "jobs"], "link_outcomes": ["judged_links"],
     "fetch_outcomes": ["fetches", "blocked"], "stored": ["fetches"], "url_state": ["crawl_events"],
     "url_state_fetch": ["crawl_events"], "pending": ["crawl_events"], "job_metrics": ["crawl_events"],
-    "active": ["crawl_events"], "domain_stats": ["crawl_events", "active"],
+    "active": ["crawl_events"], "domain_stats": ["crawl_events", "active", "stored_fetches"], "stored_fetches": ["crawl_events"],
 }
 
 

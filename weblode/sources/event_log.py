@@ -34,6 +34,13 @@ def _typed(field: T.StructField, text: Column) -> Column:
     return text.try_cast(kind)
 
 
+def _unreadable(field: T.StructField, text: Column) -> Column:
+    """The text cannot be read as the type. A struct of nulls does not tell, so JSON is looked at as such."""
+    if isinstance(field.dataType, T.StructType):
+        return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False)) == F.lit(False)
+    return _typed(field, text).isNull()
+
+
 def decode_events(raw: DataFrame, data: str = "data", keep=()) -> DataFrame:
     """Flat maps to typed events plus ``error``: NULL for a valid event, else what is wrong with it.
 
@@ -55,7 +62,7 @@ def decode_events(raw: DataFrame, data: str = "data", keep=()) -> DataFrame:
         check(~value(name).isin(*allowed), f"{name} unknown")
     for field in EVENT:
         if not isinstance(field.dataType, T.StringType):
-            check(value(field.name).isNotNull() & _typed(field, value(field.name)).isNull(), f"{field.name} malformed")
+            check(value(field.name).isNotNull() & _unreadable(field, value(field.name)), f"{field.name} malformed")
     return raw.select(*keep, *[_typed(f, value(f.name)).alias(f.name) for f in EVENT], error.alias("error"))
 
 

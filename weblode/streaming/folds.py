@@ -28,9 +28,11 @@ def url_state(stream: DataFrame, ignore_link_stage: bool = False) -> DataFrame:
 
 
 def domain_stats(stream: DataFrame) -> DataFrame:
-    """Counters and busy worker per (job, domain) (update). One aggregate, as streams want it."""
+    """Counters and busy worker per (job, domain) (update). One aggregate, as streams want it.
+
+    ``avg_fetch_ms`` is over fetches as they end; the batch form waits for their pages to be stored."""
     kind = F.col("event_type")
-    took = F.when(kind == "url_stored", F.col("fetch_duration_ms").cast("bigint"))
+    took = F.when(kind == "url_fetched", F.col("fetch_duration_ms").cast("bigint"))
     own = stream.where(F.col("domain").isNotNull() & (F.col("job_id") != SYSTEM_JOB))
     return own.groupBy("job_id", "domain").agg(
         F.count_if(kind == "url_queued").alias("queued"), F.count_if(kind == "url_stored").alias("done"),
