@@ -31,7 +31,7 @@ def make(n=1500, seed=7):
         metrics = {rng.choice(["queued_total", "done", "frontier_depth"]): float(rng.randrange(100))} if rng.random() < 0.02 else None
         out.append((seq, t, job, kind, KINDS[kind], f"w{rng.randrange(4)}", url.split("/")[2], url, "p", "s" if kind == "url_queued" else None,
                     url if kind == "url_queued" else None, rng.randrange(5), rng.choice([None, 200, 404]), None, None,
-                    float(rng.randrange(500)) if kind == "url_stored" else None, 10, stage and "duplicate", None, stage, metrics))
+                    float(rng.randrange(500)) if kind == "url_fetched" else None, 10 if kind == "url_fetched" else None, stage and "duplicate", None, stage, metrics))
     return out
 
 
@@ -114,8 +114,10 @@ def test_active_domains(rows, log):
     assert {(r.job_id, r.domain): r.active_worker for r in E.active_domains(log).collect()} == active
     stats = {(r.job_id, r.domain): r for r in M.domain_stats(log).collect()}
     for key, r in stats.items():
-        times = [int(x[15]) for x in rows if (x[2], x[6]) == key and x[3] == "url_stored"]
-        assert r.active_worker == active[key] and r.done == len(times)
+        stored = [x[7] for x in rows if (x[2], x[6]) == key and x[3] == "url_stored"]
+        last = {x[7]: x[15] for x in rows if x[2] == key[0] and x[3] == "url_fetched"}
+        times = [int(last[url]) for url in set(stored) if url in last]
+        assert r.active_worker == active[key] and r.done == len(stored)
         assert r.avg_fetch_ms == pytest.approx(round(sum(times) / len(times), 1) if times else 0, abs=0.051)
 
 
@@ -217,3 +219,44 @@ def test_wire_rejects(spark):
     assert len(kept) == 1 and kept[0].job_id == "12" and kept[0].url == "true"
     assert sorted(r.error for r in event_log.invalid_events(decoded).collect()) == [
         "depth malformed", "event_type unknown", "job_id missing", "status unknown", "timestamp malformed"]
+
+
+def wire(**fields):
+    base = dict.fromkeys([c.split()[0] for c in SCHEMA.split(", ")])
+    return tuple({**base, "job_id": "j", "ts": datetime(2024, 1, 1), **fields}.values())
+
+
+def test_fetch_figures_come_from_fetch_events(spark):
+    """Stored events carry neither time nor size; a seed is queued without host, shard or worker."""
+    url, other = "https://h.example/a", "https://h.example/b"
+    log = spark.createDataFrame([
+        wire(seq=1, event_type="url_queued", status="queued", url=url, depth=0),
+        wire(seq=2, event_type="url_fetched", status="fetched", url=url, domain="h.example", worker_id="w1", fetch_duration_ms=40.0, content_length=7),
+        wire(seq=3, event_type="url_fetched", status="fetched", url=url, domain="h.example", worker_id="w1", fetch_duration_ms=80.5, content_length=9),
+        wire(seq=4, event_type="url_stored", status="done", url=url, domain="h.example", worker_id="w2"),
+        wire(seq=5, event_type="url_fetched", status="fetched", url=other, domain="h.example", worker_id="w1", fetch_duration_ms=999.0, content_length=999),
+        wire(seq=6, event_type="url_queued", status="queued", url="https://s.example:8080/", depth=0),
+    ], SCHEMA)
+    stats = {r.domain: r for r in M.domain_stats(log).collect()}
+    assert stats["h.example"].avg_fetch_ms == 80.0 and stats["h.example"].done == 1
+    assert {r.worker_id: r.bytes_downloaded for r in M.worker_stats(log).collect()} == {"w1": 0, "w2": 9}
+    assert M.job_latency(log).first().latency_sum == 80.5
+    pending = M.pending_frontier(log).collect()
+    assert [(r.url, r.domain) for r in pending] == [("https://s.example:8080/", "s.example:8080")]
+    assert M.job_metrics(log).first().frontier_depth == len(pending)
+
+
+def test_worker_state_must_be_an_object(spark):
+    raw = spark.createDataFrame([(1, {"event_type": "url_queued", "job_id": "j", "worker_state": "not json"}),
+                                 (2, {"event_type": "url_queued", "job_id": "j", "worker_state": "[1]"}),
+                                 (3, {"event_type": "url_queued", "job_id": "j", "worker_state": '{"status": "idle"}'}),
+                                 (4, {"event_type": "url_queued", "job_id": "j"})], "n int, data map<string,string>")
+    got = {r.n: r.error for r in event_log.decode_events(raw, keep=["n"]).collect()}
+    assert got == {1: "worker_state malformed", 2: "worker_state malformed", 3: None, 4: None}
+
+
+def test_retention_keeps_the_newest(spark):
+    df = spark.range(1000).selectExpr("id AS seq", "id * 2 AS x").union(spark.sql("SELECT CAST(NULL AS bigint), 1L"))
+    for n in (0, 1, 37, 500, 999, 1000, 1001, 5000):
+        got = sorted((r.seq is not None, r.seq or 0) for r in E.retain_latest(df, n, blocks=16).collect())
+        assert len(got) == min(n, 1001) and [s for ok, s in got if ok] == list(range(1000))[max(0, 1000 - n):]

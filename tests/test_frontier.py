@@ -163,3 +163,27 @@ def test_seeds_and_config(spark):
     j, k = Q.job_config(jobs).orderBy("job_id").collect()
     assert (j.max_depth, j.max_pages, j.respect_robots, j.allowed_domains) == (9, 5, False, None)
     assert (k.max_depth, k.max_pages, k.respect_robots, k.allowed_domains, k.politeness_delay) == (2, None, True, ["a"], 1.0)
+
+
+def test_rows_without_order_are_kept(spark):
+    df = spark.createDataFrame([("a", 1, 5, 1, 2), ("a", 1, None, 2, 2), ("a", None, 7, 3, 2), (None, 1, None, 4, 1), (None, 1, 3, 5, 1)],
+                               "g string, depth int, seq bigint, id int, cap bigint")
+    ranked = {r.id: r.place for r in blocks.rank_in_group(df, ["g"], ["depth"], "seq", ["id"], "place").collect()}
+    assert ranked == {3: 1, 2: 2, 1: 3, 4: 1, 5: 2}
+    marked = {r.id: r.kept for r in blocks.mark_limit(df, ["g"], ["depth"], "seq", ["id"], "cap", "kept").collect()}
+    assert marked == {3: True, 2: True, 1: False, 4: True, 5: False}
+
+
+def test_blocks_are_even_whatever_the_values(spark):
+    df = spark.range(1000).selectExpr("id AS seq").union(spark.createDataFrame([(2 ** 62,), (-2 ** 62,), (None,)], "seq bigint"))
+    sizes = [r["n"] for r in df.groupBy(blocks.block_of(df, "seq", 10).alias("b")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 10 and max(sizes) <= 110
+
+
+def test_levels_go_as_deep_as_the_links(spark):
+    from weblode.plans.crawl import crawl_levels
+    edges = spark.range(20).selectExpr("id AS src", "id + 1 AS dst", "id + 1 AS dst_seq", "0 AS pos")
+    seeds = spark.createDataFrame([("j", 0, 0)], "job_id string, node bigint, seq bigint")
+    limits = spark.createDataFrame([("j", 12, 1000)], "job_id string, max_depth int, max_pages bigint")
+    got = crawl_levels(seeds, edges, limits)
+    assert got.count() == 13 and got.agg(F.max("depth")).first()[0] == 12
