@@ -292,7 +292,8 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(_key, start, stop): ranges of window starts whose 200 bytes occur elsewhere, and the texts (_key, text) they
     are in. ``docs``: _key, text."""
     runs = docs.mapInArrow(_find_runs, RUN)
-    often = runs.select("gram").groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram")
+    # Written, so that the join below has an exchange on either side and a hot gram can be split.
+    often = written(runs.select("gram").groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram"), "grams")
     shared = written(runs.join(often, "gram", "left_semi"), "runs")
     kinds = written(shared.groupBy("gram", "whole").agg(F.count("*").alias("copies"), F.min(F.struct(
         "_key", "at", "count", "lead")).alias("one")), "run-kinds")
@@ -308,7 +309,8 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pieces = written(pieces, "run-bytes")
     sorted_ = (pieces.where("NOT hot").select("gram", "_key", "at", "count", "bytes").repartition("gram")
                .sortWithinPartitions("gram").mapInArrow(_sort_buckets, "_key bigint, start bigint, stop bigint"))
-    windows = written(pieces.where("hot").select("_key", "at", "count", "bytes").mapInArrow(
+    # Dealt out first: the runs of a hot bucket often come from neighbouring texts.
+    windows = written(pieces.where("hot").select("_key", "at", "count", "bytes").repartition("_key", "at").mapInArrow(
         _hash_windows, "_key bigint, at bigint, h bigint, g bigint"), "hot-windows")
     twice = windows.groupBy("h", "g").agg(F.count("*").alias("_n")).where("_n > 1").select("h", "g")
     hot = windows.join(twice, ["h", "g"], "left_semi").select("_key", F.col("at").alias("start"), (F.col("at") + 1).alias("stop"))
