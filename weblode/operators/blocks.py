@@ -53,6 +53,17 @@ def salt_of(*columns, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
 
 
+def join_spread(rows: DataFrame, one_per_key: DataFrame, key: list, by: list, how: str = "left", salts: int = 16) -> DataFrame:
+    """Attach one row per key to rows of which a single key may hold a large part.
+
+    The small side is repeated once per slice and rows meet it by (key, slice), a slice being a hash of columns
+    ``by``. No task gets a whole key when the join shuffles, and later windows on wider keys get an exchange of
+    their own, since the result is not partitioned by the key alone.
+    """
+    sliced = one_per_key.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_spread", salt_of(*by, salts=salts)).join(sliced, [*key, "_spread"], how).drop("_spread")
+
+
 def ordering(names) -> list:
     """Sort columns from names; a leading '-' means descending."""
     return [F.desc(n[1:]) if n.startswith("-") else F.asc(n) for n in names]

@@ -8,7 +8,7 @@ merged.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weblode.functions import urls as U
-from weblode.operators.blocks import block_number, block_of, cut_points, top_per_group
+from weblode.operators.blocks import block_number, block_of, cut_points, join_spread, top_per_group
 from weblode.schema import EVENT_HISTORY, EVENT_LABELS, EVENT_RETENTION, REASON_LABELS, SYSTEM_JOB, URL_STATUSES
 
 ENTRY = ["parent_url", "depth", "status", "status_code", "content_type", "links_found",
@@ -168,7 +168,7 @@ def live_graph_nodes(events: DataFrame, max_nodes: int | None = None, blocks: in
         first = rows.groupBy("job_id", "url").agg(F.min("seq").alias("seq"))
         last = top_per_group(first, ["job_id"], ["seq"], max_nodes).groupBy("job_id").agg(
             F.max("seq").alias("_last"), F.count("*").alias("_n"))
-        rows = rows.join(last, "job_id").where((F.col("_n") < max_nodes) | (F.col("seq") <= F.col("_last"))).drop("_last", "_n")
+        rows = join_spread(rows, last, ["job_id"], ["url", "seq"], "inner").where((F.col("_n") < max_nodes) | (F.col("seq") <= F.col("_last"))).drop("_last", "_n")
     rows = rows.withColumn("_b", block_of(rows, "seq", blocks))
     w = Window.partitionBy("job_id", "url", "_b").orderBy("seq")
     before = F.lag("status").over(w)

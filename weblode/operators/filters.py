@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from weblode.functions import robots as R, rules, urls as U
-from weblode.operators.blocks import top_per_group
+from weblode.operators.blocks import join_spread, top_per_group
 from weblode.schema import MAX_CONTENT_BYTES, MAX_DEPTH, MAX_URL_LENGTH
 
 CONFIG = ["max_depth", "max_pages", "allowed_domains", "url_pattern"]
@@ -21,9 +21,16 @@ def resolve_links(links: DataFrame, base: str = "page_url", href: str = "href",
     return U.with_url_parts(parsed, out, "u")
 
 
-def with_config(df: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Attach the settings of each row's job; one config row per job, so no row multiplies."""
-    return df.join(jobs.select("job_id", *CONFIG), "job_id", "left")
+def with_config(df: DataFrame, jobs: DataFrame, by: str = "url") -> DataFrame:
+    """Attach the settings of each row's job; one config row per job, so no row multiplies. A job with very many
+    rows is met slice by slice of column ``by``."""
+    return join_spread(df, jobs.select("job_id", *CONFIG), ["job_id"], [by])
+
+
+def skipped_links(links: DataFrame, base: str = "page_url", href: str = "href") -> DataFrame:
+    """(job_id, skipped_links): links that cannot be parsed and so have no target; jobs without any are left out."""
+    return U.with_resolved_url(links, base, href, "_target").where(F.col("_target").isNull()).groupBy("job_id").agg(
+        F.count("*").alias("skipped_links"))
 
 
 def classify_urls(df: DataFrame, suffixes, url: str = "url", parts: str = "u", depth: str = "depth",

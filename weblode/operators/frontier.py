@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from weblode.functions import urls as U
 from weblode.operators.blocks import (
-    BLOCKS, mark_first, mark_limit, rank_in_group, top_per_group)
-from weblode.schema import POLITENESS_DELAY_MS, QUEUE_SHARDS
+    BLOCKS, join_spread, mark_first, mark_limit, rank_in_group, top_per_group)
+from weblode.schema import MAX_PAGES, POLITENESS_DELAY_MS, QUEUE_SHARDS
 
 ARRIVAL = ["depth", "parent_seq", "pos"]
 
@@ -105,12 +105,17 @@ def dispatch_plan(frontier: DataFrame, shards: int = QUEUE_SHARDS, blocks: int =
     return ranked.withColumn("queue_name", U.queue_name("queue_shard"))
 
 
-def cap_pages(frontier: DataFrame, limits: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """Keep the first ``max_pages`` URLs of each job; the others get reason max_pages.
+def cap_pages(frontier: DataFrame, limits: DataFrame, blocks: int = BLOCKS, used: DataFrame | None = None) -> DataFrame:
+    """Keep the first ``max_pages`` URLs of each job, less what ``used`` (job_id, used) says it has already; the others
+    get reason max_pages. A job without a limit has the default one.
 
     ``frontier`` is read three times, so pass a table.
     """
-    limited = frontier.join(limits.select("job_id", F.col("max_pages").alias("_limit")), "job_id", "left")
+    limit = limits.select("job_id", F.coalesce("max_pages", F.lit(MAX_PAGES)).alias("_limit"))
+    if used is not None:
+        limit = limit.join(used, "job_id", "left").select(
+            "job_id", F.greatest(F.col("_limit") - F.coalesce("used", F.lit(0)), F.lit(0)).alias("_limit"))
+    limited = join_spread(frontier, limit, ["job_id"], ["url"]).withColumn("_limit", F.coalesce("_limit", F.lit(MAX_PAGES)))
     marked = mark_limit(limited, ["job_id"], ["depth"], "discovered_seq", ["pos", "url"], "_limit", "kept", blocks)
     return marked.drop("_limit").withColumn("reason", F.when(~F.col("kept"), "max_pages"))
 

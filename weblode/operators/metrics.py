@@ -7,6 +7,7 @@ hash, combines before the shuffle, and a hot job or domain costs one row per tas
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weblode.functions import urls as U
+from weblode.operators.blocks import join_spread
 from weblode.operators.events import _active_worker, _domain_activity, micros
 from weblode.schema import QUEUE_SHARDS, SYSTEM_JOB, WORKER_TTL_SECONDS
 
@@ -92,7 +93,7 @@ def live_metrics(events: DataFrame) -> DataFrame:
     resets = own.where(F.col("metrics").isNotNull()).groupBy("job_id").agg(
         *[F.max(reset_at(c)).alias(f"at_{c}") for c in names],
         *[F.max_by(F.col("metrics")[c], reset_at(c)).alias(f"base_{c}") for c in names])
-    counted = own.select("job_id", "seq", "event_type").join(resets, "job_id", "left")
+    counted = join_spread(own.select("job_id", "seq", "event_type"), resets, ["job_id"], ["seq"])
     return (
         counted.groupBy("job_id").agg(
             *[F.count_if(_is(kind) & (F.col("seq") > F.coalesce(f"at_{c}", F.lit(-1)))).alias(f"n_{c}") for c, kind in _LIVE.items()],
