@@ -260,7 +260,7 @@ def fit(pages: DataFrame, most: int = TRAIN_PAGES) -> Trees:
     spark = pages.sparkSession
     chosen = pages.select("page_id").where("page_id IS NOT NULL").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most)
     rows = pages.join(F.broadcast(chosen), "page_id", "left_semi").select("html").mapInArrow(_train_rows, "values array<double>, label double")
-    rows = written(rows.coalesce(4), "dom-nodes")
+    rows = written(rows, "dom-nodes")
     if rows.select("label").distinct().count() < 2:
         return Trees(None, None, None, None, None, [], [])
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=5, labelCol="label", featuresCol="features").fit(
