@@ -26,26 +26,34 @@ UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "min", "h"
 
 _SEP = r"^[^\p{L}\p{M}\p{N}]+"
 PIECE = r"[^\p{L}\p{M}\p{N}]*(?:[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}\p{N}]+)"
-"""A token with the separators before it."""
 NAME = r"^[,;:]? \p{Lu}"
 NUMBER = r"^[^\p{L}\p{M}\p{N}]*[0-9]+(?:[.,][0-9]+)*$"
+"""What tokens, names and numbers are, as the SQL twin has it: a token with the separators before it."""
+_MARK = "\u0001"
+_NAMES = r"(?=\p{Lu})(?<=(?:^|[\p{L}\p{M}\p{N}])[,;:]? )"
+_TOKEN = _MARK + r"?(?:[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}\p{N}]+)"
 
 
 def pieces(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), F.array().cast("array<string>"))
+    """Tokens of a text, names with a mark before them.
+
+    Names are marked in the whole text first, and a token that begins with a digit is a number by its pattern,
+    so no regular expression runs per token.
+    """
+    return F.coalesce(F.regexp_extract_all(F.regexp_replace(text, _NAMES, _MARK), F.lit(_TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
 def value(piece: Column) -> Column:
     """A token as it stands, lower-cased."""
-    return F.lower(F.regexp_replace(piece, _SEP, ""))
+    return F.lower(F.when(piece.startswith(_MARK), F.substr(piece, F.lit(2))).otherwise(piece))
 
 
 def template(parts: Column) -> Column:
-    """Typed template tokens of an array of pieces."""
-    typed = F.transform(parts, lambda p: F.when(p.rlike(NUMBER), "<number>").when(p.rlike(NAME), "<name>").otherwise(value(p)))
+    """Typed template tokens of an array of tokens."""
+    typed = F.transform(parts, lambda p: F.when(p.startswith(_MARK), "<name>").when((p >= "0") & (p < ":"), "<number>").otherwise(F.lower(p)))
     follows = F.concat(F.array(F.lit("")), typed)  # one longer: padded with null at its end by zip_with
     return F.slice(F.zip_with(typed, follows, lambda own, before: F.when(
-        own.isin(UNITS) & (before == "<number>"), "<unit>").otherwise(own)), 1, F.size(typed))
+        (before == "<number>") & own.isin(UNITS), "<unit>").otherwise(own)), 1, F.size(typed))
 
 
 def _windows(hashes: Column, width: int) -> Column:
