@@ -153,6 +153,24 @@ def test_store_ignores_known_pages(spark):
     assert table.count() == pages.count() == table.select("id").distinct().count()
 
 
+def test_repeated_batches_change_nothing(spark):
+    drops = spark.createDataFrame([("a", "u1"), ("b", "u2"), ("a", "u3")], "job_id string, url string")
+    path = scratch_path(spark, "drops")
+    for _ in range(2):
+        store.append_discards(drops, path, batch="1")
+        store.append_discards(drops.where("job_id = 'a'"), path, batch="2")
+    assert sorted((r.job_id, r.url, r.batch) for r in spark.read.parquet(path).collect()) == [
+        ("a", "u1", 1), ("a", "u1", 2), ("a", "u3", 1), ("a", "u3", 2), ("b", "u2", 1)]
+
+
+def test_known_pages_are_read_by_job(spark):
+    path = scratch_path(spark, "store")
+    pages = D.stored_pages(D.pages(spark, SMALL))
+    store.append_pages(pages, path)
+    kept = store.read_pages(spark, path).select("job_id", "id").where(F.col("job_id").isin("job-1"))
+    assert "PartitionFilters: [" in kept._jdf.queryExecution().toString() and "job_id" in kept._jdf.queryExecution().toString().split("PartitionFilters")[1][:80]
+
+
 def test_crawl_step_tables(spark):
     pages = D.pages(spark, SMALL)
     out = crawl.crawl_step(D.fetches(pages), D.robots(pages), D.job_settings(D.events(spark, SMALL)), D.SUFFIXES)

@@ -197,14 +197,15 @@ def worker_liveness(events: DataFrame, ttl_seconds: int = WORKER_TTL_SECONDS) ->
 
 
 def worker_sessions(events: DataFrame, gap_seconds: int = WORKER_TTL_SECONDS) -> DataFrame:
-    """Up-intervals of each worker: beats less than ``gap_seconds`` apart belong together.
+    """Up-intervals of each worker: beats less than ``gap_seconds`` apart belong together; a sign-off is no beat.
 
     Beats are first merged per bucket as wide as the gap, which can never span two sessions; the
     window then sees a bounded number of rows per worker and hour, however busy the worker is.
     """
     at = micros(F.col("ts"))
     gap = gap_seconds * 1_000_000
-    buckets = events.where(F.col("worker_id").isNotNull()).groupBy(
+    beats = events.where(F.col("worker_id").isNotNull() & F.coalesce(~_is("worker_offline"), F.lit(True)))
+    buckets = beats.groupBy(
         "worker_id", F.floor(at / gap).alias("_b")).agg(
         F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("*").alias("n"))
     w = Window.partitionBy("worker_id").orderBy("_b")

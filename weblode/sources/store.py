@@ -8,6 +8,9 @@ PAGES = ("id string, url string, parent_url string, depth int, status_code int,
          "title string, fetch_duration_ms double, links_found bigint, fetched_at timestamp_ntz, job_id string")
 
 
+PRUNED_JOBS = 1000
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGES).parquet(path)
 
@@ -20,7 +23,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def append_pages(pages: DataFrame, path: str) -> None:
     """Insert or ignore: a page already stored under its (job, URL) stays as it is.
 
-    The earliest row of a batch wins. Only the ids of the same jobs are read for the check.
+    The earliest row of a batch wins. The check reads only ids, and only the folders of the batch's jobs while
+    these are at most ``PRUNED_JOBS``. Rows are dealt by job before writing, a large job to several tasks.
     """
     spark = pages.sparkSession
     names = [f.split()[0] for f in PAGES.split(", ") if f.split()[0] not in ("id", "job_id", "url")]
@@ -29,15 +33,27 @@ def append_pages(pages: DataFrame, path: str) -> None:
         .select(U.row_id("job_id", "url").alias("id"), "url", *[F.col(f"p.{n}").alias(n) for n in names], "job_id")
     )
     if _exists(spark, path):
-        # Only the partitions of the batch's own jobs are read.
-        known = read_pages(spark, path).select("job_id", "id").join(pages.select("job_id").distinct(), "job_id", "left_semi")
+        known = read_pages(spark, path).select("job_id", "id")
+        jobs = [r["job_id"] for r in pages.select("job_id").distinct().limit(PRUNED_JOBS + 1).collect()]
+        if len(jobs) <= PRUNED_JOBS:
+            known = known.where(F.col("job_id").isin(*jobs))  # a filter on the partition column: pruned when planned
         first = first.join(known, ["job_id", "id"], "left_anti")
-    first.write.mode("append").partitionBy("job_id").parquet(path)
+    first.hint("rebalance", "job_id").write.mode("append").partitionBy("job_id").parquet(path)
+
+
+def _append(df: DataFrame, path: str, batch: str | None) -> None:
+    """Append by job. With a batch name the rows go to folders of their own, which a repeat of the batch replaces."""
+    rows = df.hint("rebalance", "job_id")
+    if batch is None:
+        rows.write.mode("append").partitionBy("job_id").parquet(path)
+    else:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "job_id", "batch").parquet(path)
 
 
-def append_discards(discards: DataFrame, path: str) -> None:
-    """Append discards (job_id, url, parent_url, depth, reason, detail, ...)."""
-    discards.write.mode("append").partitionBy("job_id").parquet(path)
+def append_discards(discards: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append discards (job_id, url, parent_url, depth, reason, detail, ...); name the batch to make a repeat harmless."""
+    _append(discards, path, batch)
 
 
 def link_table(links: DataFrame) -> DataFrame:
@@ -46,5 +62,6 @@ def link_table(links: DataFrame) -> DataFrame:
                         F.col("anchor").alias("anchor_text"))
 
 
-def append_links(links: DataFrame, path: str) -> None:
-    link_table(links).write.mode("append").partitionBy("job_id").parquet(path)
+def append_links(links: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append the edges of resolved links; name the batch to make a repeat harmless."""
+    _append(link_table(links), path, batch)

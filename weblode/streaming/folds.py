@@ -80,9 +80,14 @@ def crawl_rate(stream: DataFrame, width: str = "1 minute", seconds: int = 60, la
     )
 
 
+def _beat():
+    """A sign of life: any event of a worker but its sign-off."""
+    return F.col("worker_id").isNotNull() & F.coalesce(F.col("event_type") != "worker_offline", F.lit(True))
+
+
 def worker_sessions(stream: DataFrame, gap: str = "30 seconds", late: str = "1 minute") -> DataFrame:
     """Up-intervals of workers by session window (complete, or append once closed)."""
-    beats = stream.where(F.col("worker_id").isNotNull()).withColumn("at", F.col("ts").cast("timestamp"))
+    beats = stream.where(_beat()).withColumn("at", F.col("ts").cast("timestamp"))
     return (
         beats.withWatermark("at", late).groupBy("worker_id", F.session_window("at", gap).alias("w"))
         .agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("beats"))
@@ -135,7 +140,7 @@ def worker_liveness(stream: DataFrame, ttl_seconds: int = WORKER_TTL_SECONDS, la
     Needs the RocksDB state store: see ``use_rocksdb``.
     """
     beats = (
-        stream.where(F.col("worker_id").isNotNull()).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+        stream.where(_beat()).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
         .select("worker_id", "at", F.unix_millis("at").alias("ms"))
     )
     return beats.groupBy("worker_id").transformWithStateInPandas(
@@ -182,9 +187,10 @@ def bounded_url_state(stream: DataFrame, ttl_seconds: int = 86_400, late: str =
     A duplicate discard that comes later than that finds no state and starts a new one. The events of
     a URL pass through in Arrow batches and only the best row is held. Needs the RocksDB state store.
     """
-    rank = E.status_rank(F.col("status")).cast("int")
+    status = F.coalesce("status", F.lit("queued"))
+    rank = E.status_rank(status).cast("int")
     rows = stream.where(F.col("url").isNotNull()).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    rows = rows.select("job_id", "url", rank.alias("rank"), "seq", "status", "at", F.unix_millis("at").alias("ms"))
+    rows = rows.select("job_id", "url", rank.alias("rank"), "seq", status.alias("status"), "at", F.unix_millis("at").alias("ms"))
     return rows.groupBy("job_id", "url").transformWithStateInPandas(
         _BoundedState(ttl_seconds * 1000), "job_id string, url string, status string, seq bigint", "update", "eventTime")
 
