@@ -32,7 +32,7 @@ EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 12
 WELL_FILLED = 0.985
-CACHE = 500_000
+CACHE = 800_000
 """Words whose ids a worker remembers in each of two generations."""
 
 
@@ -45,9 +45,13 @@ class Encoder:
     """Token ids of whole texts as little-endian bytes.
 
     The tokenizer treats white space as a border and drops it, so a text's ids are those of its words in a
-    row. Ids of recent words are remembered.
+    row. It lowers words and cuts them at borders between letters, digits and marks; for plain ASCII words that is
+    done here, so that "Word", "word," and "word." share their parts. Ids of recent words and parts are remembered.
     """
 
+    # Where the tokenizer cuts a lower-case ASCII word.
+    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+
     def __init__(self, path: str):
         import re
 
@@ -55,9 +59,17 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.words = re.compile(WORD).findall
+        self.parts = re.compile(self.PARTS).findall
+        self.known: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _learn(self, into: dict, words: list[str]) -> None:
+        for start in range(0, len(words), 10_000):
+            part = words[start:start + 10_000]
+            for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                into[word] = b"".join([i.to_bytes(4, "little") for i in code.ids])
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         found = [self.words(t) if t else [] for t in texts]
         young, old = self.young, self.old
@@ -71,10 +83,14 @@ class Encoder:
                 young[word] = old[word]
             else:
                 missing.append(word)
-        for start in range(0, len(missing), 10_000):
-            part = missing[start:start + 10_000]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                young[word] = b"".join([i.to_bytes(4, "little") for i in code.ids])
+        plain = {w: self.parts(w.lower()) for w in missing if w.isascii() and "<|" not in w}
+        if len(self.known) > CACHE:
+            self.known = {}
+        known = self.known
+        self._learn(known, list({p for parts in plain.values() for p in parts if p not in known}))
+        self._learn(young, [w for w in missing if w not in plain])
+        for word, parts in plain.items():
+            young[word] = b"".join(map(known.__getitem__, parts))
         end = END.to_bytes(4, "little")
         out = [b"".join(map(young.__getitem__, words)) + end for words in found]
         if len(young) > CACHE:
