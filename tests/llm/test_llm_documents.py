@@ -87,6 +87,23 @@ def test_quality_measures(docs, data):
     assert all(r.kept == (not r.base_failed and r.lower <= r.log_perplexity <= r.upper) for r in got if r.lower is not None and r.log_perplexity is not None)
 
 
+def test_copies_and_small_languages_keep_their_band(spark):
+    """A text that most rows of a language hold, and a language of two documents."""
+    import random
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(200)]
+
+    def text(n=150):
+        return " ".join(words[min(199, int(rng.expovariate(0.03)))] for _ in range(n))
+
+    one = text()
+    data = [(i, text(), "en") for i in range(60)] + [(100 + i, one, "en") for i in range(80)]
+    data += [(500, text(), "zz"), (501, text(), "zz")]
+    got = quality_rules.judge(spark.createDataFrame(data, "doc_id bigint, text string, lang string")).collect()
+    kept = {r.doc_id for r in got if r.kept}
+    assert len(kept & set(range(60))) >= 58 and {500, 501} <= kept
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over the whole vocabulary, words seen and unseen after a context share all of the probability."""
     import math
