@@ -246,6 +246,22 @@ def test_guaranteed_runs_lose_all_but_their_ends(spark):
     assert got[0].n_removed == 0 and all(got[i].n_removed == 10 and got[i].text == f"head {i}\ntail {i}" for i in range(1, 20))
 
 
+def test_short_runs_of_many_words_go(spark):
+    """Two or three lines of over 50 words together, whatever their place, and short documents; shorter runs stay."""
+    def line(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    two, three, few = [line("a", 30), line("b", 25)], [line("c", 20), line("d", 20), line("e", 20)], [line("f", 10), line("g", 10)]
+    long = [line(f"x{i}-", 5) for i in range(9)]
+    data = [(1, [*long[:4], *two, *long[4:]]), (2, [*two]), (3, [line("y", 7), *two]), (4, [*three, line("z", 3)]), (5, [line("u", 3), *three]),
+            (6, few), (7, few), (8, [line("v", 9), *few, line("w", 9), *two, line("q", 9), *three, line("p", 9)])]
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in data], "doc_id bigint, text string")
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.drop_repeated_lines(df).collect()}
+    keep = dict(data)
+    assert got == {1: keep[1], 3: [line("y", 7)], 4: keep[4], 5: [line("u", 3)], 6: few,
+                   8: [line("v", 9), *few, line("w", 9), line("q", 9), line("p", 9)]}
+
+
 # --- decontamination --------------------------------------------------------------------------------------------
 
 def test_templates_catch_other_numbers_and_names(spark):

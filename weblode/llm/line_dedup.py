@@ -10,6 +10,10 @@ is deleted only for an equal line before it.
 
 A fingerprint carries the hashes of its neighbours, so extension needs no second look at the texts, and only
 the first occurrence is joined: a line in a third of all documents gives one row for each of them, not pairs.
+
+Windows miss short runs of lines. With ``passages`` there are fingerprints of two more kinds, each of all the lines it
+stands for: from every line on, the shortest run of lines with ``LONG`` words together, and every gram of a document that
+has grams but fewer than ``WINDOW``. The pipeline uses them; the query without them is what the SQL twin says.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -36,11 +40,12 @@ def _gram(h: Column, i: Column) -> Column:
     return out
 
 
-def _fingerprint_rows() -> Column:
-    """Array of structs (i, fp, need, left, right) of the fingerprints of one document.
+def _fingerprint_rows(passages: bool) -> Column:
+    """Array of structs (i, fp, need, more, left, right) of the fingerprints of one document.
 
-    From ``_h`` (hashes) and ``_long`` (flags) of its lines with a word. ``left`` holds the hashes before line i,
-    nearest first, ``right`` those from line i on; ``need`` is how many lines must match.
+    From ``_h`` (hashes) and ``_words`` (numbers of words) of its lines with a word. ``left`` holds the hashes before
+    line i, nearest first, ``right`` those from line i on; ``need`` is how many must match. A passage has one hash of
+    all its lines in ``right``, and ``more`` lines beyond the first that go with it.
     """
     h = F.col("_h")
     grams, windows = F.size("_g"), F.size("_g") - (WINDOW - 1)
@@ -55,23 +60,40 @@ def _fingerprint_rows() -> Column:
 
     def row(i, fp, need):
         left = F.reverse(F.slice(h, F.greatest(i - (WINDOW - 1), F.lit(0)) + 1, F.least(i, F.lit(WINDOW - 1))))
-        return F.struct(i.alias("i"), fp.alias("fp"), F.lit(need).alias("need"), left.alias("left"),
+        return F.struct(i.alias("i"), fp.alias("fp"), F.lit(need).alias("need"), F.lit(0).alias("more"), left.alias("left"),
                         F.slice(h, i + 1, GRAM + WINDOW - 1).alias("right"))
 
+    def passage(i, n, kind):
+        own = F.slice(h, i + 1, n)
+        return F.struct(i.alias("i"), F.xxhash64(F.lit(kind), own).alias("fp"), F.lit(1).alias("need"), (n - 1).alias("more"),
+                        F.array().cast("array<bigint>").alias("left"), F.array(F.xxhash64(own, F.lit(kind))).alias("right"))
+
+    def shortest(i):
+        """Struct of i and n, the number of lines from line i on that first hold LONG words; each has one at least."""
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"))
+        got = F.aggregate(F.slice("_words", i + 1, LONG), start, lambda a, w: F.when(a["words"] >= LONG, a).otherwise(
+            F.struct((a["n"] + 1).alias("n"), (a["words"] + w).alias("words"))))
+        return F.struct(i.alias("i"), F.when(got["words"] >= LONG, got["n"]).alias("n"))
+
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     of_grams = F.transform(F.filter(upto(grams), chosen), lambda i: row(i, F.get("_g", i), GRAM))
-    of_lines = F.transform(F.filter(upto(F.size(h)), lambda i: F.get("_long", i)), lambda i: row(i, -F.get(h, i) - 1, 1))
-    return F.concat(of_grams, of_lines)
+    of_lines = F.transform(F.filter(upto(F.size(h)), lambda i: F.get("_words", i) >= LONG), lambda i: row(i, -F.get(h, i) - 1, 1))
+    if not passages:
+        return F.concat(of_grams, of_lines)
+    runs = F.filter(F.transform(upto(F.size(h)), shortest), lambda r: r["n"] > 1)
+    of_short = F.transform(F.filter(upto(grams), lambda i: grams < WINDOW), lambda i: passage(i, F.lit(GRAM), "gram"))
+    return F.concat(of_grams, of_lines, F.transform(runs, lambda r: passage(r["i"], r["n"], "run")), of_short)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, _key, i, fp, need, left, right) of all documents; i counts lines with a word."""
+def fingerprints(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """(doc_id, _key, i, fp, need, more, left, right) of all documents; i counts lines with a word."""
     upto = F.when(F.size("_h") >= GRAM, F.sequence(F.lit(0), F.size("_h") - GRAM)).otherwise(F.array().cast("array<int>"))
     lines = docs.select("doc_id", "_key", F.filter(F.split("text", "\n", -1), lambda line: line.rlike(_HAS_WORD)).alias("_lines"))
-    hashed = lines.select("doc_id", "_key", F.transform("_lines", line_hash).alias("_h"), F.transform(
-        "_lines", lambda line: (F.length(line) >= 2 * LONG - 1) & (F.regexp_count(line, F.lit(_HAS_WORD + "+")) >= LONG)).alias("_long"))
+    count = lambda line: F.regexp_count(line, F.lit(_HAS_WORD + "+"))
+    words = count if passages else lambda line: F.when(F.length(line) >= 2 * LONG - 1, count(line)).otherwise(0)
+    hashed = lines.select("doc_id", "_key", F.transform("_lines", line_hash).alias("_h"), F.transform("_lines", words).alias("_words"))
     grams = hashed.withColumn("_g", F.transform(upto, lambda i: _gram(F.col("_h"), i)))
-    return grams.select("doc_id", "_key", F.explode(_fingerprint_rows()).alias("_f")).select("doc_id", "_key", "_f.*")
+    return grams.select("doc_id", "_key", F.explode(_fingerprint_rows(passages)).alias("_f")).select("doc_id", "_key", "_f.*")
 
 
 def _equal_from_start(a: str, b: str) -> Column:
@@ -89,20 +111,21 @@ def deletions(found: DataFrame) -> DataFrame:
     later = found.join(first, "fp").where(place > F.col("_first.at"))
     ahead, back = _equal_from_start("right", "_first.right"), _equal_from_start("left", "_first.left")
     return (
-        later.select("_key", "i", "need", ahead.alias("_ahead"), back.alias("_back")).where(F.col("_ahead") >= F.col("need"))
-        .select("_key", (F.col("i") - F.col("_back")).alias("start"), (F.col("i") + F.col("_ahead") - 1).alias("stop")).distinct()
+        later.select("_key", "i", "need", "more", ahead.alias("_ahead"), back.alias("_back")).where(F.col("_ahead") >= F.col("need"))
+        .select("_key", (F.col("i") - F.col("_back")).alias("start"), (F.col("i") + F.col("_ahead") - 1 + F.col("more")).alias("stop")).distinct()
     )
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, passages: bool = False) -> DataFrame:
     """All rows of ``docs`` as struct ``_row`` with doc_id, the remaining ``text``, n_lines, n_removed, had_words, has_words.
 
     Null texts stay null with no lines. Rows equal in id and text are one document: they lose the same lines
-    and do not delete each other's. Blank lines stay. Other columns are carried along in ``_row``.
+    and do not delete each other's. Blank lines stay. Other columns are carried along in ``_row``. ``passages``: also
+    short runs of lines, see above.
     """
     known = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("_key"),
                         F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
-    found = written(fingerprints(known.select("doc_id", "text", "_key")), "fingerprints")
+    found = written(fingerprints(known.select("doc_id", "text", "_key"), passages), "fingerprints")
     cut = (deletions(found).select("_key", F.sequence("start", "stop").alias("_at"))
            .groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_list("_at"))).alias("_gone")))
     lines = F.split("text", "\n", -1)
@@ -123,7 +146,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents with the remaining text and, where there is one, its length in ``n_chars``; all other columns
     as they are. Documents of which no line with a word remains are dropped; those that had none stay."""
-    rest = deduplicate(docs).where(F.col("has_words") | ~F.col("had_words"))
+    rest = deduplicate(docs, passages=True).where(F.col("has_words") | ~F.col("had_words"))
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(
         F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
     return rest.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
