@@ -278,6 +278,14 @@ def test_templates_catch_other_numbers_and_names(spark):
     assert decontaminate.scan(docs, items.limit(0)).where("contaminated").isEmpty()
 
 
+def test_forms_catch_other_cases(spark):
+    """Copies in capitals, in title case and without any capital."""
+    text = "On some days the farmer near Alice Brown sold his 12 cows and bought Lee a new barn for 40 hens and geese"
+    items = spark.createDataFrame([(1, text)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "So: " + text.upper()), (2, text.title()), (3, text.lower()), (4, "The farmer sold his cows")], "doc_id bigint, text string")
+    assert {r.doc_id for r in decontaminate.keep_clean(docs, items).collect()} == {4}
+
+
 def test_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     name = "op4_template_decontamination"

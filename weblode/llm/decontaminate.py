@@ -5,6 +5,9 @@ inside a sentence) become typed placeholders, so a question with other numbers o
 Windows of ``WINDOW`` template tokens that keep enough literal words are joined by hash. Aligned windows of an
 item that cover ``COVER`` of it make a candidate; it counts when its slots are consistent: wherever the item
 repeats a value, the document repeats one too.
+
+The pipeline compares in further forms (``FORMS``), and an item counts when it is found in any: names as literal words in
+any case, so that copies in capitals or without any are found. The query is the typed form alone, as its SQL twin has it.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,6 +22,8 @@ COVER = 0.5
 BROADCAST_ROWS = 500_000
 """Benchmark windows up to which they are broadcast; beyond, documents are shuffled by window."""
 
+FORMS = ("typed", "lower")
+
 # Units of measurement.
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "min", "h", "hz", "khz", "mhz", "w", "kw", "v", "a",
          "j", "kj", "n", "pa", "kpa", "k", "c", "f", "mi", "ft", "in", "yd", "lb", "oz", "mph", "usd", "eur", "percent",
@@ -56,62 +61,91 @@ def template(parts: Column) -> Column:
         (before == "<number>") & own.isin(UNITS), "<unit>").otherwise(own)), 1, F.size(typed))
 
 
-def _windows(hashes: Column, width: int) -> Column:
+def with_forms(df: DataFrame, text: str, forms, values: bool = False) -> DataFrame:
+    """Adds per form the array ``_k_form`` of template tokens of a text and, with ``values``, ``_v_form`` of their values."""
+    out = df.withColumn("_p", pieces(F.col(text))).withColumn("_k_typed", template(F.col("_p")))
+    plain = F.transform("_p", value)
+    own = {"typed": F.col("_k_typed"), "lower": template(plain), "exact": plain}
+    # Position 0 and every position that does not go on with the placeholder before it.
+    before = F.concat(F.array(F.lit("")), F.col("_k_typed"))  # one longer: its last pair has no own token
+    first = F.filter(F.zip_with("_k_typed", before, lambda k, b: F.struct(k.alias("k"), (k.startswith("<") & (k == b)).alias("goes"))),
+                     lambda s: s["k"].isNotNull() & ~s["goes"])
+    own["runs"] = F.transform(first, lambda s: s["k"])
+    out = out.select("*", *[own[f].alias(f"_k_{f}") for f in forms if f != "typed"])
+    if not values:
+        return out.drop("_p")
+    out = out.withColumn("_v", plain)
+    at = F.filter(F.transform("_k_typed", lambda k, i: F.when((i == 0) | ~(k.startswith("<") & (k == F.get("_k_typed", i - 1))), i)), lambda i: i.isNotNull())
+    if "runs" in forms:
+        out = out.withColumn("_at", at)
+    run = F.transform("_at", lambda s, j: F.array_join(F.slice("_v", s + 1, F.coalesce(F.get("_at", j + 1), F.size("_v")) - s), " "))
+    return out.select("*", *[(run if f == "runs" else F.col("_v")).alias(f"_v_{f}") for f in forms]).drop("_p", "_v", "_at")
+
+
+def _windows(hashes: Column, width: int, form: str) -> Column:
     n = F.size(hashes) - width
     at = F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i + 1, width)).alias("fp")))
+    kind = [] if form == "typed" else [F.lit(form)]
+    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i + 1, width), *kind).alias("fp")))
 
 
-def item_windows(items: DataFrame) -> tuple[DataFrame, list[int]]:
-    """(item_id, width, windows, at, fp) of the benchmark and the widths in use: ``WINDOW``, and the whole length of
-    shorter items. Items that are null or have no token give none; nor do windows of placeholders."""
+def item_windows(items: DataFrame, forms=FORMS[:1]) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """(item_id, _item, form, width, windows, at, fp) of the benchmark and the forms and widths in use: ``WINDOW``, and the
+    whole length of shorter items. Items that are null or have no token give none; nor do windows of placeholders,
+    save that an item with no other window is compared in form ``exact``, where that is asked for."""
     known = items.select("item_id", F.col("text").alias("_text"), F.xxhash64(F.col("item_id").cast("string"), "text").alias("_item"))
-    known = known.dropDuplicates(["_item"]).withColumn("_t", template(pieces(F.col("_text")))).where(F.size("_t") > 0)
-    known = written(known.withColumn("width", F.least(F.size("_t"), F.lit(WINDOW))).drop("_text"), "templates")
-    widths = sorted(r["width"] for r in known.select("width").distinct().collect())  # at most WINDOW numbers
-    parts = None
-    for width in widths:
-        literal = lambda w: F.size(F.filter(F.slice(F.col("_t"), w["at"] + 1, width), lambda t: ~t.startswith("<")))  # noqa: E731,B023
-        own = known.where(F.col("width") == width).withColumn("_w", F.filter(
-            _windows(F.transform("_t", lambda t: F.xxhash64(t)), width), lambda w: literal(w) >= LITERALS * width))  # noqa: B023
-        own = own.select("item_id", "_item", "width", F.size("_w").alias("windows"), F.explode("_w").alias("_w")).select(
-            "item_id", "_item", "width", "windows", "_w.*")
-        parts = own if parts is None else parts.unionByName(own)
+    known = written(with_forms(known.dropDuplicates(["_item"]), "_text", forms).where(F.size("_k_typed") > 0).drop("_text"), "templates")
+    parts, uses = None, []
+    for form in forms:
+        rest = known.withColumn("_t", F.col(f"_k_{form}")).withColumn("width", F.least(F.size("_t"), F.lit(WINDOW)))
+        if form == "exact" and parts is not None:
+            rest = rest.join(parts.select("_item").distinct(), "_item", "left_anti")
+        for width in sorted(r["width"] for r in rest.select("width").distinct().collect()):  # at most WINDOW numbers
+            literal = lambda w: F.size(F.filter(F.slice(F.col("_t"), w["at"] + 1, width), lambda t: ~t.startswith("<")))  # noqa: E731,B023
+            own = rest.where(F.col("width") == width).withColumn("_w", F.filter(
+                _windows(F.transform("_t", lambda t: F.xxhash64(t)), width, form), lambda w: literal(w) >= LITERALS * width))  # noqa: B023
+            own = own.select("item_id", "_item", F.lit(form).alias("form"), "width", F.size("_w").alias("windows"), F.explode("_w").alias("_w")).select(
+                "item_id", "_item", "form", "width", "windows", "_w.*")
+            parts = own if parts is None else parts.unionByName(own)
+            uses.append((form, width))
     if parts is None:
-        parts = known.select("item_id", "_item", "width", F.lit(0).alias("windows"), F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("fp")).limit(0)
-    return written(parts, "item-windows"), widths
+        parts = known.select("item_id", "_item", F.lit("typed").alias("form"), F.lit(0).alias("width"), F.lit(0).alias("windows"),
+                             F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("fp")).limit(0)
+    return written(parts, "item-windows"), uses
 
 
-def candidates(docs: DataFrame, windows: DataFrame, widths: list[int]) -> DataFrame:
-    """(_key, item, shift, width, at list) where aligned windows cover enough of an item. ``docs``: _key, text."""
+def candidates(docs: DataFrame, windows: DataFrame, uses: list[tuple[str, int]]) -> DataFrame:
+    """(_key, item, form, shift, width, at list) where aligned windows cover enough of an item. ``docs``: _key, text."""
     small = windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    keys = windows.select(F.col("fp"), F.col("width"), F.col("_item"), F.col("windows"), F.col("at").alias("item_at"))
-    known = docs.select("_key", F.transform(template(pieces(F.col("text"))), lambda t: F.xxhash64(t)).alias("_h"))
-    found = None
-    for width in widths:
-        rows = known.select("_key", F.explode(_windows(F.col("_h"), width)).alias("_w")).select("_key", "_w.at", "_w.fp")
-        side = keys.where(F.col("width") == width)
-        own = rows.join(F.broadcast(side) if small else side, "fp")
-        found = own if found is None else found.unionByName(own)
+    side = windows.select("fp", "form", "width", "_item", "windows", F.col("at").alias("item_at"))
+    forms = [f for f in FORMS if f in {form for form, _ in uses}]
+    hashed = with_forms(docs.select("_key", "text"), "text", forms).select(
+        "_key", *[F.transform(f"_k_{f}", lambda t: F.xxhash64(t)).alias(f"_h_{f}") for f in forms])
+    rows = hashed.select("_key", F.explode(F.concat(*[_windows(F.col(f"_h_{form}"), width, form) for form, width in uses])).alias("_w"))
+    found = rows.select("_key", "_w.at", "_w.fp").join(F.broadcast(side) if small else side, "fp")
     return (
-        found.groupBy("_key", "_item", "width", "windows", (F.col("at") - F.col("item_at")).alias("shift"))
+        found.groupBy("_key", "_item", "form", "width", "windows", (F.col("at") - F.col("item_at")).alias("shift"))
         .agg(F.collect_set("item_at").alias("_ats"))  # at most the windows of one item
-        .where(F.size("_ats") >= COVER * F.col("windows")).drop("windows")
+        .where(F.size("_ats") >= F.when(F.col("form") == "exact", F.col("windows")).otherwise(COVER * F.col("windows"))).drop("windows")
     )
 
 
-def _slots(parts: Column) -> Column:
-    """(at, type, value) of the placeholders among pieces."""
-    kinds = F.arrays_zip(template(parts).alias("kind"), F.transform(parts, value).alias("value"))
+def _slots(form: str) -> Column:
+    """(at, type, value) of the placeholders of ``with_forms``."""
+    kinds = F.arrays_zip(F.col(f"_k_{form}").alias("kind"), F.col(f"_v_{form}").alias("value"))
     indexed = F.transform(kinds, lambda k, i: F.struct(i.alias("at"), k["kind"].alias("kind"), k["value"].alias("value")))
     return F.filter(indexed, lambda s: s["kind"].startswith("<"))
 
 
-def consistent(found: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The candidates whose slots are consistent: (_key, _item)."""
-    own = items.select(F.xxhash64(F.col("item_id").cast("string"), "text").alias("_item"), _slots(pieces(F.col("text"))).alias("_slots"))
-    texts = docs.join(found.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"]).select(
-        "_key", F.transform(pieces(F.col("text")), value).alias("_values"))
+def consistent(found: DataFrame, docs: DataFrame, items: DataFrame, form: str = "typed") -> DataFrame:
+    """The candidates of a form whose slots are consistent: (_key, _item)."""
+    found = found.where(F.col("form") == form)
+    if form == "exact":  # without slots
+        return found.select("_key", "_item").distinct()
+    own = with_forms(items.select(F.xxhash64(F.col("item_id").cast("string"), "text").alias("_item"), "text"), "text", [form], values=True).select(
+        "_item", _slots(form).alias("_slots"))
+    texts = docs.join(found.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
+    texts = with_forms(texts, "text", [form], values=True).select("_key", F.col(f"_v_{form}").alias("_values"))
     inside = lambda s: F.exists("_ats", lambda a: (s["at"] >= a) & (s["at"] < a + F.col("width")))
     pairs = F.transform(F.filter("_slots", inside), lambda s: F.struct(
         F.struct(s["kind"], s["value"]).alias("slot"), F.get("_values", s["at"] + F.col("shift")).alias("value")))
@@ -121,17 +155,21 @@ def consistent(found: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame
     return mapped.where(F.size("_pairs") == F.size(F.array_distinct(F.transform("_pairs", lambda p: p["slot"])))).select("_key", "_item").distinct()
 
 
-def scan(docs: DataFrame, items: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, forms=FORMS[:1]) -> DataFrame:
     """doc_id, n_items (benchmark items found in the document), first_item (smallest item_id), contaminated, _key.
 
     Null and empty texts hold no item. Null item ids count but give no ``first_item``. Repeated rows get the same
-    verdict, repeated items count once. Other columns are ignored.
+    verdict, repeated items count once, in whatever ``forms`` they are found. Other columns are ignored.
     """
     known = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("_key"))
-    windows, widths = item_windows(items)
-    if widths:
-        found = written(candidates(known.select("_key", "text"), windows, widths), "candidates")
-        hits = consistent(found, known, items)
+    windows, uses = item_windows(items, forms)
+    if uses:
+        found = written(candidates(known.select("_key", "text"), windows, uses), "candidates")
+        hits = None
+        for form in forms:
+            own = consistent(found, known, items, form)
+            hits = own if hits is None else hits.unionByName(own)
+        hits = hits.distinct() if len(forms) > 1 else hits
         names = windows.select("_item", "item_id").distinct()
         by_doc = hits.join(names, "_item").groupBy("_key").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"))
     else:
@@ -143,7 +181,7 @@ def scan(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without benchmark items, with their columns as they are."""
-    dirty = scan(docs, items).where("contaminated").select("_key").distinct()
+    dirty = scan(docs, items, FORMS).where("contaminated").select("_key").distinct()
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"),
                          F.xxhash64(F.col("doc_id").cast("string"), "text").alias("_key"))
     return packed.join(dirty, "_key", "left_anti").select("_row.*")
