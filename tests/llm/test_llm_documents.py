@@ -286,6 +286,18 @@ def test_forms_catch_other_cases(spark):
     assert {r.doc_id for r in decontaminate.keep_clean(docs, items).collect()} == {4}
 
 
+def test_forms_catch_other_lengths_and_numbers(spark):
+    """Slots of another length, and an item of numbers and names only."""
+    text = "On some days the farmer near Alice Brown sold his 12 cows and bought Lee a new barn for 40 hens and geese"
+    numbers = "11 Ann 12 Bob 13 Cid 14 Dan 15 Eve 16"
+    items = spark.createDataFrame([(1, text), (2, numbers)], "item_id bigint, text string")
+    longer = text.replace("Lee", "Ann Mary Fox").replace("Alice Brown", "Bob")
+    docs = spark.createDataFrame([
+        (4, longer), (5, "So " + numbers + " it is"), (6, numbers.replace("13", "99")),
+        (7, "The farmer sold his cows and nothing else was told of that day by Ann"), (8, None)], "doc_id bigint, text string")
+    assert {r.doc_id for r in decontaminate.keep_clean(docs, items).collect()} == {6, 7, 8}
+
+
 def test_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     name = "op4_template_decontamination"

@@ -7,7 +7,9 @@ item that cover ``COVER`` of it make a candidate; it counts when its slots are c
 repeats a value, the document repeats one too.
 
 The pipeline compares in further forms (``FORMS``), and an item counts when it is found in any: names as literal words in
-any case, so that copies in capitals or without any are found. The query is the typed form alone, as its SQL twin has it.
+any case, so that copies in capitals or without any are found; runs of placeholders of a type as one, so that a slot may be
+filled with another number of tokens; and, for items without literal windows, all their tokens as they stand. The
+query is the typed form alone, as its SQL twin has it.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,7 +24,7 @@ COVER = 0.5
 BROADCAST_ROWS = 500_000
 """Benchmark windows up to which they are broadcast; beyond, documents are shuffled by window."""
 
-FORMS = ("typed", "lower")
+FORMS = ("typed", "lower", "runs", "exact")
 
 # Units of measurement.
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "min", "h", "hz", "khz", "mhz", "w", "kw", "v", "a",
