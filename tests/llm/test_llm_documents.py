@@ -121,6 +121,12 @@ def test_kneser_ney_sums_to_one(spark):
         assert abs(total - 1) < 1e-6
 
 
+def test_no_bigram_is_cut(spark):
+    """A model keeps its rare bigrams, however many there are."""
+    counted = spark.range(400 * 400).selectExpr("'en' AS lang", "CAST(id DIV 400 AS INT) AS u", "CAST(id % 400 AS INT) AS w", "1 + id % 7 AS c")
+    assert quality_rules.kneser_ney(counted)[0].count() == 400 * 400
+
+
 # --- near duplicates --------------------------------------------------------------------------------------------
 
 def _components(data):
