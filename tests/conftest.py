@@ -8,8 +8,6 @@ sys.path[:0] = [str(HERE.parent), str(HERE)]
 
 from compare import session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -1,8 +1,7 @@
 """Every catalogue query against its SQL twin on DuckDB."""
 
 import pytest
-from compare import compare, duck
-from conftest import SMALL
+from compare import SMALL, compare, duck
 
 import __spark_entry__ as entry
 

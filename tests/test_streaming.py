@@ -1,7 +1,7 @@
 """Stream equals batch over several files, and sinks survive a replay."""
 
 import pytest
-from conftest import SMALL
+from compare import SMALL
 from pyspark.sql import functions as F
 
 from weblode.operators import events as E, frontier as Q, metrics as M
