@@ -1,6 +1,7 @@
 """HTML extraction and chat formatting on small fixtures."""
 
 import collections
+import time
 
 from weblode.llm import chat, html_extract
 
@@ -65,6 +66,14 @@ def test_tolerant_parsing():
     assert blocks("") == [] and blocks("a < b") == ["a < b"]
 
 
+def test_tags_that_never_end_take_no_time_and_leave_no_markup():
+    for broken in ('<a ' + '"x" ' * 200, '<div class="a" id=' + "'x' " * 200, "<a " * 20_000, '<a b="' * 20_000, "<![CDATA[" * 20_000, "<!" * 20_000):
+        started = time.monotonic()
+        said = [t for _, t in html_extract.parse("<p>kept</p>" + broken)[1]]
+        assert time.monotonic() - started < 1 and said == ["kept"]
+    assert [t for _, t in html_extract.parse('<div class="a" id=<p>text</p>')[1]] == ["text"]
+
+
 def test_awkward_pages(spark):
     rows = [(None, None, None, "c", "c"), (1, "u", "", "c", "c"), (1, "u", "", "c", "c"), (2, None, "<p>" + "word " * 50_000, "c", "c")]
     got = html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()

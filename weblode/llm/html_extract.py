@@ -48,8 +48,10 @@ BAD = frozenset(
 BAD_TAGS = frozenset("nav header footer aside form dialog".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|"
-    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)/?>", re.S | re.I)
+    r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|"
+    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|$)", re.S | re.I)
+"""Mark-up. Possessive and open to the end of the page, so no start is tried twice: a tag ends at its ``>``, values in
+quotes apart; one that never ends takes the rest of the page, as in browsers."""
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
