@@ -17,10 +17,9 @@ def plain(words):
     number = {w: i for i, w in enumerate(dict.fromkeys(words))}
     w, out = np.array([number[x] for x in words], np.int64), {}
     for q in range(1, len(w) // 4 + 1):
-        differ = [-1, *np.flatnonzero(w[:-q] != w[q:]).tolist(), len(w) - q]
-        for i, j in zip(differ, differ[1:]):
-            if j - i - 1 + q >= max(6, 4 * q):
-                out.setdefault((i + 1, j + q), q)
+        differ = np.concatenate([[-1], np.flatnonzero(w[:-q] != w[q:]), [len(w) - q]])
+        for k in np.flatnonzero(np.diff(differ) - 1 + q >= max(6, 4 * q)).tolist():
+            out.setdefault((int(differ[k]) + 1, int(differ[k + 1]) + q), q)
     return sorted((s, e, q) for (s, e), q in out.items())
 
 
