@@ -1,7 +1,7 @@
 """One query per operator: the operator with production parameters over its whole table."""
 
 import corpus_pipeline
-from weblode.llm import chat, cotrain, decontaminate, html_extract, line_dedup, near_dedup, packing, permutation, quality_rules, runs, sharding, suffix_dedup
+from weblode.llm import chat, cotrain, decontaminate, html_extract, line_dedup, near_dedup, packing, permutation, prefix_trie, quality_rules, runs, sharding, suffix_dedup
 from weblode.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op10_dom_boosted_extraction(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_tree_contraction(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_permutation_index(spark, sf_dir):
     return permutation.search(table(spark, sf_dir, "embeddings"), 20)
 
@@ -59,5 +63,5 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_island_packing, op2_snapshot_collapse, op3_blockwise_suffixes, op4_template_decontamination, op5_ngram_perplexity, op6_cotrained_quality,
-    op7_line_winnowing, op8_chosen_path_join, op9_rendezvous_sharding, op10_dom_boosted_extraction, op12_permutation_index, op13_scale_tiled_runs, pipeline)}
-ORACLES = {"op2_snapshot_collapse": chat.ORACLE, "op4_template_decontamination": decontaminate.ORACLE, "op7_line_winnowing": line_dedup.ORACLE}
+    op7_line_winnowing, op8_chosen_path_join, op9_rendezvous_sharding, op10_dom_boosted_extraction, op11_tree_contraction, op12_permutation_index, op13_scale_tiled_runs, pipeline)}
+ORACLES = {"op2_snapshot_collapse": chat.ORACLE, "op4_template_decontamination": decontaminate.ORACLE, "op7_line_winnowing": line_dedup.ORACLE, "op11_tree_contraction": prefix_trie.ORACLE}
