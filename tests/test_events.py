@@ -5,10 +5,10 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from weblode.operators import events as E, metrics as M, views as V
-from weblode.schema import URL_STATUSES
+from weblode.schema import URL_STATUSES, WORKER_STATE
 from weblode.sources import event_log
 
 SCHEMA = ("seq bigint, ts timestamp_ntz, job_id string, event_type string, status string, worker_id string, domain string, url string, "
@@ -260,3 +260,24 @@ def test_retention_keeps_the_newest(spark):
     for n in (0, 1, 37, 500, 999, 1000, 1001, 5000):
         got = sorted((r.seq is not None, r.seq or 0) for r in E.retain_latest(df, n, blocks=16).collect())
         assert len(got) == min(n, 1001) and [s for ok, s in got if ok] == list(range(1000))[max(0, 1000 - n):]
+
+
+def test_worker_states_are_the_last_reports(spark):
+    """A beat after a stored page does not touch the status; a state replaces the one before whole; a sign-off reports none."""
+    state = lambda status, url, done: ("w1", "h", 7, url, None, status, done, None, 5, None, None)
+    rows = [(1, "w1", "worker_online", "__system__", None, state("idle", None, 0)), (2, "w1", "worker_busy", "__system__", None, state("busy", "u", None)),
+            (3, "w1", "url_stored", "j", "u", None), (5, "w1", "worker_idle", "__system__", None, state("idle", None, 4)),
+            (6, "w1", "url_error", "j", "v", None), (4, "w2", "url_stored", "j", "x", None), (7, "w1", "worker_offline", "__system__", None, None),
+            (8, None, "worker_heartbeat", "__system__", None, state("busy", "u", 9))]
+    df = spark.createDataFrame(rows, T.StructType.fromDDL("seq bigint, worker_id string, event_type string, job_id string, url string").add("worker_state", WORKER_STATE))
+    df = df.withColumns({"ts": F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(secs => seq)"), "domain": F.lit("d"),
+                         "fetch_duration_ms": F.lit(None).cast("double"), "content_length": F.lit(None).cast("bigint"), "status": F.lit(None).cast("string")})
+    got = {r.worker_id: r for r in M.worker_states(df).collect()}
+    assert set(got) == {"w1"} and (got["w1"].status, got["w1"].current_url, got["w1"].urls_processed, got["w1"].errors, got["w1"].reported_seq) == ("idle", None, 4, 0, 5)
+    upto = {r.worker_id: r for r in M.worker_states(df.where("seq < 5")).collect()}
+    assert (upto["w1"].status, upto["w1"].current_url, upto["w1"].urls_processed) == ("busy", "u", 0)
+    stats = {r.worker_id: r for r in M.worker_stats(df).collect()}
+    assert (stats["w1"].last_status, stats["w1"].urls_processed, stats["w1"].errors) == ("idle", 1, 1) and stats["w2"].last_status is None
+    alive = {r.worker_id: r.alive for r in M.worker_liveness(df).collect()}
+    assert alive == {"w1": False, "w2": True}
+    assert M.worker_stats(df.drop("worker_state")).where("last_status is not null").isEmpty()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from weblode.functions import urls as U
 from weblode.operators.blocks import join_spread
 from weblode.operators.events import _active_worker, _domain_activity, micros
-from weblode.schema import QUEUE_SHARDS, SYSTEM_JOB, WORKER_TTL_SECONDS
+from weblode.schema import QUEUE_SHARDS, SYSTEM_JOB, WORKER_STATE, WORKER_TTL_SECONDS
 
 
 def _is(kind: str) -> Column:
@@ -168,17 +168,31 @@ def success_rate(metrics: DataFrame) -> DataFrame:
                           .otherwise(0).cast("bigint").alias("success_rate"))
 
 
+def worker_states(events: DataFrame) -> DataFrame:
+    """What each worker last said of itself: a row per worker with the fields of ``worker_state``, and ``reported_seq``.
+
+    A later state replaces the earlier one whole, so a field it leaves out is NULL again; counters left out count as 0.
+    The fold is one maximum by ``seq``, merged before the shuffle; a busy worker costs one row per task.
+    """
+    said = events.where(F.col("worker_state").isNotNull() & F.col("worker_id").isNotNull())
+    last = said.groupBy("worker_id").agg(F.max_by("worker_state", "seq").alias("s"), F.max("seq").alias("reported_seq"))
+    counters = ("urls_processed", "errors", "bytes_downloaded")
+    return last.select("worker_id", *[F.coalesce(f"s.{f.name}", F.lit(0)).alias(f.name) if f.name in counters else F.col(f"s.{f.name}").alias(f.name)
+                                      for f in WORKER_STATE if f.name != "worker_id"], "reported_seq")
+
+
 def worker_stats(events: DataFrame) -> DataFrame:
-    """Pages stored, bytes of stored pages, last status and last sign of life of each worker."""
-    per_status = events.where(F.col("worker_id").isNotNull()).groupBy("worker_id", "status").agg(
-        _n(_is("url_stored")).alias("urls_processed"), _n(_is("url_error")).alias("errors"),
-        F.max("seq").alias("last_seq"), F.max("ts").alias("last_heartbeat"))
+    """Pages stored, errors and bytes of stored pages of each worker, its status and task as it last reported them (NULL if it
+    never did), and its last sign of life."""
+    counts = events.where(F.col("worker_id").isNotNull()).groupBy("worker_id").agg(
+        _n(_is("url_stored")).alias("urls_processed"), _n(_is("url_error")).alias("errors"), F.max("ts").alias("last_heartbeat"))
     size = stored_fetches(events).groupBy("worker_id").agg(F.sum("bytes").alias("_bytes"))
-    return per_status.groupBy("worker_id").agg(
-        F.sum("urls_processed").alias("urls_processed"), F.sum("errors").alias("errors"),
-        F.max_by("status", "last_seq").alias("last_status"), F.max("last_heartbeat").alias("last_heartbeat"),
-    ).join(size, "worker_id", "left").select(
-        "worker_id", "urls_processed", "errors", F.coalesce("_bytes", F.lit(0)).alias("bytes_downloaded"), "last_status", "last_heartbeat")
+    if "worker_state" not in events.columns:
+        events = events.withColumn("worker_state", F.lit(None).cast(WORKER_STATE))
+    states = worker_states(events).select("worker_id", F.col("status").alias("last_status"), "current_url", "current_job_id")
+    return counts.join(size, "worker_id", "left").join(states, "worker_id", "left").select(
+        "worker_id", "urls_processed", "errors", F.coalesce("_bytes", F.lit(0)).alias("bytes_downloaded"), "last_status",
+        "current_url", "current_job_id", "last_heartbeat")
 
 
 def worker_liveness(events: DataFrame, ttl_seconds: int = WORKER_TTL_SECONDS) -> DataFrame:

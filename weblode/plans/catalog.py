@@ -32,6 +32,10 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
     return D.crawl_events(D.events(spark, sf))
 
 
+def full_log(spark: SparkSession, sf: str) -> DataFrame:
+    return D.full_log(D.events(spark, sf))
+
+
 # Page tables ------------------------------------------------------------------------------------
 
 @query("scan_pages", "SELECT page_id, url, html FROM pages")
@@ -676,11 +680,19 @@ def success_rate(spark, sf):
     return M.success_rate(M.job_metrics(log(spark, sf)))
 
 
-@query("worker_stats", """SELECT worker_id, count(*) FILTER (event_type = 'url_stored') AS urls_processed, count(*) FILTER (event_type = 'url_error') AS errors,
-  CAST(coalesce((SELECT sum(bytes) FROM stored_fetches f WHERE f.worker_id = e.worker_id), 0) AS BIGINT) AS bytes_downloaded, arg_max(status, seq) AS last_status,
-  max(ts) AS last_heartbeat FROM crawl_events e GROUP BY worker_id""", "stored_fetches")
+@query("worker_states", """SELECT worker_id, s_hostname AS hostname, s_pid AS pid, s_url AS current_url, s_job AS current_job_id, s_status AS status,
+  s_urls AS urls_processed, s_errors AS errors, s_bytes AS bytes_downloaded, TIMESTAMP '2024-01-01 00:00:00' AS started_at, ts AS last_heartbeat,
+  seq AS reported_seq FROM reported""", "reported")
+def worker_states(spark, sf):
+    return M.worker_states(full_log(spark, sf))
+
+
+@query("worker_stats", """SELECT e.worker_id, count(*) FILTER (event_type = 'url_stored') AS urls_processed, count(*) FILTER (event_type = 'url_error') AS errors,
+  CAST(coalesce((SELECT sum(bytes) FROM stored_fetches f WHERE f.worker_id = e.worker_id), 0) AS BIGINT) AS bytes_downloaded, max(s_status) AS last_status,
+  max(s_url) AS current_url, max(s_job) AS current_job_id, max(e.ts) AS last_heartbeat FROM full_log e LEFT JOIN (
+  SELECT worker_id, s_status, s_url, s_job FROM reported) r ON r.worker_id = e.worker_id GROUP BY e.worker_id""", "stored_fetches full_log reported")
 def worker_stats(spark, sf):
-    return M.worker_stats(log(spark, sf))
+    return M.worker_stats(full_log(spark, sf))
 
 
 @query("feed_counts", "SELECT job_id, count(*) AS events FROM crawl_events GROUP BY job_id", "crawl_events")
@@ -713,21 +725,22 @@ def job_overview(spark, sf):
     return out.withColumn("pages_per_second", M.half_up(F.col("pages_per_second"), 9))
 
 
-@query("worker_liveness", """SELECT worker_id, max(ts) AS last_heartbeat, epoch_us(max(ts)) >= (SELECT max(epoch_us(ts)) FROM crawl_events) - 900000000 AS alive
-FROM crawl_events GROUP BY worker_id""", "crawl_events")
+@query("worker_liveness", """SELECT worker_id, max(ts) AS last_heartbeat, epoch_us(max(ts)) >= (SELECT max(epoch_us(ts)) FROM full_log) - 900000000
+  AND coalesce(max(seq) FILTER (event_type = 'worker_offline') < max(seq) FILTER (event_type <> 'worker_offline'), true) AS alive
+FROM full_log GROUP BY worker_id""", "full_log")
 def worker_liveness(spark, sf):
-    return M.worker_liveness(log(spark, sf), ttl_seconds=900)
+    return M.worker_liveness(full_log(spark, sf), ttl_seconds=900)
 
 
 _SESSIONS = """SELECT worker_id, min(ts) AS first_beat, max(ts) AS last_beat, count(*) AS beats FROM (
   SELECT *, sum(starts) OVER (PARTITION BY worker_id ORDER BY ts, seq) AS session FROM (
     SELECT worker_id, ts, seq, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY worker_id ORDER BY ts, seq) < 3600000000 THEN 0 ELSE 1 END AS starts
-    FROM crawl_events) b) s GROUP BY worker_id, session"""
+    FROM full_log WHERE event_type <> 'worker_offline') b) s GROUP BY worker_id, session"""
 
 
-@query("worker_sessions", _SESSIONS, "crawl_events")
+@query("worker_sessions", _SESSIONS, "full_log")
 def worker_sessions(spark, sf):
-    return M.worker_sessions(log(spark, sf), gap_seconds=3600)
+    return M.worker_sessions(full_log(spark, sf), gap_seconds=3600)
 
 
 # Views ------------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from weblode.functions import urls as U
 from weblode.operators.events import micros
 from weblode.operators.extract import explode_links, extract_pages
 from weblode.operators.filters import classify_fetches, robots_rules, robots_verdict
+from weblode.schema import SYSTEM_JOB
 
 SUFFIXES = ["com", "net", "org"]
 
@@ -67,6 +68,32 @@ def crawl_events(raw: DataFrame) -> DataFrame:
     )
 
 
+def worker_events(raw: DataFrame) -> DataFrame:
+    """What workers say of themselves, under the system job: every third event of the table read as a heartbeat, a change to
+    busy or idle (all with the worker's whole state) or a sign-off (without). Their ``seq`` is odd."""
+    eid = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ["worker_offline", "worker_idle", "worker_busy", "worker_heartbeat"])), ((eid % 12) / 3 + 1).cast("int"))
+    worker = F.concat(F.lit("w"), (F.floor(eid / 12) % 8).cast("string"))
+    busy = eid % 12 == 6
+    at = F.col("ts").cast("timestamp_ntz")
+    state = F.struct(
+        worker.alias("worker_id"), F.concat(F.lit("h"), (eid % 3).cast("string")).alias("hostname"), (eid % 1000).alias("pid"),
+        F.when(busy, F.concat(F.lit("https://d"), (F.col("user_id") % 40).cast("string"), F.lit(".example.com/"))).alias("current_url"),
+        F.when(busy, F.concat(F.lit("job-"), (F.col("user_id") % 4).cast("string"))).alias("current_job_id"),
+        F.when(busy, "busy").otherwise("idle").alias("status"), F.when(eid % 24 != 9, eid % 500).alias("urls_processed"),
+        F.when(eid % 36 != 6, eid % 7).alias("errors"), F.when(eid % 60 != 3, eid * 100).alias("bytes_downloaded"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("started_at"), at.alias("last_heartbeat"))
+    signs_off = kind == "worker_offline"
+    return raw.where((eid % 3 == 0) & (~signs_off | (eid % 120 == 0))).select(
+        (eid * 2 + 1).alias("seq"), at.alias("ts"), F.lit(SYSTEM_JOB).alias("job_id"), kind.alias("event_type"), worker.alias("worker_id"),
+        F.when(~signs_off, state).alias("worker_state"))
+
+
+def full_log(raw: DataFrame) -> DataFrame:
+    """The crawl events, at even places, and those of the workers between them."""
+    return crawl_events(raw).withColumn("seq", F.col("seq") * 2).unionByName(worker_events(raw), allowMissingColumns=True)
+
+
 def job_events(raw: DataFrame) -> DataFrame:
     """Starts and completions of one job per user."""
     return raw.where(F.col("event_type").isin("signup", "purchase")).select(

@@ -32,6 +32,20 @@ SELECT event_id AS seq, ts, concat('job-', user_id % 4) AS job_id,
   CASE WHEN event_type = 'purchase' AND k = 9 THEN event_id % 300 END AS m_done,
   user_id, k
 FROM (SELECT *, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) AS k FROM events) b""",
+    "worker_events": """
+SELECT event_id * 2 + 1 AS seq, ts, '__system__' AS job_id, concat('w', (event_id // 12) % 8) AS worker_id,
+  CASE event_id % 12 WHEN 0 THEN 'worker_offline' WHEN 3 THEN 'worker_idle' WHEN 6 THEN 'worker_busy' ELSE 'worker_heartbeat' END AS event_type,
+  CASE event_id % 12 WHEN 0 THEN NULL WHEN 6 THEN 'busy' ELSE 'idle' END AS s_status, concat('h', event_id % 3) AS s_hostname, event_id % 1000 AS s_pid,
+  CASE WHEN event_id % 12 = 6 THEN concat('https://d', user_id % 40, '.example.com/') END AS s_url,
+  CASE WHEN event_id % 12 = 6 THEN concat('job-', user_id % 4) END AS s_job,
+  CASE WHEN event_id % 24 <> 9 THEN event_id % 500 ELSE 0 END AS s_urls, CASE WHEN event_id % 36 <> 6 THEN event_id % 7 ELSE 0 END AS s_errors,
+  CASE WHEN event_id % 60 <> 3 THEN event_id * 100 ELSE 0 END AS s_bytes
+FROM events WHERE event_id % 3 = 0 AND (event_id % 12 <> 0 OR event_id % 120 = 0)""",
+    "full_log": """
+SELECT seq * 2 AS seq, ts, job_id, event_type, worker_id, status FROM crawl_events
+UNION ALL SELECT seq, ts, job_id, event_type, worker_id, NULL FROM worker_events""",
+    "reported": """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY seq DESC) AS rn FROM worker_events WHERE s_status IS NOT NULL) r WHERE rn = 1""",
     "jobs": """
 SELECT concat('job-', user_id) AS job_id, concat('crawl ', user_id) AS name,
   CASE user_id % 4 WHEN 2 THEN 'paused' WHEN 3 THEN 'stopped' ELSE 'running' END AS status,
@@ -171,6 +185,7 @@ UNION ALL SELECT page_id, (page_id * page_id + 1) % (SELECT count(*) FROM pages)
 }
 
 NEEDS = {
+    "full_log": ["crawl_events", "worker_events"], "reported": ["worker_events"],
     "robots_lines": ["robots"], "robots_rules": ["robots_lines"], "blocked": ["fetches", "robots_rules"],
     "links": ["fetches"], "judged_links": ["links", "jobs"], "link_outcomes": ["judged_links"],
     "fetch_outcomes": ["fetches", "blocked"], "stored": ["fetches"], "url_state": ["crawl_events"],
