@@ -270,7 +270,7 @@ def test_worker_states_are_the_last_reports(spark):
             (6, "w1", "url_error", "j", "v", None), (4, "w2", "url_stored", "j", "x", None), (7, "w1", "worker_offline", "__system__", None, None),
             (8, None, "worker_heartbeat", "__system__", None, state("busy", "u", 9))]
     df = spark.createDataFrame(rows, T.StructType.fromDDL("seq bigint, worker_id string, event_type string, job_id string, url string").add("worker_state", WORKER_STATE))
-    df = df.withColumns({"ts": F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(secs => seq)"), "domain": F.lit("d"),
+    df = df.withColumns({"ts": F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, seq)"), "domain": F.lit("d"),
                          "fetch_duration_ms": F.lit(None).cast("double"), "content_length": F.lit(None).cast("bigint"), "status": F.lit(None).cast("string")})
     got = {r.worker_id: r for r in M.worker_states(df).collect()}
     assert set(got) == {"w1"} and (got["w1"].status, got["w1"].current_url, got["w1"].urls_processed, got["w1"].errors, got["w1"].reported_seq) == ("idle", None, 4, 0, 5)

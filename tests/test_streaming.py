@@ -4,13 +4,14 @@ import pytest
 from compare import SMALL
 from pyspark.sql import functions as F
 
+from weblode.functions import urls as U
 from weblode.operators import events as E, frontier as Q, metrics as M
-from weblode.operators.blocks import scratch_path
+from weblode.operators.blocks import scratch_path, written
 from weblode.plans import crawl, derived as D
 from weblode.sources import event_log, store
 from weblode.streaming import folds, sink
 
-FILES = 4
+FILES = 5
 
 
 def split_by_order(spark, df, column, folder):
@@ -60,15 +61,57 @@ def test_live_metrics(spark, raw, live):
 
 
 def test_domain_stats(spark, raw, live):
-    path = scratch_path(spark, "t")
-    sink.drain(folds.domain_stats(live), path, "update")
-    assert rows(sink.latest(spark, path, ["job_id", "domain"])) == rows(M.domain_stats(D.crawl_events(raw)).drop("queue_shard", "queue_name"))
+    counts, fetches = scratch_path(spark, "t"), scratch_path(spark, "t")
+    sink.drain_keyed(folds.domain_counts(live), counts, ["job_id", "domain"], every=3)
+    sink.drain_keyed(folds.fetch_pairs(live, "60 DAYS"), fetches, ["job_id", "url"], "append", ["fetch_seq"], every=3)
+    got = folds.domain_stats(sink.keyed(spark, counts, ["job_id", "domain"]), sink.keyed(spark, fetches, ["job_id", "url"], ["fetch_seq"]))
+    assert rows(got) == rows(M.domain_stats(D.crawl_events(raw)).drop("queue_shard", "queue_name"))
+
+
+def test_fetches_wait_for_their_store_and_are_forgotten(spark):
+    """Either side may come first and files later; after the wait the state is freed, and a partner too late finds nothing."""
+    base = "timestamp_ntz'2024-01-01 00:00:00'"
+    def event(seq, minute, kind, url):
+        return (seq, minute, kind, url, 5.0 if kind == "url_fetched" else None)
+    files = [[event(1, 0, "url_fetched", "a"), event(2, 1, "url_fetched", "b"), event(3, 2, "url_stored", "c")],
+             [event(4, 20, "url_stored", "a"), event(5, 25, "url_fetched", "c")],
+             [event(6, 200, "url_fetched", "z")], [event(7, 201, "url_stored", "b"), event(8, 230, "url_stored", "z")], [event(9, 400, "url_fetched", "y")]]
+    folder, path = scratch_path(spark, "in"), scratch_path(spark, "t")
+    for some in files:
+        df = spark.createDataFrame(some, "seq bigint, minute bigint, event_type string, url string, fetch_duration_ms double")
+        df = df.selectExpr("seq", f"{base} + make_dt_interval(0, 0, minute, 0) AS ts", "event_type", "'j' AS job_id", "url", "'d' AS domain", "fetch_duration_ms")
+        df.coalesce(1).write.mode("append").parquet(folder)
+    stream = event_log.tail_events(spark, folder, df.schema, files_per_batch=1)
+    query = sink.start(folds.fetch_pairs(stream, "1 HOUR", "10 minutes"), path)
+    query.awaitTermination()
+    assert sorted((r.url, r.fetch_seq, r.store_seq) for r in sink.appended(spark, path).collect()) == [("a", 1, 4), ("c", 5, 3), ("z", 6, 8)]
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    # Left are the newest of either side, which the watermark (of the slower side, at minute 220) has not passed by an hour.
+    assert max(held) > 4 and held[-1] == 4
 
 
 def test_url_state(spark, raw, live):
     path = scratch_path(spark, "t")
-    sink.drain(folds.url_state(live), path, "update")
-    assert rows(sink.latest(spark, path, ["job_id", "url"])) == rows(E.url_state(D.crawl_events(raw)))
+    sink.drain_keyed(folds.url_state(live), path, ["job_id", "url"], every=2)
+    assert rows(sink.keyed(spark, path, ["job_id", "url"])) == rows(E.url_state(D.crawl_events(raw)))
+
+
+def test_keyed_table_stays_small_over_fifty_batches(spark):
+    path = scratch_path(spark, "t")
+    write = sink.keyed_writer(path, ["k"], ["at"], every=8)
+    want = {}
+    for batch in range(50):
+        data = [((batch * 7 + i) % 13, (batch * 31) % 50 + i, f"{batch}-{i}") for i in range(5)]
+        for k, at, v in data:
+            want[k] = max(want.get(k, (-1, -1, "")), (at, batch, v))
+        df = spark.createDataFrame(data, "k int, at int, v string").coalesce(1)
+        write(df, batch)
+        if batch in (15, 16, 31):
+            write(df, batch)  # a replay, with and without a merge
+    got = {r.k: (r.at, r.v) for r in sink.keyed(spark, path, ["k"], ["at"]).collect()}
+    assert got == {k: (at, v) for k, (at, _, v) in want.items()}
+    assert len(sink._finished(spark, f"{path}/base")) <= 2 and len(sink._finished(spark, f"{path}/data")) <= 16
+    assert sink._unmerged(spark, path)[1].count() <= 13 + 8 * 5
 
 
 def test_bounded_url_state(spark, raw, live):
@@ -78,21 +121,37 @@ def test_bounded_url_state(spark, raw, live):
     assert rows(sink.latest(spark, path, ["job_id", "url"])) == rows(E.url_state(D.crawl_events(raw)).select("job_id", "url", "status", "seq"))
 
 
-def test_worker_sessions_and_liveness(spark, raw, live):
+def test_worker_sessions_and_liveness(spark, raw, folder):
     path, other = scratch_path(spark, "t"), scratch_path(spark, "t")
-    sink.drain(folds.worker_sessions(live, "3 hours"), path, "complete")
-    want = M.worker_sessions(D.crawl_events(raw), 3 * 3600)
-    assert rows(sink.last_batch(spark, path)) == rows(want)
+    live = D.full_log(event_log.tail_events(spark, folder, raw.schema, files_per_batch=1))
+    sink.drain(folds.worker_sessions(live, "3 hours"), path)
+    whole = M.worker_sessions(D.full_log(raw), 3 * 3600)
+    newest = D.full_log(raw).where("event_type <> 'worker_offline'").agg(F.max(E.micros(F.col("ts")))).first()[0] // 1000 * 1000
+    want = whole.where(E.micros(F.col("last_beat")) + 3 * 3_600_000_000 <= newest - 60_000_000)
+    assert 0 < want.count() < whole.count() and rows(sink.appended(spark, path)) == rows(want)
     with folds.use_rocksdb(spark):
         sink.drain(folds.worker_liveness(live, 3 * 3600), other)
     seen = sink.appended(spark, other)
     online = seen.where("event_type = 'worker_online'").select("worker_id", "ms")
-    assert rows(online) == rows(want.select("worker_id", F.floor(E.micros(F.col("first_beat")) / 1000).alias("ms")))
+    assert rows(online) == rows(whole.select("worker_id", F.floor(E.micros(F.col("first_beat")) / 1000).alias("ms")))
     offline = {(r.worker_id, r.ms) for r in seen.where("event_type = 'worker_offline'").collect()}
-    ends = {(r.worker_id, r.ms) for r in want.select("worker_id", (F.floor(E.micros(F.col("last_beat")) / 1000) + 3 * 3_600_000).alias("ms")).collect()}
+    ends = {(r.worker_id, r.ms) for r in whole.select("worker_id", (F.floor(E.micros(F.col("last_beat")) / 1000) + 3 * 3_600_000).alias("ms")).collect()}
     assert offline <= ends and len(ends - offline) <= 8
 
 
+def test_crawl_rate_windows_close(spark, raw, live):
+    path = scratch_path(spark, "t")
+    query = sink.start(folds.crawl_rate(live, "6 hours", 6 * 3600), path)
+    query.awaitTermination()
+    stored = D.crawl_events(raw).where("event_type = 'url_stored'")
+    want = stored.groupBy("job_id", F.window("ts", "6 hours").alias("w")).agg(F.count("*").alias("pages"))
+    newest = stored.agg(F.max(E.micros(F.col("ts")))).first()[0] // 1000 * 1000
+    closed = want.where(F.unix_micros(F.col("w.end").cast("timestamp")) <= newest - 60_000_000).select("job_id", F.col("w.start").alias("window_start"), "pages")
+    got = sink.appended(spark, path).select("job_id", "window_start", "pages")
+    assert rows(got) == rows(closed) and got.count() < want.count()
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= want.count() - closed.count()
+
+
 def test_dedup(spark, raw, live):
     path, other = scratch_path(spark, "t"), scratch_path(spark, "t")
     queued = live.where("event_type = 'url_queued'").select("job_id", "url", "ts")
@@ -104,32 +163,46 @@ def test_dedup(spark, raw, live):
 
 
 def test_admission_over_batches(spark):
+    """Batch by batch as ``frontier.admit`` with all that was admitted before; the state begins with what is given as seen."""
     pages = D.pages(spark, SMALL)
-    folder, path = scratch_path(spark, "pages"), scratch_path(spark, "t")
-    split_by_order(spark, pages, "page_id", folder)
     settings = D.job_settings(D.events(spark, SMALL))
-    stream = event_log.tail_events(spark, folder, pages.schema, files_per_batch=1)
-    sink.drain(crawl.classified_links(D.link_occurrences(stream), settings, D.SUFFIXES), path, transform=folds.admission_step(path))
-    got = sink.appended(spark, path)
-    want = Q.admit(crawl.classified_links(D.link_occurrences(pages), settings, D.SUFFIXES))
-    assert batches(spark, path) == FILES and got.count() == want.count()
-    assert rows(got.where("queued").select("job_id", "url")) == rows(want.where("queued").select("job_id", "url"))
-    assert rows(got.groupBy("reason").count()) == rows(want.groupBy("reason").count())
+    links = written(crawl.classified_links(D.link_occurrences(pages), settings, D.SUFFIXES), "links")
+    folder, path = scratch_path(spark, "pages"), scratch_path(spark, "t")
+    split_by_order(spark, links, "parent_seq", folder)
+    known = links.where("pos = 5").select("job_id", U.url_hash("url").alias("url_hash"))
+    stream = event_log.tail_events(spark, folder, links.schema, files_per_batch=1)
+    with folds.use_rocksdb(spark):
+        sink.drain(folds.admission(stream, known), path)
+    assert batches(spark, path) >= FILES
+    edges = links.approxQuantile("parent_seq", [i / FILES for i in range(FILES + 1)], 0.0)
+    seen, want = known, []
+    for i in range(FILES):
+        part = links.where((F.col("parent_seq") >= edges[i] if i == 0 else F.col("parent_seq") > edges[i]) & (F.col("parent_seq") <= edges[i + 1]))
+        out = written(Q.admit(part, seen), "out")
+        want += rows(out)
+        fresh = spark.createDataFrame(out.where("queued").select("job_id", "url_hash").collect(), "job_id string, url_hash string")
+        seen = seen.unionByName(fresh)
+    assert rows(sink.appended(spark, path)) == sorted(want)
 
 
 def test_late_rows_go_aside(spark, raw):
-    folder, path, side = scratch_path(spark, "late"), scratch_path(spark, "t"), scratch_path(spark, "side")
+    folder, path = scratch_path(spark, "late"), scratch_path(spark, "t")
     log = D.crawl_events(raw).select("seq", "ts")
-    early, late = log.where("seq % 5 <> 0"), log.where("seq % 5 = 0")
-    early.coalesce(1).write.mode("append").parquet(folder)
-    late.coalesce(1).write.mode("append").parquet(folder)
-    stream = event_log.tail_events(spark, folder, log.schema, files_per_batch=1)
-    sink.drain(stream, path, transform=folds.late_split_step(path, 86_400, side))
-    newest = early.agg(F.max(E.micros(F.col("ts")))).first()[0]
-    want = late.where(E.micros(F.col("ts")) < newest - 86_400 * 10**6)
-    got = spark.read.parquet(side).drop("batch")
-    assert got.count() > 0 and rows(got) == rows(want)
-    assert rows(sink.appended(spark, path)) == rows(log.join(want.select("seq"), "seq", "left_anti"))
+    for i in range(FILES):
+        log.where(F.col("seq") % FILES == i).coalesce(1).write.mode("append").parquet(folder)
+    stream = folds.with_watermark(event_log.tail_events(spark, folder, log.schema, files_per_batch=1), "1 day")
+    step = folds.late_split_step(path)
+    sink.drain(stream, path, transform=step, parts=["late"])
+    got = {r.seq: r.late == "true" for r in sink.appended(spark, path).collect()}  # a folder name
+    known = {r.seq: r.us for r in log.select("seq", E.micros(F.col("ts")).alias("us")).collect()}
+    newest, want = None, {}
+    for i in range(FILES):
+        part = {s: us for s, us in known.items() if s % FILES == i}
+        want |= {s: newest is not None and us < newest // 1000 * 1000 - 86_400_000_000 for s, us in part.items()}
+        newest = max([*part.values(), newest or 0])
+    assert got == want and len(set(want.values())) == 2
+    again = step(log.where(F.col("seq") % FILES == 3), 3)
+    assert {r.seq: r.late for r in again.collect()} == {s: late for s, late in want.items() if s % FILES == 3}
 
 
 def test_replayed_batch_changes_nothing(spark, raw, live):

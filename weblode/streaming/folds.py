@@ -7,12 +7,13 @@ session time zone must be UTC.
 
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from weblode.functions import urls as U
 from weblode.operators import events as E, frontier as Q, metrics as M
 from weblode.schema import SYSTEM_JOB, WORKER_TTL_SECONDS
-from weblode.streaming.sink import batch_folder
+from weblode.streaming.sink import batch_folder, watermark as sink_watermark
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,22 +28,41 @@ def url_state(stream: DataFrame, ignore_link_stage: bool = False) -> DataFrame:
     return E.url_state(stream, ignore_link_stage)
 
 
-def domain_stats(stream: DataFrame) -> DataFrame:
-    """Counters and busy worker per (job, domain) (update). One aggregate, as streams want it.
-
-    ``avg_fetch_ms`` is over fetches as they end; the batch form waits for their pages to be stored."""
+def domain_counts(stream: DataFrame) -> DataFrame:
+    """Counters and busy worker per (job, domain) (update); one aggregate, as streams want it."""
     kind = F.col("event_type")
-    took = F.when(kind == "url_fetched", F.col("fetch_duration_ms").cast("bigint"))
     own = stream.where(F.col("domain").isNotNull() & (F.col("job_id") != SYSTEM_JOB))
     return own.groupBy("job_id", "domain").agg(
         F.count_if(kind == "url_queued").alias("queued"), F.count_if(kind == "url_stored").alias("done"),
-        F.sum(took).alias("took"), F.count(took).alias("timed"),
         F.max(F.when(kind == "url_fetching", F.struct("seq", "worker_id"))).alias("busy"),
         F.max(F.when(kind.isin("url_stored", "url_discarded"), F.col("seq"))).alias("idle_seq"),
-    ).select(
-        "job_id", "domain", "queued", "done",
-        F.when(F.col("timed") > 0, M.half_up(F.col("took") / F.col("timed"), 1)).otherwise(F.lit(0.0)).alias("avg_fetch_ms"),
-        F.when(F.col("busy.seq") > F.coalesce("idle_seq", F.lit(-1)), F.col("busy.worker_id")).alias("active_worker"))
+    ).select("job_id", "domain", "queued", "done",
+             F.when(F.col("busy.seq") > F.coalesce("idle_seq", F.lit(-1)), F.col("busy.worker_id")).alias("active_worker"))
+
+
+def fetch_pairs(stream: DataFrame, within: str = "1 hour", late: str = "1 minute") -> DataFrame:
+    """Fetches with a time and the storing of their page, brought together by URL (append).
+
+    A stream-stream join: each side waits for the other for ``within`` and is forgotten once the watermark, ``late`` behind
+    the newest event, has passed that. Either may come first.
+    """
+    at, kind = F.col("ts").cast("timestamp"), F.col("event_type")
+    fetched = stream.where((kind == "url_fetched") & F.col("url").isNotNull() & F.col("fetch_duration_ms").isNotNull()).select(
+        "job_id", "url", "domain", F.col("fetch_duration_ms").alias("ms"), F.col("seq").alias("fetch_seq"), at.alias("fetched_at")).withWatermark("fetched_at", late)
+    stored = stream.where((kind == "url_stored") & F.col("url").isNotNull()).select(
+        F.col("job_id").alias("_job"), F.col("url").alias("_url"), F.col("seq").alias("store_seq"), at.alias("stored_at")).withWatermark("stored_at", late)
+    wait = F.expr(f"INTERVAL {within}")
+    near = (F.col("stored_at") >= F.col("fetched_at") - wait) & (F.col("stored_at") <= F.col("fetched_at") + wait)
+    return fetched.join(stored, (F.col("job_id") == F.col("_job")) & (F.col("url") == F.col("_url")) & near).select(
+        "job_id", "url", "domain", "ms", "fetch_seq", "store_seq", "fetched_at", "stored_at")
+
+
+def domain_stats(counts: DataFrame, fetches: DataFrame) -> DataFrame:
+    """``metrics.domain_stats`` without the queue, from the tables of ``domain_counts`` (keyed by job and domain) and ``fetch_pairs``
+    (keyed by job and URL, greatest ``fetch_seq``): the time of a URL is that of its last fetch, counted once its page is stored."""
+    took = fetches.groupBy("job_id", "domain").agg(F.sum(F.col("ms").cast("bigint")).alias("_took"), F.count("*").alias("_timed"))
+    mean = F.when(F.col("_timed") > 0, M.half_up(F.col("_took") / F.col("_timed"), 1)).otherwise(F.lit(0.0))
+    return counts.join(took, ["job_id", "domain"], "left").select("job_id", "domain", "queued", "done", mean.alias("avg_fetch_ms"), "active_worker")
 
 
 def live_metrics_step(path: str):
@@ -71,7 +91,7 @@ def live_metrics_step(path: str):
 
 
 def crawl_rate(stream: DataFrame, width: str = "1 minute", seconds: int = 60, late: str = "1 minute") -> DataFrame:
-    """Stored pages per second in tumbling windows per job (complete, or append once closed)."""
+    """Stored pages per second in tumbling windows per job (append: a window comes once the watermark closes it, and its state goes)."""
     stored = stream.where(F.col("event_type") == "url_stored").withColumn("at", F.col("ts").cast("timestamp"))
     return (
         stored.withWatermark("at", late).groupBy("job_id", F.window("at", width).alias("w")).agg(F.count("*").alias("pages"))
@@ -86,7 +106,7 @@ def _beat():
 
 
 def worker_sessions(stream: DataFrame, gap: str = "30 seconds", late: str = "1 minute") -> DataFrame:
-    """Up-intervals of workers by session window (complete, or append once closed)."""
+    """Up-intervals of workers by session window (append: an interval comes once the watermark closes it, and its state goes)."""
     beats = stream.where(_beat()).withColumn("at", F.col("ts").cast("timestamp"))
     return (
         beats.withWatermark("at", late).groupBy("worker_id", F.session_window("at", gap).alias("w"))
@@ -107,8 +127,15 @@ class _Liveness(StatefulProcessor):
         self.last = handle.getValueState("last", "ms bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        # The beats of one worker in one micro-batch; a worker beats every few seconds.
-        beats = sorted(int(t) for frame in rows for t in frame["ms"])
+        # Beats less than the limit apart cannot part an interval, so of those in a stretch as long as the limit the
+        # first and the last will do: what is held depends on the time a micro-batch spans, not on the number of beats.
+        edges = {}
+        for frame in rows:
+            ends = frame["ms"].groupby(frame["ms"] // self.ttl_ms).agg(["min", "max"])
+            for stretch, low, high in ends.itertuples():
+                least, most = edges.get(stretch, (low, high))
+                edges[stretch] = min(least, low), max(most, high)
+        beats = [int(t) for stretch in sorted(edges) for t in edges[stretch]]
         last = self.last.get()[0] if self.last.exists() else None
         out = []
         for ms in beats:
@@ -160,22 +187,20 @@ class _BoundedState(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         before = tuple(self.entry.get()) if self.entry.exists() else None
         best, newest = (before[:3], before[3]) if before else (None, 0)
-        for frame in rows:
-            top = frame.sort_values(["rank", "seq"]).iloc[-1]
-            candidate = (int(top["rank"]), int(top["seq"]), str(top["status"]))
-            if best is None or candidate[:2] >= best[:2]:
-                best = candidate
-            newest = max(newest, int(frame["ms"].max()))
+        for row in rows:
+            if best is None or (row.rank, row.seq) >= best[:2]:
+                best = (row.rank, row.seq, row.status)
+            newest = max(newest, row.ms)
         self.entry.update((*best, newest))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(newest + self.ttl_ms)
         if before is None or best != before[:3]:
-            yield pd.DataFrame([(key[0], key[1], best[2], best[1])], columns=["job_id", "url", "status", "seq"])
+            yield Row(job_id=key[0], url=key[1], status=best[2], seq=best[1])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.entry.clear()
-        yield pd.DataFrame({"job_id": [], "url": [], "status": [], "seq": []}).astype({"job_id": str, "url": str, "status": str, "seq": "int64"})
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -185,13 +210,13 @@ def bounded_url_state(stream: DataFrame, ttl_seconds: int = 86_400, late: str =
     """``url_state`` with bounded memory (update): a URL is forgotten ``ttl_seconds`` after its last event.
 
     A duplicate discard that comes later than that finds no state and starts a new one. The events of
-    a URL pass through in Arrow batches and only the best row is held. Needs the RocksDB state store.
+    a URL pass one by one and only the best row is held. Needs the RocksDB state store.
     """
     status = F.coalesce("status", F.lit("queued"))
     rank = E.status_rank(status).cast("int")
     rows = stream.where(F.col("url").isNotNull()).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     rows = rows.select("job_id", "url", rank.alias("rank"), "seq", status.alias("status"), "at", F.unix_millis("at").alias("ms"))
-    return rows.groupBy("job_id", "url").transformWithStateInPandas(
+    return rows.groupBy("job_id", "url").transformWithState(
         _BoundedState(ttl_seconds * 1000), "job_id string, url string, status string, seq bigint", "update", "eventTime")
 
 
@@ -217,21 +242,59 @@ def dedup(stream: DataFrame, key=("job_id", "url_hash"), late: str | None = None
     return timed.dropDuplicatesWithinWatermark(list(key)).drop("at")
 
 
-def admission_step(path: str):
-    """Batch transform: outcome of every link of the batch against all batches before it.
+class _Admission(StatefulProcessor):
+    """Whether a (job, URL) was admitted before; of a micro-batch's rows the first in order of arrival is admitted."""
 
-    The set of admitted URLs is the table itself, so it needs no state store, and the salted windows
-    of ``frontier.admit`` keep a hot URL out of one task.
-    """
-    def step(batch: DataFrame, batch_id: int) -> DataFrame:
-        seen = None
-        if batch_id > 0:
-            # Folders of earlier batches only, by partition pruning; so a replay sees what it saw before.
-            table = batch.sparkSession.read.parquet(f"{path}/data")
-            seen = table.where((F.col("batch") < batch_id) & F.col("queued")).select("job_id", "url_hash")
-        return Q.admit(batch, seen)
+    def __init__(self, columns: list, ttl_ms: int | None) -> None:
+        self.columns, self.ttl_ms = columns, ttl_ms
 
-    return step
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "known boolean", self.ttl_ms)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.update((True,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        # Rows leave as they come and only the first so far is held back, so a hot URL needs no memory.
+        known, first, least = self.seen.exists(), None, None
+        for row in rows:
+            place = tuple((row[c] is not None, row[c] or 0) for c in Q.ARRIVAL)
+            if known or (first is not None and place >= least):
+                yield self._out(row, False)
+                continue
+            if first is not None:
+                yield self._out(first, False)
+            first, least = row, place
+        if first is not None:
+            self.seen.update((True,))
+            yield self._out(first, True)
+
+    def _out(self, row, queued: bool) -> Row:
+        return Row(**{c: row[c] for c in self.columns}, queued=queued)
+
+    def close(self) -> None:
+        pass
+
+
+def admission(links: DataFrame, seen: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """``frontier.admit`` on an endless stream of links (append): outcome of every link against all that came before.
+
+    The URLs admitted so far are keyed state, one flag each, so a micro-batch costs what it brings and nothing for the
+    history; ``seen`` (job_id, url_hash) is the state to begin with. Within a micro-batch the least (depth, parent_seq, pos)
+    is first. With ``ttl_ms`` a URL is forgotten that long after it was admitted, by the clock. Refused links pass by the
+    state. Needs the RocksDB state store.
+    """
+    rows = links if "url_hash" in links.columns else links.withColumn("url_hash", U.url_hash("url"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("queued", T.BooleanType())])
+    begun = None if seen is None else seen.select("job_id", "url_hash").distinct().withColumn("known", F.lit(True)).groupBy("job_id", "url_hash")
+    judged = rows.where(F.col("reason").isNull()).groupBy("job_id", "url_hash").transformWithState(
+        _Admission(rows.columns, ttl_ms), schema, "append", "none" if ttl_ms is None else "processingTime", begun)
+    refused = rows.where(F.col("reason").isNotNull()).withColumn("queued", F.lit(False))
+    duplicate = F.col("reason").isNull() & ~F.col("queued")
+    return judged.unionByName(refused).select(
+        *[c for c in rows.columns if c not in ("reason", "detail", "allowed")], "queued",
+        F.when(duplicate, "duplicate").otherwise(F.col("reason")).alias("reason"),
+        F.when(duplicate, "Already seen").otherwise(F.col("detail")).alias("detail"))
 
 
 def discards(stream: DataFrame) -> DataFrame:
@@ -241,23 +304,20 @@ def discards(stream: DataFrame) -> DataFrame:
         F.col("ts").alias("discarded_at"), "seq", "discard_stage")
 
 
-def late_split_step(path: str, late_seconds: int, side: str):
-    """Batch transform: rows on time pass, rows older than the newest seen by more than the limit go aside.
+def late_split_step(path: str):
+    """Batch transform for a stream with a watermark on its event time: adds ``late``, by which the rows are parted into folders.
 
-    The newest time before each batch is kept beside the data, in the folder of the batch, so a replay
-    repeats the split. Late rows land in ``side`` in the folder of their batch.
+    A row is late if its ``ts`` lies before the watermark its micro-batch runs with, the one by which stateful queries
+    drop rows. Nothing is dropped here; rows without a time are not late. The watermark is read from the query's own
+    log, so a replay repeats the split; rows are written once, both sides together.
     """
-    def step(batch: DataFrame, batch_id: int) -> DataFrame:
-        spark = batch.sparkSession
-        at = E.micros(F.col("ts"))
-        clocks = f"{path}/clock"
-        newest = F.lit(None).cast("bigint")
-        if batch_id > 0:
-            newest = spark.read.parquet(batch_folder(clocks, batch_id - 1)).select("newest").scalar()
-        batch.agg(F.max(at).alias("batch_newest")).select(F.greatest("batch_newest", newest).alias("newest")) \
-            .write.mode("overwrite").parquet(batch_folder(clocks, batch_id))
-        is_late = F.coalesce(at < newest - late_seconds * 1_000_000, F.lit(False))
-        batch.where(is_late).write.mode("overwrite").parquet(batch_folder(side, batch_id))
-        return batch.where(~is_late)
+    def step(batch: DataFrame, batch_id: int):
+        mark = sink_watermark(batch.sparkSession, path, batch_id)
+        return batch.withColumn("late", F.coalesce(E.micros(F.col("ts")) < mark * 1000, F.lit(False)))
 
     return step
+
+
+def with_watermark(stream: DataFrame, late: str) -> DataFrame:
+    """The stream with a watermark ``late`` behind its newest ``ts``."""
+    return stream.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", late).drop("_at")
