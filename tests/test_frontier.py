@@ -95,10 +95,10 @@ def test_rank_and_limit(spark):
     df = spark.createDataFrame(rows, "g string, depth int, seq bigint, id int")
     place = ranked(rows)
     for n in (1, 7, 64):
-        out = blocks.rank_in_group(df, ["g"], ["depth"], "seq", ["id"], "place", blocks=n).collect()
+        out = blocks.rank_in_group(df, ["g"], ["depth", "seq", "id"], "place", n).collect()
         assert {r.id: r.place for r in out} == place
         capped = df.withColumn("cap", F.when(F.col("g") == "hot", 100).when(F.col("g") == "g1", 0).when(F.col("g") == "g2", 10**6))
-        marked = blocks.mark_limit(capped, ["g"], ["depth"], "seq", ["id"], "cap", "kept", blocks=n).collect()
+        marked = blocks.mark_limit(capped, ["g"], ["depth", "seq", "id"], "cap", "kept", n).collect()
         caps = {"hot": 100, "g1": 0}
         assert {r.id: r.kept for r in marked} == {i: place[i] <= caps.get(g, 10**9) for g, _, _, i in rows}
 
@@ -111,8 +111,8 @@ def test_politeness(spark):
     for _, domain, arrival, took, seq in sorted(rows, key=lambda r: (r[2], r[4])):
         start = max(arrival, free.get(domain, 0))
         free[domain], want[seq] = start + took + 1000, start
-    for width in (10_000, 3_600_000):
-        out = Q.politeness_schedule(df, 1000, width).collect()
+    for ranges in (1, 13):
+        out = Q.politeness_schedule(df, 1000, ranges=ranges).collect()
         assert {r.seq: r.start_ms for r in out} == want
         assert all(r.wait_ms == r.start_ms - r.arrival_ms for r in out)
     assert all(r.wait_ms == 0 for r in Q.politeness_schedule(df, 0).collect())
@@ -168,16 +168,63 @@ def test_seeds_and_config(spark):
 def test_rows_without_order_are_kept(spark):
     df = spark.createDataFrame([("a", 1, 5, 1, 2), ("a", 1, None, 2, 2), ("a", None, 7, 3, 2), (None, 1, None, 4, 1), (None, 1, 3, 5, 1)],
                                "g string, depth int, seq bigint, id int, cap bigint")
-    ranked = {r.id: r.place for r in blocks.rank_in_group(df, ["g"], ["depth"], "seq", ["id"], "place").collect()}
+    ranked = {r.id: r.place for r in blocks.rank_in_group(df, ["g"], ["depth", "seq", "id"], "place").collect()}
     assert ranked == {3: 1, 2: 2, 1: 3, 4: 1, 5: 2}
-    marked = {r.id: r.kept for r in blocks.mark_limit(df, ["g"], ["depth"], "seq", ["id"], "cap", "kept").collect()}
+    marked = {r.id: r.kept for r in blocks.mark_limit(df, ["g"], ["depth", "seq", "id"], "cap", "kept").collect()}
     assert marked == {3: True, 2: True, 1: False, 4: True, 5: False}
 
 
-def test_blocks_are_even_whatever_the_values(spark):
-    df = spark.range(1000).selectExpr("id AS seq").union(spark.createDataFrame([(2 ** 62,), (-2 ** 62,), (None,)], "seq bigint"))
-    sizes = [r["n"] for r in df.groupBy(blocks.block_of(df, "seq", 10).alias("b")).agg(F.count("*").alias("n")).collect()]
-    assert len(sizes) == 10 and max(sizes) <= 110
+def test_a_hub_is_spread_over_ranges(spark):
+    """Nine of ten links come from one page of one depth; still no range holds much more than its share."""
+    links = spark.range(20_000).selectExpr("'j' AS job_id", "1 AS depth", "if(id % 10 = 0, id, 7) AS discovered_seq", "cast(id AS int) AS pos", "concat('u', id) AS url")
+    rows = blocks.ranged(links, ["job_id", "depth", "discovered_seq", "pos", "url"], 20)
+    sizes = [r["count"] for r in rows.groupBy("_range").count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) >= 15 and max(sizes) < 3_000
+    capped = Q.cap_pages(links, spark.createDataFrame([("j", 12_345)], "job_id string, max_pages bigint"), 20)
+    kept = {r.pos for r in capped.where("kept").collect()}
+    order = sorted(range(20_000), key=lambda i: (i if i % 10 == 0 else 7, i))
+    assert kept == set(order[:12_345]) and capped.where("reason = 'max_pages'").count() == 20_000 - 12_345
+
+
+def test_a_host_whose_fetches_arrive_at_once(spark):
+    """Each job paces by its own delay; one without settings by the default; no pacing at 0."""
+    rows = [(job, "h", 5, 10 + i % 7, i) for job in ("a", "b", "c") for i in range(2_000)] + [(None, None, 5, 3, i) for i in range(3)]
+    df = spark.createDataFrame(rows, "job_id string, domain string, arrival_ms bigint, fetch_ms bigint, seq int")
+    jobs = spark.createDataFrame([("a", 0.5), ("b", 0.0)], "job_id string, politeness_delay double")
+    got = {(r.job_id, r.seq): r.start_ms for r in Q.politeness_schedule(df, 1000, jobs, ranges=16).collect()}
+    want = {}
+    for job, _, arrival, took, seq in rows:
+        delay = {"a": 500, "b": 0}.get(job, 1000)
+        start = max(arrival, want.get((job, "free"), 0)) if delay else arrival
+        want[job, seq], want[job, "free"] = start, start + took + delay
+    assert got == {k: v for k, v in want.items() if k[1] != "free"}
+    plan = blocks.ranged(df, ["job_id", "domain", "arrival_ms", "seq"], 16).groupBy("_range").count().collect()
+    assert max(r["count"] for r in plan) < 2_000
+
+
+def test_pages_at_any_depth(spark):
+    from weblode.operators import views as V
+    rows = spark.range(5_000).selectExpr("if(id % 5 = 0, 'k', 'j') AS job_id", "concat('u', id) AS url", "'p' AS parent_url", "0 AS depth", "200 AS status_code",
+                                         "'t' AS title", "'c' AS content_type", "id AS links_found", "1.0D AS fetch_duration_ms",
+                                         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id % 50 AS int), 0) AS fetched_at")
+    table, counts = V.index_pages(rows, 12)
+    for job, total in (("j", 4_000), ("k", 1_000)):
+        every = [r.url for r in rows.where(F.col("job_id") == job).orderBy(F.desc("fetched_at"), "url").collect()]
+        for offset, n in ((0, 3), (total // 2, 40), (total - 2, 10), (total, 5), (100, 700)):
+            assert [r.url for r in V.page_at(table, counts, job, n, offset).collect()] == every[offset:offset + n]
+    assert V.page_at(table, counts, "no such job").isEmpty()
+    plan = V.page_at(table, counts, "j", 5, 3_000)._jdf.queryExecution().toString()
+    assert "_range" in plan.split("PushedFilters")[1][:200]
+
+
+def test_a_cleared_job_begins_anew(spark):
+    events = spark.createDataFrame([(1, "a", "url_queued", "u"), (2, "a", "url_queued", "v"), (3, "a", "url_stored", "u"), (4, "b", "url_queued", "u"), (7, "a", "url_queued", "w")],
+                                   "seq bigint, job_id string, event_type string, url string")
+    clears = spark.createDataFrame([("a", 2), ("a", 5)], "job_id string, cleared_seq bigint")
+    left = Q.since_clear(events, clears)
+    assert sorted(r.seq for r in left.collect()) == [4, 7] and Q.seen_urls(left).count() == 2
+    offered = events.where("event_type = 'url_queued'").selectExpr("job_id", "url", "0 AS depth", "seq AS parent_seq", "0 AS pos", "cast(null AS string) AS reason", "cast(null AS string) AS detail")
+    assert {(r.job_id, r.url) for r in Q.admit(offered, Q.seen_urls(left)).where("queued").collect()} == {("a", "u"), ("a", "v")}
 
 
 def test_levels_go_as_deep_as_the_links(spark):

@@ -6,7 +6,8 @@ window over such a group:
 * ``top_per_group``: the first rows of each salted slice of a group, then the first of those;
 * ``first_per_key``: the same for "is this the first row of its key", with every row kept;
 * blocks: a group is cut along its order column into blocks, a window works inside each block, and
-  what flows from block to block comes from one summary row per (group, block).
+  what flows from block to block comes from one summary row per (group, block);
+* ranges: the same along a whole list of order columns, so that rows equal in the first ones are parted too.
 """
 
 import os
@@ -126,11 +127,6 @@ def block_number(column: str, cuts: list) -> Column:
     return F.size(F.filter(points, lambda c: c < F.col(column)))
 
 
-def block_of(df: DataFrame, column: str, blocks: int = BLOCKS) -> Column:
-    """Number of the quantile block of a column."""
-    return block_number(column, cut_points(df, column, blocks))
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list, how: str = "left") -> DataFrame:
     """Join on equal keys where NULL equals NULL; the keys of ``left`` stay."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
@@ -141,48 +137,56 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list, how: str = "le
     return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def _with_offsets(df: DataFrame, group: list, major: list, column: str, blocks: int) -> tuple:
-    """Rows with their block, and per block the number of rows of the group in earlier blocks."""
-    cut = df.withColumn("_block", block_of(df, column, blocks))
-    key = [*group, *major, "_block"]
-    before = Window.partitionBy(*group).orderBy(*major, "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(*key).agg(F.count("*").alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .withColumn("_end", F.col("_offset") + F.col("_n")).drop("_n")
-    )
-    return cut, offsets, key
+RANGE, PLACE = "_range", "_place"
 
 
-def rank_in_group(df: DataFrame, group: list, major: list, column: str, minor: list, out: str,
-                  blocks: int = BLOCKS) -> DataFrame:
-    """Exact row number inside each group, ordered by ``major``, ``column``, ``minor``.
+def ranged(df: DataFrame, order: list, ranges: int | None = None) -> DataFrame:
+    """``df`` written once in order of the columns ``order`` (names, '-' for descending), cut into ranges of like size wherever that falls.
 
-    ``major`` holds columns of few values (a depth) and may be empty, ``column`` is a BIGINT. Rows
-    are ranked inside (group, major, block); the blocks before add their row counts. ``df`` is read
-    twice, so pass a table and not a costly plan.
+    Adds ``_range`` and ``_place``, the place of the row in its range, both ascending. The cuts are sampled by the sort that
+    deals the rows out, so nothing is read twice; rows equal in all of ``order`` share a range, so let it end in a
+    unique column. Groups that begin ``order`` run from range to range: windows by (group, ``_range``) are bounded by the
+    size of a range, and one summary row per (group, ``_range``) carries on what lies before (see ``carried``).
     """
-    cut, offsets, key = _with_offsets(df, group, major, column, blocks)
-    local = F.row_number().over(Window.partitionBy(*key).orderBy(column, *minor))
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = ordering(order)
+    lined = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    low = (1 << 33) - 1  # an id is the number of the partition, then 33 bits of the place in it
+    return written(lined.withColumn(RANGE, F.shiftright("_id", 33).cast("int")).withColumn(PLACE, F.col("_id").bitwiseAND(F.lit(low))).drop("_id"), "ranged")
+
+
+def before_range(group: list) -> Window:
+    """Window over the summary rows of a group's ranges that come before."""
+    return Window.partitionBy(*group).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def carried(rows: DataFrame, summary: DataFrame, group: list) -> DataFrame:
+    """Rows of ``ranged`` with the summary row of their (group, ``_range``); NULL equals NULL in the group."""
+    return join_null_safe(rows, summary, [*group, RANGE])
+
+
+def counted(rows: DataFrame, group: list) -> DataFrame:
+    """Per (group, ``_range``): ``_from``, the least place, and ``_offset``, the number of the group's rows in ranges before,
+    and ``_end``, with those of this range."""
     return (
-        join_null_safe(cut.withColumn("_local", local), offsets, key)
-        .withColumn(out, (F.col("_offset") + F.col("_local")).cast("bigint"))
-        .select(*df.columns, out)
+        rows.groupBy(*group, RANGE).agg(F.min(PLACE).alias("_from"), F.count("*").alias("_n"))
+        .withColumn("_offset", F.coalesce(F.sum("_n").over(before_range(group)), F.lit(0)))
+        .withColumn("_end", F.col("_offset") + F.col("_n")).drop("_n")
     )
 
 
-def mark_limit(df: DataFrame, group: list, major: list, column: str, minor: list, limit: str,
-               out: str, blocks: int = BLOCKS) -> DataFrame:
-    """Add ``out``: the row is among the first rows of its group, as many as column ``limit`` says.
+def rank_in_group(df: DataFrame, group: list, order: list, out: str, ranges: int | None = None) -> DataFrame:
+    """Exact row number inside each group, ordered by ``order`` (names, '-' for descending); equal rows in any order.
 
-    Same order as ``rank_in_group``. Blocks that end within the limit are in and blocks that start
-    beyond it are out by their counts alone; only the block that holds the limit is ranked.
+    No window over rows: the number is the place in the range, less that of the group's first row there, plus the group's
+    rows in ranges before. However long a group and its ties, no task sees more than a range. ``df`` is read once.
     """
-    cut, offsets, key = _with_offsets(df, group, major, column, blocks)
-    placed = join_null_safe(cut, offsets, key)
-    within = F.col(limit).isNull() | (F.col("_end") <= F.col(limit))
-    beyond = F.col("_offset") >= F.col(limit)
-    local = F.row_number().over(Window.partitionBy(*key).orderBy(column, *minor))
-    whole = placed.where(within | beyond).withColumn(out, within)
-    split = placed.where(~within & ~beyond).withColumn(out, F.col("_offset") + local <= F.col(limit))
-    return whole.unionByName(split).select(*df.columns, out)
+    rows = ranged(df, [*group, *order], ranges)
+    number = F.col(PLACE) - F.col("_from") + F.col("_offset") + 1
+    return carried(rows, counted(rows, group), group).withColumn(out, number.cast("bigint")).select(*df.columns, out)
+
+
+def mark_limit(df: DataFrame, group: list, order: list, limit: str, out: str, ranges: int | None = None) -> DataFrame:
+    """Add ``out``: the row is among the first rows of its group in order of ``order``, as many as column ``limit`` says (NULL: all)."""
+    ranked = rank_in_group(df, group, order, "_number", ranges)
+    return ranked.withColumn(out, F.col(limit).isNull() | (F.col("_number") <= F.col(limit))).select(*df.columns, out)

@@ -8,7 +8,7 @@ merged.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weblode.functions import urls as U
-from weblode.operators.blocks import block_number, block_of, cut_points, join_spread, top_per_group
+from weblode.operators.blocks import RANGE, block_number, cut_points, join_spread, ranged, top_per_group
 from weblode.schema import EVENT_HISTORY, EVENT_LABELS, EVENT_RETENTION, REASON_LABELS, SYSTEM_JOB, URL_STATUSES
 
 ENTRY = ["parent_url", "depth", "status", "status_code", "content_type", "links_found",
@@ -153,12 +153,12 @@ def _active_worker() -> Column:
     return F.when(busy.isNotNull() & (busy > F.coalesce(idle, F.lit(-1))), F.max_by("worker_id", "busy_seq"))
 
 
-def live_graph_nodes(events: DataFrame, max_nodes: int | None = None, blocks: int = 64) -> DataFrame:
+def live_graph_nodes(events: DataFrame, max_nodes: int | None = None, ranges: int | None = None) -> DataFrame:
     """Node per (job, URL): depth of its first event, status of its latest, last known code.
 
     The code moves only when the status changes (or on the first event), so each event is compared
-    with the one before. That runs inside blocks of ``seq``; one summary row per (URL, block) then
-    settles the first row of each block. With ``max_nodes`` a job stops at the event that brings
+    with the one before. That runs inside ranges of the log; one summary row per (URL, range) then
+    settles the first row of each range. With ``max_nodes`` a job stops at the event that brings
     its last node.
     """
     rows = url_events(events).select(
@@ -169,7 +169,7 @@ def live_graph_nodes(events: DataFrame, max_nodes: int | None = None, blocks: in
         last = top_per_group(first, ["job_id"], ["seq"], max_nodes).groupBy("job_id").agg(
             F.max("seq").alias("_last"), F.count("*").alias("_n"))
         rows = join_spread(rows, last, ["job_id"], ["url", "seq"], "inner").where((F.col("_n") < max_nodes) | (F.col("seq") <= F.col("_last"))).drop("_last", "_n")
-    rows = rows.withColumn("_b", block_of(rows, "seq", blocks))
+    rows = ranged(rows, ["job_id", "url", "seq"], ranges).withColumnRenamed(RANGE, "_b")
     w = Window.partitionBy("job_id", "url", "_b").orderBy("seq")
     before = F.lag("status").over(w)
     code = F.col("status_code")

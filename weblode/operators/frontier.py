@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from weblode.functions import urls as U
 from weblode.operators.blocks import (
-    BLOCKS, join_spread, mark_first, mark_limit, rank_in_group, top_per_group)
+    PLACE, RANGE, before_range, carried, join_spread, mark_first, mark_limit, rank_in_group, ranged, top_per_group)
 from weblode.schema import MAX_PAGES, POLITENESS_DELAY_MS, QUEUE_SHARDS
 
 ARRIVAL = ["depth", "parent_seq", "pos"]
@@ -98,64 +98,63 @@ def next_batch(frontier: DataFrame, n: int = 10) -> DataFrame:
         "status", F.lit("fetching"))
 
 
-def dispatch_plan(frontier: DataFrame, shards: int = QUEUE_SHARDS, blocks: int = BLOCKS) -> DataFrame:
+def dispatch_plan(frontier: DataFrame, shards: int = QUEUE_SHARDS, ranges: int | None = None) -> DataFrame:
     """Queue of each URL and its place in that queue."""
     routed = frontier.withColumn("queue_shard", U.queue_shard(U.url_netloc("url"), shards))
-    ranked = rank_in_group(routed, ["job_id", "queue_shard"], ["depth"], "discovered_seq", ["url"], "position", blocks)
+    ranked = rank_in_group(routed, ["job_id", "queue_shard"], ["depth", "discovered_seq", "url"], "position", ranges)
     return ranked.withColumn("queue_name", U.queue_name("queue_shard"))
 
 
-def cap_pages(frontier: DataFrame, limits: DataFrame, blocks: int = BLOCKS, used: DataFrame | None = None) -> DataFrame:
+def cap_pages(frontier: DataFrame, limits: DataFrame, ranges: int | None = None, used: DataFrame | None = None) -> DataFrame:
     """Keep the first ``max_pages`` URLs of each job, less what ``used`` (job_id, used) says it has already; the others
     get reason max_pages. A job without a limit has the default one.
 
-    ``frontier`` is read three times, so pass a table.
+    The order is cut wherever ranges of like size end, within a depth and within the links of one page too.
     """
     limit = limits.select("job_id", F.coalesce("max_pages", F.lit(MAX_PAGES)).alias("_limit"))
     if used is not None:
         limit = limit.join(used, "job_id", "left").select(
             "job_id", F.greatest(F.col("_limit") - F.coalesce("used", F.lit(0)), F.lit(0)).alias("_limit"))
     limited = join_spread(frontier, limit, ["job_id"], ["url"]).withColumn("_limit", F.coalesce("_limit", F.lit(MAX_PAGES)))
-    marked = mark_limit(limited, ["job_id"], ["depth"], "discovered_seq", ["pos", "url"], "_limit", "kept", blocks)
+    marked = mark_limit(limited, ["job_id"], ["depth", "discovered_seq", "pos", "url"], "_limit", "kept", ranges)
     return marked.drop("_limit").withColumn("reason", F.when(~F.col("kept"), "max_pages"))
 
 
-def politeness_schedule(fetches: DataFrame, delay_ms: int = POLITENESS_DELAY_MS, block_ms: int = 3_600_000) -> DataFrame:
-    """Earliest start of each fetch when a host rests ``delay_ms`` after each fetch has ended.
+def politeness_schedule(fetches: DataFrame, delay_ms: int = POLITENESS_DELAY_MS, jobs: DataFrame | None = None, ranges: int | None = None) -> DataFrame:
+    """Earliest start of each fetch when a host rests after each fetch has ended: ``delay_ms``, or what ``jobs`` (job_id,
+    politeness_delay in seconds, see ``job_config``) says for the job. A delay of 0 or less means no pacing.
 
     Input (job_id, domain, arrival_ms, fetch_ms, seq). The wait recurrence
-    start(i) = max(arrival(i), start(i-1) + fetch(i-1) + delay) has a closed form: with S(i) the sum
-    of fetch + delay of the fetches before i, start(i) = S(i) + max over j <= i of arrival(j) - S(j).
-    Both terms are prefix aggregates. They run inside (host, ``block_ms`` of arrival time); the sum
-    and the maximum of the blocks before come from one summary row per block, so a hot host is
-    spread over its blocks.
+    start(i) = max(arrival(i), start(i-1) + fetch(i-1) + delay) is a chain of functions t -> max(a, t + b), which compose into
+    one of the same form. So with S(i) the sum of fetch + delay of the fetches before i,
+    start(i) = S(i) + max over j <= i of arrival(j) - S(j): a prefix sum and a prefix maximum. Both run inside (host, range of
+    the sorted table); one summary row per (host, range) composes what lies before. Ranges are cut by size, so a host all of
+    whose fetches arrive at once is spread as well.
     """
-    if delay_ms <= 0:
-        return fetches.withColumn("start_ms", F.col("arrival_ms").cast("bigint")).withColumn(
-            "wait_ms", F.lit(0).cast("bigint"))
     host = ["job_id", "domain"]
-    key = [*host, "_block"]
-    order = ["arrival_ms", "seq"]
-    inside = Window.partitionBy(*key).orderBy(*order)
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    busy = (F.col("fetch_ms") + delay_ms).cast("bigint")
+    rows = fetches.withColumn("_delay", F.lit(delay_ms).cast("bigint"))
+    if jobs is not None:
+        given = jobs.select("job_id", (F.col("politeness_delay") * 1000).cast("bigint").alias("_own"))
+        rows = join_spread(rows, given, ["job_id"], ["seq"]).withColumn("_delay", F.coalesce("_own", "_delay")).drop("_own")
+    rows = ranged(rows, [*host, "arrival_ms", "seq"], ranges)
+    inside = Window.partitionBy(*host, RANGE).orderBy(PLACE)
+    busy = (F.col("fetch_ms") + F.col("_delay")).cast("bigint")
     local = (
-        fetches.withColumn("_block", F.floor(F.col("arrival_ms") / block_ms))
-        .withColumn("_s", F.coalesce(F.sum(busy).over(before), F.lit(0)))
+        rows.withColumn("_s", F.coalesce(F.sum(busy).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_slack", F.col("arrival_ms") - F.col("_s"))
-        .withColumn("_m", F.max("_slack").over(upto))
+        .withColumn("_m", F.max("_slack").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    earlier = Window.partitionBy(*host).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = before_range(host)
     carry = (
-        local.groupBy(*key).agg(F.sum(busy).alias("_total"), F.max("_slack").alias("_peak"))
+        local.groupBy(*host, RANGE).agg(F.sum(busy).alias("_total"), F.max("_slack").alias("_peak"))
         .withColumn("_c", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
         .withColumn("_k", F.max(F.col("_peak") - F.col("_c")).over(earlier))
-        .select(*key, "_c", "_k")
+        .select(*host, RANGE, "_c", "_k")
     )
-    start = F.col("_c") + F.col("_s") + F.greatest(F.col("_k"), F.col("_m") - F.col("_c"))
+    paced = F.col("_c") + F.col("_s") + F.greatest(F.col("_k"), F.col("_m") - F.col("_c"))
+    start = F.when(F.col("_delay") > 0, paced).otherwise(F.col("arrival_ms"))
     return (
-        local.join(carry, key, "left").withColumn("start_ms", start.cast("bigint"))
+        carried(local, carry, host).withColumn("start_ms", start.cast("bigint"))
         .withColumn("wait_ms", (F.col("start_ms") - F.col("arrival_ms")).cast("bigint"))
         .select(*fetches.columns, "start_ms", "wait_ms")
     )
@@ -176,3 +175,21 @@ def live_frontier(frontier: DataFrame, jobs: DataFrame) -> DataFrame:
     """Frontier without the pending rows of stopped jobs."""
     stopped = jobs.where(F.col("status") == "stopped").select("job_id")
     return frontier.join(stopped, "job_id", "left_anti")
+
+
+def since_clear(events: DataFrame, clears: DataFrame) -> DataFrame:
+    """The events a job still knows: those after its last clear; ``clears`` (job_id, cleared_seq), any number per job.
+
+    A clear empties the frontier, the seen set, the states and the counters of a job at once. All four are folds of the
+    log, so the mark is honoured by folding only what follows it: ``metrics.pending_frontier``, ``seen_urls``,
+    ``events.url_state`` and ``metrics.job_metrics`` of the result.
+    """
+    last = clears.groupBy("job_id").agg(F.max("cleared_seq").alias("_cleared"))
+    marked = join_spread(events, last, ["job_id"], ["seq"])
+    return marked.where(F.col("_cleared").isNull() | (F.col("seq") > F.col("_cleared"))).drop("_cleared")
+
+
+def seen_urls(events: DataFrame) -> DataFrame:
+    """(job_id, url_hash) of the URLs queued in a log, as ``admit`` wants them."""
+    queued = events.where((F.col("event_type") == "url_queued") & F.col("url").isNotNull())
+    return queued.select("job_id", "url").distinct().select("job_id", U.url_hash("url").alias("url_hash"))

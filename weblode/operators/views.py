@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from weblode.functions import urls as U
-from weblode.operators.blocks import ordering, top_per_group
+from weblode.operators.blocks import PLACE, RANGE, counted, ordering, ranged, top_per_group, written
 from weblode.operators.events import url_state
 from weblode.schema import ROBOTS_TTL_SECONDS
 
@@ -25,6 +25,27 @@ def pages_page(pages: DataFrame, n: int = 50, offset: int = 0) -> DataFrame:
     return page_of(pages.select("job_id", *PAGE_COLUMNS), ["job_id"], ["-fetched_at", "url"], n, offset)
 
 
+def index_pages(pages: DataFrame, ranges: int | None = None) -> tuple:
+    """Stored pages in the order they are shown, newest first, as a table cut into ranges; and how many of each job's pages
+    every range has and how many come before. Written once; any page is then found by ``page_at``."""
+    rows = ranged(pages.select("job_id", *PAGE_COLUMNS), ["job_id", "-fetched_at", "url"], ranges)
+    return rows, written(counted(rows, ["job_id"]), "counts")
+
+
+def page_at(rows: DataFrame, counts: DataFrame, job_id: str, n: int = 50, offset: int = 0) -> DataFrame:
+    """Rows ``offset`` + 1 to ``offset`` + ``n`` of a job, in order, from ``index_pages``.
+
+    The counts name the few ranges that hold them and their places there; both are numbers stored with the rows, so the scan
+    skips all other files and nothing that lies before is ranked, however deep the page.
+    """
+    held = counts.where((F.col("job_id") == job_id) & (F.col("_end") > offset) & (F.col("_offset") < offset + n)).collect()
+    wanted = F.lit(False)
+    for c in held:  # at most as many as the page has rows
+        low, high = c["_from"] + max(offset - c["_offset"], 0), c["_from"] + min(offset + n, c["_end"]) - c["_offset"]
+        wanted = wanted | ((F.col(RANGE) == c[RANGE]) & (F.col(PLACE) >= low) & (F.col(PLACE) < high))
+    return rows.where((F.col("job_id") == job_id) & F.col(RANGE).isin(*[c[RANGE] for c in held]) & wanted).orderBy(RANGE, PLACE).drop(RANGE, PLACE)
+
+
 def discards_page(discards: DataFrame, n: int = 100, reason: str | None = None) -> DataFrame:
     """Newest discards of each job, optionally of one reason."""
     rows = discards if reason is None else discards.where(F.col("reason") == reason)

@@ -425,7 +425,17 @@ _SCHEDULE = """SELECT page_id AS seq, job_id, domain, fetch_ms, arrival_ms, CAST
 
 @query("politeness_schedule", f"SELECT seq, job_id, domain, start_ms, start_ms - arrival_ms AS wait_ms FROM ({_SCHEDULE}) t", "fetches")
 def politeness_schedule(spark, sf):
-    return Q.politeness_schedule(_paced(spark, sf), delay_ms=90_000, block_ms=100_000).select("seq", "job_id", "domain", "start_ms", "wait_ms")
+    return Q.politeness_schedule(_paced(spark, sf), delay_ms=90_000).select("seq", "job_id", "domain", "start_ms", "wait_ms")
+
+
+@query("politeness_schedule_by_job", """SELECT page_id AS seq, job_id, domain, CAST(s + max(arrival_ms - s) OVER (PARTITION BY job_id, domain ORDER BY arrival_ms, page_id) AS BIGINT) AS start_ms FROM (
+  SELECT page_id, job_id, domain, arrival_ms, coalesce(sum(CAST(fetch_ms AS BIGINT) + delay) OVER (
+    PARTITION BY job_id, domain ORDER BY arrival_ms, page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
+    SELECT f.page_id, f.job_id, netloc AS domain, page_id // 100 AS arrival_ms, fetch_ms, CASE WHEN config_kind = 0 THEN 500 ELSE 1000 END AS delay
+    FROM fetches f LEFT JOIN jobs j ON j.job_id = f.job_id) d) p""", "fetches jobs")
+def politeness_schedule_by_job(spark, sf):
+    at_once = _paced(spark, sf).withColumn("arrival_ms", F.floor(F.col("seq") / 100))  # a hundred fetches in a millisecond
+    return Q.politeness_schedule(at_once, jobs=Q.job_config(D.jobs(D.events(spark, sf)))).select("seq", "job_id", "domain", "start_ms")
 
 
 @query("politeness_wait", f"""SELECT job_id, domain, CAST(greatest(0, max(start_ms + fetch_ms) + 90000 - (SELECT max(arrival_ms) FROM fetches)) AS BIGINT) AS wait_ms
@@ -499,6 +509,36 @@ def job_clear(spark, sf):
     return Q.live_frontier(_pending(spark, sf), D.jobs(D.events(spark, sf))).select("job_id", "url", "depth", "discovered_seq")
 
 
+_CLEARED = """(SELECT j.job_id, (SELECT max(event_id) // 2 FROM events) AS cleared_seq FROM jobs j WHERE j.status = 'stopped')"""
+
+
+def _clears(spark, sf):
+    """Stopped jobs are cleared half way through the log."""
+    raw = D.events(spark, sf)
+    half = raw.agg(F.max("event_id")).first()[0] or 0
+    return D.jobs(raw).where(F.col("status") == "stopped").select("job_id", F.lit(half // 2).cast("bigint").alias("cleared_seq"))
+
+
+@query("job_clear_metrics", f"""SELECT job_id, CAST(sum(q) AS BIGINT) AS queued_total, CAST(sum(d) AS BIGINT) AS done, CAST(sum(x) AS BIGINT) AS discarded,
+  CAST(sum(e) AS BIGINT) AS error, count(*) FILTER (q > 0) AS accepted_total, count(*) FILTER (q > 0 AND d = 0 AND x = 0) AS frontier_depth
+FROM (SELECT c.job_id, url, count(*) FILTER (event_type = 'url_queued') AS q, count(*) FILTER (event_type = 'url_stored') AS d,
+    count(*) FILTER (discard_stage = 'fetch') AS x, count(*) FILTER (event_type = 'url_error') AS e
+  FROM crawl_events c LEFT JOIN {_CLEARED} k ON k.job_id = c.job_id WHERE coalesce(seq > cleared_seq, true) GROUP BY c.job_id, url) u GROUP BY job_id""", "crawl_events jobs")
+def job_clear_metrics(spark, sf):
+    return M.job_metrics(Q.since_clear(log(spark, sf), _clears(spark, sf)))
+
+
+@query("job_clear_readmit", f"""SELECT s.job_id, s.url, NOT bool_or(seq > coalesce(cleared_seq, -1)) AS queued
+FROM crawl_events s LEFT JOIN {_CLEARED} k ON k.job_id = s.job_id WHERE event_type = 'url_queued' GROUP BY s.job_id, s.url""", "crawl_events jobs")
+def job_clear_readmit(spark, sf):
+    """Every URL ever queued is offered again: only those that a clear made the job forget are admitted."""
+    events = log(spark, sf)
+    offered = events.where(F.col("event_type") == "url_queued").select("job_id", "url").distinct().select(
+        "job_id", "url", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("parent_seq"), F.lit(0).alias("pos"),
+        F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("detail"))
+    return Q.admit(offered, Q.seen_urls(Q.since_clear(events, _clears(spark, sf)))).select("job_id", "url", "queued")
+
+
 # Event log --------------------------------------------------------------------------------------
 
 @query("event_history", """SELECT seq, job_id, event_type, url FROM (SELECT * FROM crawl_events WHERE seq >= 100 ORDER BY seq LIMIT 500) h
@@ -758,6 +798,14 @@ def pages_page(spark, sf):
     return V.pages_page(_stored(spark, sf), n=50, offset=10)
 
 
+@query("pages_page_at", f"""SELECT job_id, {_PAGE} FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY fetched_at DESC, url) AS rn,
+  count(*) OVER (PARTITION BY job_id) AS n FROM stored) p WHERE job_id = 'job-2' AND rn > n * 3 // 4 AND rn <= n * 3 // 4 + 7""", "stored")
+def pages_page_at(spark, sf):
+    rows, counts = V.index_pages(_stored(spark, sf))
+    n = counts.where(F.col("job_id") == "job-2").agg(F.coalesce(F.max("_end"), F.lit(0))).first()[0]
+    return V.page_at(rows, counts, "job-2", 7, n * 3 // 4)
+
+
 def _discard_rows(spark, sf):
     return log(spark, sf).where(F.col("event_type") == "url_discarded").select(
         "job_id", "url", "parent_url", "depth", F.col("discard_reason").alias("reason"), F.col("discard_detail").alias("detail"),

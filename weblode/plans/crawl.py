@@ -136,6 +136,6 @@ def crawl_levels(seeds: DataFrame, edges: DataFrame, limits: DataFrame, judge=No
         if state.over:
             # Some job reaches its page limit on this level: rank only there, and replace the level.
             paths.pop()
-            level = save(mark_limit(join_spread(level, room.drop("_deepest"), ["job_id"], ["node"]), ["job_id"], [], "parent_seq", ["pos", "node"], "_room", "_kept")
+            level = save(mark_limit(join_spread(level, room.drop("_deepest"), ["job_id"], ["node"]), ["job_id"], ["parent_seq", "pos", "node"], "_room", "_kept")
                          .where("_kept"))
     return spark.read.schema(schema).parquet(*paths)
