@@ -281,3 +281,21 @@ def test_worker_states_are_the_last_reports(spark):
     alive = {r.worker_id: r.alive for r in M.worker_liveness(df).collect()}
     assert alive == {"w1": False, "w2": True}
     assert M.worker_stats(df.drop("worker_state")).where("last_status is not null").isEmpty()
+
+
+def test_decoded_events_feed_the_folds(spark):
+    """The stage of a discard is told by its fields; a metric that is no number does not reject its event."""
+    base = {"job_id": "j", "timestamp": "2024-01-01T00:00:01.5"}
+    wire = [(1, base | {"event_type": "url_queued", "url": "u", "domain": "d"}), (2, base | {"event_type": "url_queued", "url": "v", "domain": "d"}),
+            (3, base | {"event_type": "url_discarded", "url": "u", "discard_reason": "http_error", "domain": "d", "status": "discarded"}),
+            (4, base | {"event_type": "url_discarded", "url": "v", "discard_reason": "max_depth", "status": "discarded"}),
+            (5, base | {"event_type": "url_discarded", "url": "v", "discard_reason": "duplicate", "domain": "d", "status": "discarded"}),
+            (6, base | {"event_type": "metrics_update", "metrics": '{"done": 7, "note": "odd", "list": [1], "queued_total": "5"}'})]
+    decoded = event_log.decode_events(spark.createDataFrame(wire, "seq bigint, data map<string,string>"), keep=("seq",))
+    log = event_log.as_log(event_log.valid_events(decoded))
+    assert {r.seq: r.discard_stage for r in log.collect()} == {1: None, 2: None, 3: "fetch", 4: "link", 5: "link", 6: None}
+    m = M.job_metrics(log).first()
+    assert (m.queued_total, m.discarded, m.accepted_total, m.frontier_depth) == (2, 1, 2, 1)
+    live = M.live_metrics(log).first()
+    assert (live.done, live.queued_total, live.discarded) == (7, 5, 3)
+    assert log.where("seq = 6").first().metrics == {"done": 7.0, "note": None, "list": None, "queued_total": 5.0}

@@ -547,9 +547,16 @@ def event_history(spark, sf):
     return E.history(log(spark, sf), "job-1", start=100).select("seq", "job_id", "event_type", "url")
 
 
+def _sent(events: DataFrame) -> DataFrame:
+    """Events as they are sent: the time by its wire name, an id, no stage, and no domain on links that a rule refused."""
+    by_rule = F.coalesce((F.col("discard_stage") == "link") & (F.col("discard_reason") != "duplicate"), F.lit(False))
+    return events.withColumnRenamed("ts", "timestamp").withColumns({
+        "event_id": F.concat(F.lit("e"), F.col("seq").cast("string")), "domain": F.when(~by_rule, F.col("domain"))}).drop("discard_stage")
+
+
 def _wire(spark, sf) -> DataFrame:
     """The log as a stored table of flat maps; some event types are unknown, some depths no numbers."""
-    rows = log(spark, sf).withColumnRenamed("ts", "timestamp").withColumn("event_id", F.concat(F.lit("e"), F.col("seq").cast("string")))
+    rows = _sent(log(spark, sf))
     flat = event_log.encode_events(rows, keep=("seq",))
     broken = F.when(F.col("seq") % 50 == 3, F.map_from_arrays(F.array(F.lit("event_type")), F.array(F.lit("url_bogus")))).when(
         F.col("seq") % 50 == 4, F.map_from_arrays(F.array(F.lit("depth")), F.array(F.lit("deep")))).otherwise(F.expr("cast(map() as map<string,string>)"))
@@ -571,6 +578,15 @@ def event_decode_rejects(spark, sf):
     return event_log.invalid_events(event_log.decode_events(_wire(spark, sf), keep=("seq",))).select("seq", "error")
 
 
+@query("wire_job_metrics", """SELECT job_id, CAST(sum(q) AS BIGINT) AS queued_total, CAST(sum(d) AS BIGINT) AS done, CAST(sum(x) AS BIGINT) AS discarded,
+  CAST(sum(e) AS BIGINT) AS error, count(*) FILTER (q > 0) AS accepted_total, count(*) FILTER (q > 0 AND d = 0 AND x = 0) AS frontier_depth
+FROM (SELECT job_id, url, count(*) FILTER (event_type = 'url_queued') AS q, count(*) FILTER (event_type = 'url_stored') AS d,
+    count(*) FILTER (discard_stage = 'fetch') AS x, count(*) FILTER (event_type = 'url_error') AS e
+  FROM crawl_events WHERE seq % 50 NOT IN (3, 4) GROUP BY job_id, url) u GROUP BY job_id""", "crawl_events")
+def wire_job_metrics(spark, sf):
+    return M.job_metrics(event_log.as_log(event_log.valid_events(event_log.decode_events(_wire(spark, sf), keep=("seq",)))))
+
+
 @query("event_encode", """SELECT seq, CAST(10 + (event_type = 'url_queued')::INT * 2 + (status_code IS NOT NULL)::INT * 2 + (links_found IS NOT NULL)::INT
     + (content_length IS NOT NULL)::INT + (fetch_duration_ms IS NOT NULL)::INT + (discard_reason IS NOT NULL)::INT * 2
     + (coalesce(m_queued, m_frontier, m_done) IS NOT NULL)::INT AS BIGINT) AS fields,

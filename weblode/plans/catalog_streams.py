@@ -6,7 +6,7 @@ from weblode.functions import urls as U
 from weblode.operators.blocks import scratch_path, written
 from weblode.operators.metrics import half_up
 from weblode.plans import crawl, derived as D
-from weblode.plans.catalog import _LIVE_SQL, _SESSIONS, _STATE, big, query
+from weblode.plans.catalog import _LIVE_SQL, _SESSIONS, _STATE, _sent, big, query
 from weblode.sources import event_log
 from weblode.streaming import folds, sink
 
@@ -169,3 +169,12 @@ def stream_late_events(spark, sf):
     live = D.crawl_events(in_files(spark, sf, "events", f"event_id % {FILES}")).select("seq", "ts")
     sink.drain(folds.with_watermark(live, "10 days"), path, transform=folds.late_split_step(path), parts=["late"])
     return sink.appended(spark, path).select("seq", "ts", F.col("late").cast("boolean").alias("late"))
+
+
+@query("stream_event_encode", """SELECT seq, ts, job_id, event_type, url, depth, discard_stage, worker_id FROM crawl_events""", "crawl_events")
+def stream_event_encode(spark, sf):
+    """Events written in wire form as they come, read back as a log."""
+    path = scratch_path(spark, "encoded")
+    event_log.start_encoded(_sent(live_log(spark, sf)), path).awaitTermination()
+    decoded = event_log.decode_events(sink.appended(spark, path), keep=("seq",))
+    return event_log.as_log(event_log.valid_events(decoded)).select("seq", "ts", "job_id", "event_type", "url", "depth", "discard_stage", "worker_id")
