@@ -52,6 +52,20 @@ def test_links_resolve_against_the_final_url_and_fill_the_rest_of_the_cap(step):
     assert [(r.job_id, r.skipped_links) for r in step["skipped"]] == [("b", 1)]
 
 
+def test_links_resolve_against_the_base_element_if_asked(spark):
+    fetches = spark.createDataFrame([
+        fetch(1, "https://h.example.com/a/p", "b", '<base href="https://h.example.com/b/"><a href="x">1</a><a href="/y">2</a>'),
+        fetch(2, "https://h.example.com/a/q", "b", '<base href="sub/"><a href="x">1</a>', final="https://h.example.com/moved/q"),
+        fetch(3, "https://h.example.com/a/r", "b", '<a href="x">1</a>', final="https://h.example.com/f/r"),
+        fetch(4, "https://h.example.com/a/s", "b", '<base href="http://[x"><a href="z">1</a>')], FETCHES)
+    jobs = Q.job_config(spark.createDataFrame([("b", 5, 100, None, None, None)], JOBS))
+    robots = spark.createDataFrame(ROBOTS, "netloc string, robots_txt string")
+    site = "https://h.example.com"
+    for asked, want in ((True, {"/b/x", "/y", "/moved/sub/x", "/f/x", "/a/z"}), (False, {"/a/x", "/y", "/moved/x", "/f/x", "/a/z"})):
+        out = crawl.crawl_step(fetches, robots, jobs, ["com"], use_base_href=asked)
+        assert {r.url for r in out["frontier"].collect()} == {site + path for path in want}
+
+
 def exchange_keys(df):
     """Key columns of every hash exchange of the plan."""
     plan = df._jdf.queryExecution().executedPlan().toString()

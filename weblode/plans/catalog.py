@@ -392,9 +392,9 @@ def frontier_order(spark, sf):
 
 
 @query("frontier_next_batch", """SELECT job_id, url, domain, depth, discovered_seq, 'fetching' AS status FROM (
-  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY depth, discovered_seq, url) AS rn FROM pending) r WHERE rn <= 10""", "pending")
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY depth, discovered_seq, url) AS rn FROM pending) r WHERE rn <= 2""", "pending")
 def frontier_next_batch(spark, sf):
-    return Q.next_batch(_pending(spark, sf))
+    return Q.next_batch(_pending(spark, sf), 2)
 
 
 @query("dispatch_plan", """SELECT job_id, url, depth, queue_shard, concat('crawl.', queue_shard) AS queue_name,
@@ -842,15 +842,15 @@ def jobs_list(spark, sf):
 
 @query("graph_nodes", """SELECT job_id, url AS id, concat(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), substr(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), 1, 40)) AS label,
   depth, 'done' AS status, status_code, title FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY fetched_at, url) AS rn FROM stored) p
-WHERE rn <= 500""", "stored")
+WHERE rn <= 30""", "stored")
 def graph_nodes(spark, sf):
-    return V.graph_nodes(_stored(spark, sf))
+    return V.graph_nodes(_stored(spark, sf), 30)
 
 
 @query("graph_edges", """SELECT job_id, parent_url AS source, url AS target FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY fetched_at, url) AS rn FROM stored) p
-WHERE rn <= 500 AND parent_url <> url""", "stored")
+WHERE rn <= 30 AND parent_url <> url""", "stored")
 def graph_edges(spark, sf):
-    return V.graph_edges(_stored(spark, sf))
+    return V.graph_edges(_stored(spark, sf), 30)
 
 
 @query("url_detail", """SELECT k.job_id, k.url, CASE WHEN s.seq IS NOT NULL THEN 'entry' ELSE 'discard' END AS found_in,

@@ -31,12 +31,13 @@ def discovery(occurrences: DataFrame, jobs: DataFrame, suffixes) -> DataFrame:
 
 
 def crawl_step(fetches: DataFrame, robots: DataFrame, jobs: DataFrame, suffixes, seen: DataFrame | None = None,
-               max_pages: bool = True) -> dict:
+               max_pages: bool = True, use_base_href: bool = False) -> dict:
     """One step of a crawl over a fetch log.
 
     Returns the tables ``pages``, ``links``, ``discards``, ``frontier`` and ``skipped`` (links without a target, per
     job). ``jobs`` may carry ``respect_robots`` and ``allowed_content_types`` (see ``frontier.job_config``); ``fetches``
-    may carry ``final_url``, against which links resolve, and ``parent_url``. Pages are taken apart where they are read,
+    may carry ``final_url``, against which links resolve, and ``parent_url``. With ``use_base_href`` links resolve against what a
+    page's first base element names, itself taken relative to that URL. Pages are taken apart where they are read,
     so no text travels; the result and the admission of links are each written once. ``seen`` (job_id, url_hash)
     holds what was admitted before and counts towards the page limit.
     """
@@ -53,7 +54,11 @@ def crawl_step(fetches: DataFrame, robots: DataFrame, jobs: DataFrame, suffixes,
     if "parent_url" not in fetches.columns:
         refused = refused.withColumn("parent_url", F.lit(None).cast("string"))
     at = F.coalesce("final_url", "url") if "final_url" in fetches.columns else F.col("url")
-    links = link_rows(extracted.withColumn("_at", at), ["job_id", "_at", "depth", "page_id"]).select(
+    linking = extracted.withColumn("_at", at)
+    if use_base_href:
+        linking = U.with_resolved_url(linking, "_at", "base_href", "_base", normalized=False).withColumn(
+            "_at", F.when(F.col("base_href") != F.col("url"), F.coalesce("_base", "_at")).otherwise(F.col("_at")))
+    links = link_rows(linking, ["job_id", "_at", "depth", "page_id"]).select(
         "job_id", F.col("_at").alias("page_url"), (F.col("depth") + 1).alias("depth"),
         F.col("page_id").alias("parent_seq"), "pos", "href", "anchor")
     outcomes = written(admit(classified_links(links, jobs, suffixes), seen), "outcomes")
