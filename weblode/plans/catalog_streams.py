@@ -66,8 +66,10 @@ def stream_live_metrics(spark, sf):
 def stream_domain_stats(spark, sf):
     counts, fetches = scratch_path(spark, "domains"), scratch_path(spark, "fetches")
     log = live_log(spark, sf)
-    sink.drain_keyed(folds.domain_counts(log), counts, ["job_id", "domain"], every=2)
-    sink.drain_keyed(folds.fetch_pairs(log, "60 DAYS"), fetches, ["job_id", "url"], "append", ["fetch_seq"], every=2)
+    both = [sink.start_keyed(folds.domain_counts(log), counts, ["job_id", "domain"], every=2),
+            sink.start_keyed(folds.fetch_pairs(log, "60 DAYS"), fetches, ["job_id", "url"], "append", ["fetch_seq"], every=2)]
+    for running in both:
+        running.awaitTermination()
     return folds.domain_stats(sink.keyed(spark, counts, ["job_id", "domain"]), sink.keyed(spark, fetches, ["job_id", "url"], ["fetch_seq"]))
 
 
