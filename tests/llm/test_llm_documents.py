@@ -162,6 +162,16 @@ def test_near_duplicates(docs, data):
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
+@pytest.mark.parametrize("levels", [2, 6])
+def test_near_duplicates_through_deep_nodes(docs, data, monkeypatch, levels):
+    """Nodes that hold eight documents at most branch on, and those still large at the last level meet block by block."""
+    monkeypatch.setattr(near_dedup, "NODE", 8)
+    monkeypatch.setattr(near_dedup, "LEVELS", levels)
+    want = _components(data)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect() if r.doc_id is not None}
+    assert got == {i: component for i, (_, component) in want.items()}
+
+
 def test_chains_and_crowds_are_joined(spark):
     """A long chain of links, and more near copies than a node compares, become one component each."""
     import random
