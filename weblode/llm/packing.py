@@ -16,11 +16,13 @@ import random
 import zlib
 from bisect import bisect_left, insort
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from weblode.llm.common import WORD, batches
+from weblode.llm.common import batches
 from weblode.operators.blocks import written
 
 CAPACITY = 4096
@@ -32,8 +34,12 @@ EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 12
 WELL_FILLED = 0.985
-CACHE = 800_000
-"""Words whose ids a worker remembers in each of two generations."""
+CACHE_BYTES = 80 << 20
+"""Bytes that a generation of remembered words may take in a worker; there are two of words and two of their parts."""
+ENTRY = 150
+"""About what an entry takes besides its characters and ids."""
+LONG_WORD = 64
+"""Longer words are not remembered."""
 
 
 def tokenizer_path() -> str:
@@ -41,16 +47,51 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+class Words:
+    """Ids of recent words, as little-endian bytes: two generations, bounded by their bytes."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def ids(self, words: list[str], learn) -> list[bytes]:
+        """Ids of distinct words; ``learn`` gives those of the ones that are not remembered."""
+        out = list(map(self.young.get, words))
+        lost = [n for n, code in enumerate(out) if code is None]
+        unknown = []
+        for n in lost:
+            out[n] = self.old.get(words[n])
+            if out[n] is None:
+                unknown.append(n)
+        for n, code in zip(unknown, learn([words[n] for n in unknown])):
+            out[n] = code
+        if self.size > CACHE_BYTES:
+            self.young, self.old, self.size = {}, self.young, 0
+        for n in lost:
+            word = words[n]
+            if len(word) <= LONG_WORD:
+                self.young[word] = out[n]
+                self.size += ENTRY + len(word) + len(out[n])
+        return out
+
+
 class Encoder:
-    """Token ids of whole texts as little-endian bytes.
+    """Token ids of whole texts.
 
     The tokenizer treats white space as a border and drops it, so a text's ids are those of its words in a
-    row. It lowers words and cuts them at borders between letters, digits and marks; for plain ASCII words that is
-    done here, so that "Word", "word," and "word." share their parts. Ids of recent words and parts are remembered.
+    row. Texts are split and their words numbered by Arrow, only distinct words of a batch are looked up, and the ids
+    are gathered by number. The tokenizer lowers words and cuts them at borders between letters, digits and marks; for
+    words of printable ASCII and Latin-1 letters that is done here, so that "Word", "word," and "word." share their
+    parts, and parts go straight to the tokenizer's merges. Ids of recent words and parts are remembered.
     """
 
-    # Where the tokenizer cuts a lower-case ASCII word.
-    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+    # What the tokenizer takes for letters among ASCII and Latin-1, where it cuts a lower-case word,
+    # its characters for bytes that do not print, and a special token to set other words apart.
+    PLAIN = r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+"
+    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+"
+    HIDDEN = {**{128 + k: 290 + k for k in range(33)}, 173: 323}
+    BORDER = "<|endoftext|>"
 
     def __init__(self, path: str):
         import re
@@ -58,45 +99,73 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = re.compile(WORD).findall
-        self.parts = re.compile(self.PARTS).findall
-        self.known: dict[str, bytes] = {}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.plain, self.parts = re.compile(self.PLAIN).fullmatch, re.compile(self.PARTS).findall
+        self.border = self.tokenizer.token_to_id(self.BORDER)
+        self.words, self.known_parts = Words(), Words()
+
+    def _merge(self, parts: list[str]) -> list[bytes]:
+        out = []
+        for part in parts:
+            seen = part if part.isascii() else part.encode().decode("latin-1").translate(self.HIDDEN)
+            out.append(b"".join([token.id.to_bytes(4, "little") for token in self.model.tokenize(seen)]))
+        return out
 
-    def _learn(self, into: dict, words: list[str]) -> None:
-        for start in range(0, len(words), 10_000):
-            part = words[start:start + 10_000]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                into[word] = b"".join([i.to_bytes(4, "little") for i in code.ids])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        found = [self.words(t) if t else [] for t in texts]
-        young, old = self.young, self.old
-        new = set()
-        for words in found:
-            new.update(words)
-        new = [w for w in new if w not in young]
-        missing = []
-        for word in new:
-            if word in old:
-                young[word] = old[word]
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        codes = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(code.ids, "<i4").tobytes() for code in codes]
+
+    def _in_rows(self, words: list[str]) -> list[bytes]:
+        """Ids of words, a thousand in a text, told apart by a special token between them."""
+        out = []
+        for start in range(0, len(words), 1000):
+            own = words[start:start + 1000]
+            row = f" {self.BORDER} ".join([*own, ""])
+            ids = np.array(self.tokenizer.encode(row, add_special_tokens=False).ids, "<i4")
+            ends = (4 * np.flatnonzero(ids == self.border)).tolist()
+            code = ids.tobytes()
+            out += [code[b:e] for b, e in zip([0, *[e + 4 for e in ends]], ends)]
+        return out
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        cut, rows, marked = {}, [], []
+        for n, word in enumerate(words):
+            if "<|" in word:  # may hold a special token
+                marked.append(n)
+            elif self.plain(word):
+                cut[n] = self.parts(word.lower())
             else:
-                missing.append(word)
-        plain = {w: self.parts(w.lower()) for w in missing if w.isascii() and "<|" not in w}
-        if len(self.known) > CACHE:
-            self.known = {}
-        known = self.known
-        self._learn(known, list({p for parts in plain.values() for p in parts if p not in known}))
-        self._learn(young, [w for w in missing if w not in plain])
-        for word, parts in plain.items():
-            young[word] = b"".join(map(known.__getitem__, parts))
-        end = END.to_bytes(4, "little")
-        out = [b"".join(map(young.__getitem__, words)) + end for words in found]
-        if len(young) > CACHE:
-            self.old, self.young = young, {}
+                rows.append(n)
+        distinct = list({p for own in cut.values() for p in own})
+        part_ids = dict(zip(distinct, self.known_parts.ids(distinct, self._merge)))
+        for n, own in cut.items():
+            out[n] = b"".join([part_ids[p] for p in own])
+        for places, ids in ((rows, self._in_rows), (marked, self._one_by_one)):
+            for n, code in zip(places, ids([words[n] for n in places])):
+                out[n] = code
         return out
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, each text closed by ``END``, and where each text begins, plus the end."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = [*self.words.ids(words, self._learn), END.to_bytes(4, "little")]
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, begin = np.frombuffer(b"".join(ids), "<i4"), np.cumsum(length) - length
+        borders = split.offsets.to_numpy() - split.offsets[0].as_py()
+        at = np.insert(coded.indices.to_numpy(), borders[1:], len(words))  # the last number is the end token
+        where = np.concatenate([[0], np.cumsum(length[at])])
+        out = np.empty(where[-1], "<i4")
+        for start in range(0, len(at), 1 << 18):
+            own = at[start:start + (1 << 18)]
+            base = where[start]
+            many = np.repeat(begin[own] - (where[start:start + len(own)] - base), length[own])
+            many += np.arange(len(many))
+            out[base:base + len(many)] = pool[many]
+        return out, where[borders + np.arange(len(borders))]
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -106,22 +175,22 @@ def _tokenize(path: str, capacity: int, with_ids: bool):
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         encoder = _encoders[path]
-        for batch in batches(reader, 4 << 20):
-            rows = []
-            at = []
-            for n, code in enumerate(encoder.encode(batch.column("text").to_pylist())):
-                total = len(code) // 4
-                for piece, start in enumerate(range(0, total, capacity)):
-                    part = code[4 * start:4 * (start + capacity)]
-                    at.append(n)
-                    rows.append((piece, start, len(part) // 4, zlib.crc32(part), part if with_ids else None))
-            take = pa.array(at, pa.int32())
-            columns = list(zip(*rows))
-            out = [batch.column("doc_id").take(take), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()),
-                   pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())]
+        for batch in batches(reader):
+            ids, borders = encoder.encode(batch.column("text"))
+            code = memoryview(ids).cast("B")
+            total = np.diff(borders)
+            pieces = -(-total // capacity)
+            at = np.repeat(np.arange(len(total)), pieces)
+            piece = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(total[at] - start, capacity)
+            begin = 4 * (borders[at] + start)
+            parts = [code[b:e] for b, e in zip(begin.tolist(), (begin + 4 * length).tolist())]
+            out = [batch.column("doc_id").take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                   pa.array(length, pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                out.append(pa.array(columns[4], pa.binary()))
+                out.append(pa.array([bytes(p) for p in parts], pa.binary()))
                 names.append("ids")
             yield pa.record_batch(out, names=names)
     return run
