@@ -91,6 +91,14 @@ def _windows(hashes: Column, width: int, form: str) -> Column:
     return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i + 1, width), *kind).alias("fp")))
 
 
+def _window_at(hashes: str, width: int, form: str) -> Column:
+    """Hash of the window at position ``at``, that of ``_windows``; null beyond the last. Without functions on arrays, so
+    that positions, hashes and the look-up of windows are one piece of generated code."""
+    kind = [] if form == "typed" else [F.lit(form)]
+    own = F.xxhash64(*[F.get(hashes, F.col("at") + k) for k in range(width)], *kind)
+    return F.when(F.col("at") <= F.size(hashes) - width, own)
+
+
 def item_windows(items: DataFrame, forms=FORMS[:1]) -> tuple[DataFrame, list[tuple[str, int]]]:
     """(item_id, _item, form, width, windows, at, fp) of the benchmark and the forms and widths in use: ``WINDOW``, and the
     whole length of shorter items. Items that are null or have no token give none; nor do windows of placeholders,
@@ -123,8 +131,10 @@ def candidates(docs: DataFrame, windows: DataFrame, uses: list[tuple[str, int]])
     forms = [f for f in FORMS if f in {form for form, _ in uses}]
     hashed = with_forms(docs.select("_key", "text"), "text", forms).select(
         "_key", *[F.transform(f"_k_{f}", lambda t: F.xxhash64(t)).alias(f"_h_{f}") for f in forms])
-    rows = hashed.select("_key", F.explode(F.concat(*[_windows(F.col(f"_h_{form}"), width, form) for form, width in uses])).alias("_w"))
-    found = rows.select("_key", "_w.at", "_w.fp").join(F.broadcast(side) if small else side, "fp")
+    last = F.greatest(F.lit(-1), *[F.size(f"_h_{form}") - width for form, width in uses])
+    places = hashed.select("*", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
+    rows = places.select("_key", "at", F.explode(F.array(*[_window_at(f"_h_{form}", width, form) for form, width in uses])).alias("fp"))
+    found = rows.where("fp IS NOT NULL").join(F.broadcast(side) if small else side, "fp")
     return (
         found.groupBy("_key", "_item", "form", "width", "windows", (F.col("at") - F.col("item_at")).alias("shift"))
         .agg(F.collect_set("item_at").alias("_ats"))  # at most the windows of one item
