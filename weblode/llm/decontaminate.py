@@ -6,10 +6,9 @@ Windows of ``WINDOW`` template tokens that keep enough literal words are joined
 item that cover ``COVER`` of it make a candidate; it counts when its slots are consistent: wherever the item
 repeats a value, the document repeats one too.
 
-The pipeline compares in further forms (``FORMS``), and an item counts when it is found in any: names as literal words in
-any case, so that copies in capitals or without any are found; runs of placeholders of a type as one, so that a slot may be
-filled with another number of tokens; and, for items without literal windows, all their tokens as they stand. The
-query is the typed form alone, as its SQL twin has it.
+Besides the typed form, texts are compared in further forms (``FORMS``), and an item counts when it is found in any: names as
+literal words in any case, so that copies in capitals or without any are found; runs of placeholders of a type as one, so that
+a slot may be filled with another number of tokens; and, for items without literal windows, all their tokens as they stand.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -167,7 +166,7 @@ def consistent(found: DataFrame, docs: DataFrame, items: DataFrame, form: str =
     return mapped.where(F.size("_pairs") == F.size(F.array_distinct(F.transform("_pairs", lambda p: p["slot"])))).select("_key", "_item").distinct()
 
 
-def scan(docs: DataFrame, items: DataFrame, forms=FORMS[:1]) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, forms=FORMS) -> DataFrame:
     """doc_id, n_items (benchmark items found in the document), first_item (smallest item_id), contaminated, _key.
 
     Null and empty texts hold no item. Null item ids count but give no ``first_item``. Repeated rows get the same
@@ -193,7 +192,7 @@ def scan(docs: DataFrame, items: DataFrame, forms=FORMS[:1]) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without benchmark items, with their columns as they are."""
-    dirty = scan(docs, items, FORMS).where("contaminated").select("_key").distinct()
+    dirty = scan(docs, items).where("contaminated").select("_key").distinct()
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"),
                          F.xxhash64(F.col("doc_id").cast("string"), "text").alias("_key"))
     return packed.join(dirty, "_key", "left_anti").select("_row.*")
@@ -211,29 +210,46 @@ def _sql_tokens(source: str, key: str) -> str:
         SELECT {key}, regexp_extract_all(text, '{PIECE}') AS ps FROM {source}))))"""
 
 
+def _sql_forms(tokens: str, key: str) -> str:
+    """Tokens of a table in every form: form, key, i, kind, value."""
+    return f"""
+  SELECT 'typed' AS form, {key}, i, kind, value FROM {tokens}
+  UNION ALL SELECT 'exact', {key}, i, value, value FROM {tokens}
+  UNION ALL SELECT 'lower', {key}, i, CASE WHEN kind IN ({_UNIT_LIST}) AND lag(kind) OVER (PARTITION BY {key} ORDER BY i) = '<number>' THEN '<unit>' ELSE kind END, value
+  FROM (SELECT {key}, i, value, CASE WHEN regexp_matches(value, '^[0-9]') THEN '<number>' ELSE value END AS kind FROM {tokens})
+  UNION ALL SELECT 'runs', {key}, run, any_value(kind), string_agg(value, ' ' ORDER BY i)
+  FROM (SELECT *, sum(starts) OVER (PARTITION BY {key} ORDER BY i) - 1 AS run
+    FROM (SELECT *, CASE WHEN kind[1] = '<' AND kind = lag(kind) OVER (PARTITION BY {key} ORDER BY i) THEN 0 ELSE 1 END AS starts FROM {tokens}))
+  GROUP BY {key}, run"""
+
+
 ORACLE = f"""
-WITH d AS ({_sql_tokens('documents', 'doc_id')}),
-b AS ({_sql_tokens('benchmark', 'item_id')}),
+WITH dt AS ({_sql_tokens('documents', 'doc_id')}),
+bt AS ({_sql_tokens('benchmark', 'item_id')}),
+d AS ({_sql_forms('dt', 'doc_id')}),
+b AS ({_sql_forms('bt', 'item_id')}),
 w AS (
-  SELECT item_id, i, list(kind) OVER o AS t, least(count(*) OVER (PARTITION BY item_id), {WINDOW}) AS width
-  FROM b WINDOW o AS (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
-iw AS (
-  SELECT *, count(*) OVER (PARTITION BY item_id) AS windows FROM w
+  SELECT form, item_id, i, list(kind) OVER o AS t, least(count(*) OVER (PARTITION BY form, item_id), {WINDOW}) AS width
+  FROM b WINDOW o AS (PARTITION BY form, item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+lw AS (
+  SELECT *, count(*) OVER (PARTITION BY form, item_id) AS windows FROM w
   WHERE len(t) = width AND len(list_filter(t, lambda x: x[1] <> '<')) >= {LITERALS} * width),
+iw AS (SELECT * FROM lw WHERE form <> 'exact' OR item_id NOT IN (SELECT item_id FROM lw WHERE form <> 'exact')),
 dw AS (
-  SELECT doc_id, i, width, list(kind) OVER (PARTITION BY doc_id, width ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS t0
-  FROM d, (SELECT DISTINCT width FROM w)),
+  SELECT form, doc_id, i, width, list(kind) OVER (PARTITION BY form, doc_id, width ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS t0
+  FROM d JOIN (SELECT DISTINCT form, width FROM iw) USING (form)),
 c AS (
-  SELECT doc_id, item_id, any_value(iw.width) AS width, dw.i - iw.i AS shift, list(DISTINCT iw.i) AS ats, any_value(windows) AS windows
-  FROM dw JOIN iw ON iw.t = dw.t0[1:iw.width] AND dw.width = iw.width AND len(dw.t0) >= iw.width GROUP BY ALL
-  HAVING len(list(DISTINCT iw.i)) >= {COVER} * any_value(windows)),
+  SELECT dw.form, doc_id, item_id, any_value(iw.width) AS width, dw.i - iw.i AS shift, list(DISTINCT iw.i) AS ats, any_value(windows) AS windows
+  FROM dw JOIN iw ON iw.form = dw.form AND iw.t = dw.t0[1:iw.width] AND dw.width = iw.width AND len(dw.t0) >= iw.width
+  GROUP BY dw.form, doc_id, item_id, dw.i - iw.i
+  HAVING len(list(DISTINCT iw.i)) >= CASE WHEN dw.form = 'exact' THEN any_value(windows) ELSE {COVER} * any_value(windows) END),
 p AS (
-  SELECT DISTINCT c.doc_id, c.item_id, c.shift, b.kind, b.value, d.value AS got
-  FROM c JOIN b ON b.item_id = c.item_id AND b.kind[1] = '<' AND len(list_filter(c.ats, lambda a: b.i >= a AND b.i < a + c.width)) > 0
-  LEFT JOIN d ON d.doc_id = c.doc_id AND d.i = b.i + c.shift),
+  SELECT DISTINCT c.form, c.doc_id, c.item_id, c.shift, b.kind, b.value, d.value AS got
+  FROM c JOIN b ON b.form = c.form AND b.item_id = c.item_id AND b.kind[1] = '<' AND len(list_filter(c.ats, lambda a: b.i >= a AND b.i < a + c.width)) > 0
+  LEFT JOIN d ON d.form = c.form AND d.doc_id = c.doc_id AND d.i = b.i + c.shift),
 bad AS (
-  SELECT DISTINCT doc_id, item_id, shift FROM (SELECT doc_id, item_id, shift, kind, value FROM p GROUP BY ALL HAVING count(*) > 1)),
-hit AS (SELECT DISTINCT doc_id, item_id FROM c WHERE (doc_id, item_id, shift) NOT IN (SELECT (doc_id, item_id, shift) FROM bad))
+  SELECT DISTINCT form, doc_id, item_id, shift FROM (SELECT form, doc_id, item_id, shift, kind, value FROM p GROUP BY ALL HAVING count(*) > 1)),
+hit AS (SELECT DISTINCT doc_id, item_id FROM c WHERE (form, doc_id, item_id, shift) NOT IN (SELECT (form, doc_id, item_id, shift) FROM bad))
 SELECT doc_id, count(hit.item_id) AS n_items, min(hit.item_id) AS first_item, count(hit.item_id) > 0 AS contaminated
 FROM documents LEFT JOIN hit USING (doc_id) GROUP BY doc_id
 """

@@ -13,7 +13,7 @@ the first occurrence is joined: a line in a third of all documents gives one row
 
 Windows miss short runs of lines. With ``passages`` there are fingerprints of two more kinds, each of all the lines it
 stands for: from every line on, the shortest run of lines with ``LONG`` words together, and every gram of a document that
-has grams but fewer than ``WINDOW``. The pipeline uses them; the query without them is what the SQL twin says.
+has grams but fewer than ``WINDOW``. Both the query and the pipeline use them.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -116,7 +116,7 @@ def deletions(found: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame, passages: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, passages: bool = True) -> DataFrame:
     """All rows of ``docs`` as struct ``_row`` with doc_id, the remaining ``text``, n_lines, n_removed, had_words, has_words.
 
     Null texts stay null with no lines. Rows equal in id and text are one document: they lose the same lines
@@ -146,7 +146,7 @@ def deduplicate(docs: DataFrame, passages: bool = False) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents with the remaining text and, where there is one, its length in ``n_chars``; all other columns
     as they are. Documents of which no line with a word remains are dropped; those that had none stay."""
-    rest = deduplicate(docs, passages=True).where(F.col("has_words") | ~F.col("had_words"))
+    rest = deduplicate(docs).where(F.col("has_words") | ~F.col("had_words"))
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(
         F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
     return rest.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
@@ -158,7 +158,7 @@ WITH l AS (
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
 w AS (
   SELECT *, CAST(row_number() OVER d - 1 AS BIGINT) AS i, CAST(('0x' || substr(md5(line), 1, 15)) AS BIGINT) AS h,
-    length(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= {LONG} AS big
+    length(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words
   FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
 g AS (
   SELECT doc_id, i, ((h % {1 << 58}) * 3 + n) % {1 << 58} AS g
@@ -170,7 +170,7 @@ f AS (
   SELECT doc_id, i, g AS fp, {GRAM} AS need
   FROM (SELECT *, lag(low, 1) OVER o AS low1, lag(low, 2) OVER o AS low2 FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY i))
   WHERE g = low OR g = low1 OR g = low2
-  UNION ALL SELECT doc_id, i, -h - 1, 1 FROM w WHERE big),
+  UNION ALL SELECT doc_id, i, -h - 1, 1 FROM w WHERE words >= {LONG}),
 pairs AS (
   SELECT f.*, q.doc_id AS qdoc, q.i AS qi FROM f JOIN (
     SELECT fp, min({{'doc_id': doc_id, 'i': i}}) AS q, count(*) AS n FROM f GROUP BY fp) USING (fp) WHERE n > 1 AND (doc_id, i) > (q.doc_id, q.i)),
@@ -186,8 +186,19 @@ runs AS (
   SELECT doc_id, i, need,
     CASE WHEN NOT coalesce(r0, false) THEN 0 WHEN NOT coalesce(r1, false) THEN 1 WHEN NOT coalesce(r2, false) THEN 2 WHEN NOT coalesce(r3, false) THEN 3 ELSE 4 END AS ahead,
     CASE WHEN NOT coalesce(l1, false) THEN 0 WHEN NOT coalesce(l2, false) THEN 1 ELSE 2 END AS back FROM ends),
+ahead_of AS (
+  SELECT doc_id, i, list(h) OVER o AS hs, list(words) OVER o AS ns, count(*) OVER (PARTITION BY doc_id) AS n_worded
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {LONG - 1} FOLLOWING)),
+passages AS (
+  SELECT 'run' AS kind, doc_id, i, hs[1:n] AS lines FROM (
+    SELECT *, list_position(list_transform(range(1, len(ns) + 1), lambda k: list_sum(ns[1:k]) >= {LONG}), true) AS n FROM ahead_of) WHERE n > 1
+  UNION ALL SELECT 'gram', doc_id, i, hs[1:{GRAM}] FROM ahead_of WHERE len(hs) >= {GRAM} AND n_worded - {GRAM - 1} < {WINDOW}),
+later AS (
+  SELECT doc_id, i, len(lines) AS n FROM (
+    SELECT *, min({{'doc_id': doc_id, 'i': i}}) OVER (PARTITION BY kind, lines) AS q FROM passages) WHERE (doc_id, i) > (q.doc_id, q.i)),
 gone AS (
-  SELECT DISTINCT w.doc_id, w.pos FROM runs r JOIN w ON w.doc_id = r.doc_id AND w.i BETWEEN r.i - back AND r.i + ahead - 1 WHERE ahead >= need)
+  SELECT w.doc_id, w.pos FROM runs r JOIN w ON w.doc_id = r.doc_id AND w.i BETWEEN r.i - back AND r.i + ahead - 1 WHERE ahead >= need
+  UNION SELECT w.doc_id, w.pos FROM later r JOIN w ON w.doc_id = r.doc_id AND w.i BETWEEN r.i AND r.i + n - 1)
 SELECT doc_id, coalesce(max(n_lines), 0) AS n_lines, coalesce(max(removed), 0) AS n_removed,
   CASE WHEN max(n_lines) IS NULL THEN NULL ELSE coalesce(max(rest), '') END AS text
 FROM documents LEFT JOIN (
