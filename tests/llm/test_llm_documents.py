@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -393,6 +394,72 @@ def test_cotraining_awkward_rows(docs, data, spark):
     assert cotrain.score(docs, labels.limit(0)).where("quality <> 0.5 OR toxic <> 0.5").isEmpty()
 
 
+def _plain_lessons(data, marks):
+    """lesson: (words, metadata features, {target: mark}) read from rows in plain Python."""
+    out = {}
+    for doc_id, text, lang, source, n_chars in data:
+        own = out.setdefault((text, lang, source, n_chars), (
+            set(cotrain.word_features(text or "")), set(cotrain.meta_features(lang, source, n_chars, text or "")), {}))
+        for target, mark in marks.get(doc_id, {}).items():
+            own[2][target] = mark if target not in own[2] else (min if target == "quality" else max)(own[2][target], mark)
+    return out
+
+
+def test_cotraining_learns_from_every_unlabelled_lesson(spark, docs, data):
+    marks = {r[0]: {"quality": r[0] % 2, "toxic": int(r[0] % 5 == 0)} for r in data if r[0] is not None and r[0] % 3 == 0}
+    labels = spark.createDataFrame([(i, m["quality"], m["toxic"]) for i, m in marks.items()], "doc_id bigint, quality int, toxic int")
+    known = cotrain.lessons(docs, labels).cache()
+    plain = _plain_lessons(data, marks)
+    assert known.count() == len(plain) and known.where("quality IS NOT NULL").count() == sum(bool(m) for _, _, m in plain.values())
+
+    first = cotrain.fit(known, {}, {})
+    aside = {(frozenset(r.words), frozenset(r.meta)): r["_lesson"][0] % 4 == 0 for r in known.collect()}
+    limits = {(t, v): (-0.2, 0.1) for t in first for v in (cotrain.TEXT, cotrain.META)}
+
+    def learnt(target, view):
+        for words, meta, mark in plain.values():
+            own, other = ((words, meta) if view == cotrain.TEXT else (meta, words))
+            if target in mark:
+                if not aside[frozenset(words), frozenset(meta)]:
+                    yield own, mark[target], 1.0
+            else:
+                teacher = first[target][1 - view]
+                score = teacher.bias + sum(w for f, w in zip(teacher.features.tolist(), teacher.weights) if f in other)
+                if score >= 0.1 or score < -0.2:
+                    yield own, int(score >= 0.1), cotrain.TAUGHT
+
+    got = {(r.target, r.view, r.feature): (r.n0, r.n1) for r in cotrain.counts(known, first, limits).collect()}
+    want = {}
+    for target in first:
+        for view in (cotrain.TEXT, cotrain.META):
+            for own, label, weight in learnt(target, view):
+                for feature in [*own, -1]:
+                    want.setdefault((target, view, feature), [0.0, 0.0])[label] += weight
+    assert {k: tuple(v) for k, v in want.items()} == got
+    assert any(v != int(v) for pair in got.values() for v in pair)  # lessons without labels taught
+
+    import numpy as np
+    again = cotrain.fit(known, first, limits)
+    for target, views in again.items():
+        for view, fitted in enumerate(views):
+            rows = list(learnt(target, view))
+            x = np.array([[f in own for f in fitted.features.tolist()] + [1] for own, _, _ in rows], float)
+            y, w = np.array([2 * label - 1 for _, label, _ in rows]), np.array([weight for _, _, weight in rows])
+            penalty = np.diag([cotrain.RIDGE] * len(fitted.features) + [1e-3])
+            solved = np.linalg.solve((x * w[:, None]).T @ x + penalty, (x * w[:, None]).T @ y)
+            assert np.allclose(solved, [*fitted.weights, fitted.bias])
+    known.unpersist()
+
+
+def test_sure_lessons():
+    even = [(b, 10) for b in range(-1000, 1000)]
+    low, high = cotrain.sure(even, 0.5, (100.0, 0.0))
+    assert (low, high) == (-0.9, 0.9)
+    low, high = cotrain.sure(even, 0.5, (1.0, 0.0))  # a calibration that is never that sure
+    assert low < -1 and high > 1
+    assert cotrain.sure(even, 0.5, (-1.0, 0.0)) == (-math.inf, math.inf) and cotrain.sure([], 0.5, (1.0, 0.0)) == (-math.inf, math.inf)
+
+
 # --- empty tables -----------------------------------------------------------------------------------------------
 
 def test_empty_documents(spark):

@@ -1,13 +1,16 @@
 """Quality and toxicity scores by co-training.
 
 Two classifiers look at different views of a document: its words, and its metadata (language, source, size,
-layout). Both start from labelled documents. In each round either one labels the documents of an unlabelled pool it
-is most sure of, half of each class as the labels have it, for the other one to learn from. The views are then
-calibrated on labelled documents kept aside (Platt scaling) and combined there by a logistic model of their two
-log-odds. All documents are scored where they are read.
-
-Fitting looks at no more than ``LABELLED`` labelled and ``POOL`` unlabelled documents, those with the smallest hashes
-of their ids, and at ``VOCABULARY`` words; these are parameters.
+layout). Both start from the labelled documents. In each round either one scores all unlabelled documents and labels
+those it is most sure of, of each class as many as the labels have it, for the other one to learn from. The views are
+calibrated on labelled documents kept aside (Platt scaling), which also tells how sure they are, and in the end combined
+there by a logistic model of their two log-odds. All documents are scored where they are read.
+
+Both classifiers are ridge least squares on features that are there or not, so what they learn are sums over lessons:
+how many of each class hold a word, and the products of the features kept. Every task adds these up for its own rows and
+Spark sums them; histograms of all scores tell which lessons are the surest. A lesson is a document with its metadata;
+copies of it teach once. Words are hashed to ``BUCKETS`` features. The one sample is that of ``LABELLED`` documents kept
+aside for the calibration, a parameter.
 """
 
 import re
@@ -18,24 +21,38 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from weblode.llm.common import WORD, batches
+from weblode.operators.blocks import written
 
 LABELLED = 6000
-POOL = 4000
-VOCABULARY = 80_000
+"""Labelled lessons the views are calibrated on, those with the smallest hashes among the quarter kept aside."""
+BUCKETS = 1 << 20
+"""Word features."""
 MIN_DOCS = 3
-"""Sample documents a word must occur in to count."""
-SELECTED = 400
+"""Lessons a word must occur in to count."""
+SELECTED = 256
 """Words a classifier keeps: those whose share differs most between the classes."""
 CLEAR = 4.0
 """Least difference in standard errors."""
 ROUNDS = 2
 SHARE = 0.1
-"""Part of the pool either view labels in a round."""
+"""Part of all unlabelled lessons either view labels in a round."""
+TAUGHT = 0.5
+"""Weight of a lesson labelled by the other view."""
+SURE = 0.95
+"""Least calibrated probability of a label that a view teaches."""
+RIDGE = 10.0
+BIN, SPAN = 1000, 4
+"""Histogram bins per unit of score; scores beyond the span are in the last bin."""
+PART = 4096
+"""Sums of products that travel as one row."""
 TARGETS = ("quality", "toxic")
+TEXT, META = 0, 1
 
 _words = re.compile(WORD).findall
 _tail = re.compile(r"\W+$")
-_LANGS, _SOURCES, _DENSE = 16, 64, 12
+_LANGS, _SOURCES, _STEPS = 16, 64, 24
+_SIZES = 8
+_META_FEATURES = _LANGS + _SOURCES + _SIZES * _STEPS + 2
 
 
 def tokens(text: str) -> set[str]:
@@ -53,6 +70,11 @@ def tokens(text: str) -> set[str]:
     return out
 
 
+def word_features(text: str) -> list[int]:
+    """Buckets of the tokens, each once, in order."""
+    return sorted({xxhash.xxh3_64_intdigest(t) % BUCKETS for t in tokens(text)})
+
+
 def _slot(name: str | None, size: int) -> int:
     value = 7
     for c in (name or "").encode():
@@ -60,20 +82,20 @@ def _slot(name: str | None, size: int) -> int:
     return value % size
 
 
-def metadata(lang, source, n_chars, text: str) -> np.ndarray:
-    """Metadata view: language, source, size, layout."""
-    row = np.zeros(_LANGS + _SOURCES + _DENSE)
-    row[_slot(lang, _LANGS)] = 1
-    row[_LANGS + _slot(source, _SOURCES)] = 1
+def meta_features(lang, source, n_chars, text: str) -> list[int]:
+    """Metadata view: language, source, then one step of each of eight measures of size and layout, then two flags."""
     size = len(text)
     lines = text.count("\n") + 1
-    stated = size if n_chars is None else n_chars
-    log = np.log1p(max(stated, 0))
-    row[_LANGS + _SOURCES:] = (
-        log / 10, (log / 10) ** 2, log < 5, log < 6, np.log1p(lines) / 5, np.log1p(size / lines) / 7,
-        np.log1p(text.count(" ") / lines) / 5, abs(stated - size) > 0, text.count("|") / max(1, size) * 20,
-        min(1, sum(text.count(c) for c in "#*$%&<>") / max(1, size) * 10), (lang is None) + (source is None), 1)
-    return row
+    stated = size if n_chars is None else max(n_chars, 0)
+    measures = (
+        2 * np.log1p(stated), 2 * np.log1p(lines), 2 * np.log1p(size / lines), 2 * np.log1p(text.count(" ") / lines),
+        400 * text.count("|") / max(1, size), 200 * sum(text.count(c) for c in "#*$%&<>") / max(1, size),
+        4 * np.log1p(abs(stated - size)), 100 * text.count(" ") / max(1, size))
+    start = _LANGS + _SOURCES
+    out = [_slot(lang, _LANGS), _LANGS + _slot(source, _SOURCES)]
+    out += [start + k * _STEPS + min(_STEPS - 1, int(x)) for k, x in enumerate(measures)]
+    flags = start + _SIZES * _STEPS
+    return out + [flags] * (lang is None) + [flags + 1] * (source is None)
 
 
 class Logistic:
@@ -106,16 +128,6 @@ def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> Lo
     return Logistic(w[:-1], float(w[-1]))
 
 
-def select(row, index, size: int, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Words whose share of documents differs clearly between the classes, at most ``SELECTED``."""
-    n = [weight[y == c].sum() for c in (0, 1)]
-    share = [(np.bincount(index, (weight * (y == c))[row], minlength=size) + 0.5) / (n[c] + 1) for c in (0, 1)]
-    both = (share[0] * n[0] + share[1] * n[1]) / (n[0] + n[1])
-    z = abs(share[1] - share[0]) / np.sqrt(both * (1 - both) * (1 / max(n[0], 1) + 1 / max(n[1], 1)) + 1e-12)
-    best = np.argsort(-z, kind="stable")[:SELECTED]
-    return np.sort(best[z[best] >= CLEAR])
-
-
 def platt(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """(a, b) so that a * score + b is calibrated log-odds, with Platt's smoothed targets."""
     pos, neg = y.sum(), len(y) - y.sum()
@@ -124,90 +136,57 @@ def platt(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(fitted.weights[0]), fitted.bias
 
 
-class Model:
-    """Per target: word weights, metadata weights, calibrations, prior log-odds. A target without both classes among
-    its labels scores its prior."""
+class View:
+    """Ridge least squares of +1 and -1 on features that are there or not: score = bias + weights of the features there."""
 
-    def __init__(self, words: dict[int, int], parts: dict):
-        self.words, self.parts = words, parts
+    def __init__(self, features: np.ndarray, products: np.ndarray):
+        # products: of the features, a constant 1 and the goal, in this order, summed over weighted lessons
+        n = len(features)
+        penalty = np.diag([RIDGE] * n + [1e-3])
+        solved = np.linalg.solve(products[:n + 1, :n + 1] + penalty, products[:n + 1, n + 1])
+        self.features, self.weights, self.bias = features, solved[:n], float(solved[n])
 
-    def views(self, target: str, sets: list[list[int]], dense: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Calibrated log-odds of the word view, the metadata view and both."""
-        text, meta, cal_text, cal_meta, both, prior = self.parts[target]
-        if text is None:
-            flat = np.full(len(sets), prior)
-            return flat, flat, flat
-        t = cal_text[0] * _score_sets(text, sets) + cal_text[1]
-        m = cal_meta[0] * (dense @ meta.weights + meta.bias) + cal_meta[1]
-        return t, m, both.weights[0] * t + both.weights[1] * m + both.bias
+    def table(self, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        out[self.features] = self.weights
+        return out
+
+
+class Scorer:
+    """The views of every target as look-up tables; lives in a task."""
+
+    def __init__(self, views: dict[str, tuple[View, View]]):
+        self.views = {t: [(v.table(size), v.bias) for v, size in zip(pair, (BUCKETS, _META_FEATURES))] for t, pair in views.items()}
 
+    def __call__(self, target: str, view: int, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+        weights, bias = self.views[target][view]
+        return np.bincount(row, weights[feature], minlength=n) + bias
 
-def _score_sets(model: Logistic, sets: list[list[int]]) -> np.ndarray:
-    lengths = [len(s) for s in sets]
-    row = np.repeat(np.arange(len(sets)), lengths)
-    index = np.fromiter((i for s in sets for i in s), np.int64, sum(lengths))
-    return np.bincount(row, model.weights[index], minlength=len(sets)) + model.bias
-
-
-def cotrain(sets: list[list[int]], dense: np.ndarray, size: int, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS):
-    """Fit both views. ``y`` is 1, 0 or -1 (unlabelled); ``held`` rows are kept for calibration."""
-    known = (y >= 0) & ~held
-    pool = np.flatnonzero(y < 0)
-    lengths = np.array([len(s) for s in sets])
-    row = np.repeat(np.arange(len(sets)), lengths)
-    index = np.concatenate([np.asarray(s, np.int64) for s in sets]) if sets else np.empty(0, np.int64)
-    taught = [{}, {}]  # pseudo-labels for the word view, for the metadata view
-
-    def fit(view):
-        goal, weight = np.where(y > 0, 1.0, 0.0), known.astype(float)
-        for i, label in taught[view].items():
-            goal[i], weight[i] = label, 0.5
-        use = np.flatnonzero(weight)
-        if view:
-            return newton(dense[use], goal[use], weight[use], 1.0)
-        chosen = select(row, index, size, goal, weight)
-        place = np.full(size + 1, -1)
-        place[chosen] = np.arange(len(chosen))
-        at = np.full(len(sets), -1)
-        at[use] = np.arange(len(use))
-        x = np.zeros((len(use), len(chosen)))
-        inside = (place[index] >= 0) & (at[row] >= 0)
-        x[at[row[inside]], place[index[inside]]] = 1
-        own = newton(x, goal[use], weight[use], 1.0)
-        weights = np.zeros(size)
-        weights[chosen] = own.weights
-        return Logistic(weights, own.bias)
-
-    share = y[known].mean()
-    for step in range(rounds + 1):
-        text, meta = fit(0), fit(1)
-        if step == rounds or not len(pool):
-            return text, meta
-        scores = (_score_sets(text, sets), dense @ meta.weights + meta.bias)
-        for view in (0, 1):
-            own = scores[view][pool]
-            n = int(SHARE * len(pool))
-            order = pool[np.argsort(own, kind="stable")]
-            top, low = max(1, int(n * share)), max(1, int(n * (1 - share)))
-            for i in order[-top:]:
-                if scores[view][i] > 0:
-                    taught[1 - view].setdefault(int(i), 1.0)
-            for i in order[:low]:
-                if scores[view][i] < 0:
-                    taught[1 - view].setdefault(int(i), 0.0)
-
-
-def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
-    """The labelled and the unlabelled sample: (text, lang, source, n_chars, quality, toxic), labels null in the pool.
-
-    Only ids are sorted and shuffled; at most ``labelled + pool`` of them are broadcast back to the texts. Of
-    several labels of an id the lowest quality and the highest toxicity count."""
-    marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_q"), F.max("toxic").alias("_t"))
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().join(marks, "doc_id", "left")
-    order = [F.xxhash64("doc_id", F.lit(3)), F.col("doc_id")]
-    is_marked = F.coalesce(F.col("_q"), F.col("_t")).isNotNull()
-    chosen = ids.where(is_marked).orderBy(*order).limit(labelled).unionByName(ids.where(~is_marked).orderBy(*order).limit(pool))
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *_meta(docs), F.col("_q").alias("quality"), F.col("_t").alias("toxic"))
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of a column of lists."""
+    lengths = np.diff(column.offsets.to_numpy())
+    return np.repeat(np.arange(len(column)), lengths), column.flatten().to_numpy().astype(np.int64)
+
+
+def lessons(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(_lesson, words, meta, quality, toxic) of each distinct (text, lang, source, n_chars); marks are 0, 1 or null.
+
+    Of several labels of a lesson the lowest quality and the highest toxicity count; labels meet ids only, and
+    features are shuffled once, after copies were merged where they were read. Null ids have no labels.
+    """
+    parts = [F.coalesce(F.concat(F.length(c.cast("string")), F.lit("="), c.cast("string")), F.lit("-")) for c in
+             (F.col(name) for name in ("lang", "source", "n_chars", "text"))]
+    known = docs.select("doc_id", "text", *_meta(docs)).withColumn("_lesson", F.unhex(F.md5(F.concat(*parts))))
+    marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    marked = (
+        known.where("doc_id IS NOT NULL").select("doc_id", "_lesson").join(marks, "doc_id").groupBy("_lesson")
+        .agg((F.min("q") > 0).cast("int").alias("quality"), (F.max("t") > 0).cast("int").alias("toxic"))
+    )
+    held = known.select("_lesson", "text", "lang", "source", "n_chars").mapInArrow(
+        _lesson_rows, "_lesson binary, words array<int>, meta array<int>")
+    once = held.groupBy("_lesson").agg(F.first("words").alias("words"), F.first("meta").alias("meta"))
+    return once.join(marked, "_lesson", "left")
 
 
 def _meta(docs: DataFrame) -> list:
@@ -215,70 +194,292 @@ def _meta(docs: DataFrame) -> list:
     return [(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
 
 
-def _hashed(text: str) -> list[int]:
-    """64-bit hashes of the tokens, as signed numbers."""
-    return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in tokens(text)]
+def _features(batch: pa.RecordBatch) -> list[pa.Array]:
+    texts = [t or "" for t in batch.column("text").to_pylist()]
+    meta = [batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")]
+    return [pa.array([word_features(t) for t in texts], pa.list_(pa.int32())),
+            pa.array([meta_features(*own, text) for *own, text in zip(*meta, texts)], pa.list_(pa.int32()))]
 
 
-def _sample_rows(reader):
+def _lesson_rows(reader):
     for batch in batches(reader, 2 << 20):
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        meta = [batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")]
-        yield pa.record_batch(
-            [batch.column("doc_id").cast(pa.string()), pa.array([_hashed(t) for t in texts], pa.list_(pa.int64())),
-             pa.array([metadata(*own, text).tolist() for *own, text in zip(*meta, texts)], pa.list_(pa.float64())),
-             batch.column("quality").cast(pa.int32()), batch.column("toxic").cast(pa.int32())],
-            names=["doc_id", "tokens", "dense", "quality", "toxic"])
-
-
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Fit on the driver: of each sample document it gets the token hashes and the metadata row, not the text."""
-    rows = sample(docs, labels, labelled, pool).dropDuplicates(["doc_id"]).mapInArrow(
-        _sample_rows, "doc_id string, tokens array<bigint>, dense array<double>, quality int, toxic int").orderBy("doc_id")
-    found, dense, marks = [], [], []
-    for row in rows.toLocalIterator():
-        found.append(np.array(row["tokens"], np.int64))
-        dense.append(row["dense"])
-        marks.append([-1 if row[t] is None else int(row[t] > 0) for t in TARGETS])
-    known, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, int))
-    order = np.argsort(-n, kind="stable")[:VOCABULARY]
-    known = np.sort(known[order][n[order] >= MIN_DOCS])
-    sets = [np.flatnonzero(np.isin(known, own, assume_unique=True)) for own in found]
-    del found
-    dense = np.array(dense) if dense else np.zeros((0, _LANGS + _SOURCES + _DENSE))
+        seen, keep = set(), []
+        for i, key in enumerate(batch.column("_lesson").to_pylist()):
+            if key not in seen:
+                seen.add(key)
+                keep.append(i)
+        batch = batch.take(pa.array(keep))
+        yield pa.record_batch([batch.column("_lesson").cast(pa.binary()), *_features(batch)], names=["_lesson", "words", "meta"])
+
+
+def _kept_aside(batch: pa.RecordBatch) -> np.ndarray:
+    """A quarter of the lessons, by their hash."""
+    return np.array([key[0] % 4 == 0 for key in batch.column("_lesson").to_pylist()], bool)
+
+
+def _marks(batch: pa.RecordBatch, target: str) -> np.ndarray:
+    """1, 0 or -1 where there is none."""
+    return batch.column(target).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _scores(reader, views):
+    """Batches with the (row, feature) pairs of both views and their scores of every target there are views of."""
+    scorer = Scorer(views)
+    for batch in batches(reader):
+        pairs = [_flat(batch.column("words")), _flat(batch.column("meta"))]
+        yield batch, pairs, {t: [scorer(t, v, *pairs[v], batch.num_rows) for v in (TEXT, META)] for t in scorer.views}
+
+
+def _histogram(shared):
+    """Arrow function: unlabelled lessons of a task by target, view and bin of the score."""
+    def run(reader):
+        counts = {}
+        for batch, _, scores in _scores(reader, shared.value):
+            for target, own in scores.items():
+                free = _marks(batch, target) < 0
+                for view in (TEXT, META):
+                    bins = np.clip(np.floor(own[view][free] * BIN), -SPAN * BIN, SPAN * BIN).astype(np.int64) + SPAN * BIN
+                    at = (target, view)
+                    counts[at] = counts.get(at, 0) + np.bincount(bins, minlength=2 * SPAN * BIN + 1)
+        for (target, view), n in counts.items():
+            at = np.flatnonzero(n)
+            yield pa.record_batch([pa.array([target] * len(at)), pa.array([view] * len(at), pa.int32()), pa.array(at - SPAN * BIN), pa.array(n[at])],
+                                  names=["target", "view", "bin", "n"])
+    return run
+
+
+def sure(histogram: list[tuple[int, int]], share: float, calibration: tuple[float, float], part: float = SHARE) -> tuple[float, float]:
+    """(low, high): a view labels lessons that score at or above high as 1 and those below low as 0.
+
+    These are ``part`` of the lessons, ``share`` of it from the top, in whole bins, as far as the calibration gives their
+    label a probability of ``SURE``. A view whose calibration does not rise with the score is never sure."""
+    slope, shift = calibration
+    if slope <= 0:
+        return -np.inf, np.inf
+    total = sum(n for _, n in histogram)
+    ends = []
+    for bins, want in ((sorted(histogram), part * (1 - share) * total), (sorted(histogram, reverse=True), part * share * total)):
+        found, end = 0, None
+        for b, n in bins:
+            if found >= want:
+                break
+            found, end = found + n, b
+        ends.append(end)
+    odds = np.log(SURE / (1 - SURE))
+    low = -np.inf if ends[0] is None else min((-odds - shift) / slope, (ends[0] + 1) / BIN)
+    high = np.inf if ends[1] is None else max((odds - shift) / slope, ends[1] / BIN)
+    return low, high
+
+
+def _lessons_for(batch: pa.RecordBatch, aside: np.ndarray, scores: dict, limits: dict, target: str, view: int):
+    """(label, weight) of the batch's rows as ``view`` learns them: from the labels, and from what the other view is sure of."""
+    mark = _marks(batch, target)
+    label, weight = mark.copy(), ((mark >= 0) & ~aside).astype(float)
+    if target in scores:
+        other, (low, high) = scores[target][1 - view], limits[target, 1 - view]
+        for which, value in (((mark < 0) & (other >= high), 1), ((mark < 0) & (other < low), 0)):
+            label[which], weight[which] = value, TAUGHT
+    return label, weight
+
+
+def _count(shared):
+    """Arrow function: lessons of either class that hold a feature, by target and view; feature -1 counts the lessons."""
+    def run(reader):
+        views, limits = shared.value
+        sums = {}
+        for batch, pairs, scores in _scores(reader, views):
+            aside = _kept_aside(batch)
+            for target in TARGETS:
+                for view, size in ((TEXT, BUCKETS), (META, _META_FEATURES)):
+                    label, weight = _lessons_for(batch, aside, scores, limits, target, view)
+                    row, feature = pairs[view]
+                    for value in (0, 1):
+                        own = weight * (label == value)
+                        if own.any():
+                            at = (target, view, value)
+                            if at not in sums:
+                                sums[at] = np.zeros(size + 1)
+                            inside = own[row] > 0
+                            np.add.at(sums[at], feature[inside], own[row[inside]])
+                            sums[at][size] += own.sum()
+        for (target, view, value), n in sums.items():
+            at = np.flatnonzero(n)
+            yield pa.record_batch(
+                [pa.array([target] * len(at)), pa.array([view] * len(at), pa.int32()), pa.array(np.where(at == len(n) - 1, -1, at)),
+                 pa.array(n[at] * (value == 0)), pa.array(n[at] * (value == 1))], names=["target", "view", "feature", "n0", "n1"])
+    return run
+
+
+def _multiply(shared):
+    """Arrow function: sums of products of the chosen features, a constant and the goal, the upper triangle in parts."""
+    def run(reader):
+        views, limits, chosen = shared.value
+        sizes = (BUCKETS, _META_FEATURES)
+        place = {}
+        for (target, view), features in chosen.items():
+            place[target, view] = np.full(sizes[view], -1, np.int32)
+            place[target, view][features] = np.arange(len(features))
+        sums = {at: np.zeros((len(f) + 2, len(f) + 2)) for at, f in chosen.items()}
+        for batch, pairs, scores in _scores(reader, views):
+            aside = _kept_aside(batch)
+            for (target, view), features in chosen.items():
+                label, weight = _lessons_for(batch, aside, scores, limits, target, view)
+                use = np.flatnonzero(weight)
+                if not len(use):
+                    continue
+                at = np.full(batch.num_rows, -1)
+                at[use] = np.arange(len(use))
+                row, column = at[pairs[view][0]], place[target, view][pairs[view][1]]
+                inside = (row >= 0) & (column >= 0)
+                x = np.zeros((len(use), len(features) + 2))
+                x[row[inside], column[inside]] = 1
+                x[:, -2], x[:, -1] = 1, 2 * label[use] - 1
+                sums[target, view] += (x * weight[use, None]).T @ x
+        for (target, view), own in sums.items():
+            flat = own[np.triu_indices(len(own))]
+            parts = [flat[i:i + PART] for i in range(0, len(flat), PART)]
+            yield pa.record_batch(
+                [pa.array([target] * len(parts)), pa.array([view] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()),
+                 pa.array([part.tolist() for part in parts], pa.list_(pa.float64()))], names=["target", "view", "part", "sums"])
+    return run
+
+
+def _add(reader):
+    """Arrow function: sums of the parts that are of one kind; there are few kinds."""
+    totals = {}
+    for batch in reader:
+        for target, view, part, sums in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3)):
+            own = sums.values.to_numpy()
+            at = (target, view, part)
+            totals[at] = totals[at] + own if at in totals else own.copy()
+    for (target, view, part), own in totals.items():
+        yield pa.record_batch([pa.array([target]), pa.array([view], pa.int32()), pa.array([part], pa.int32()),
+                               pa.array([own.tolist()], pa.list_(pa.float64()))], names=["target", "view", "part", "sums"])
+
+
+def counts(known: DataFrame, views: dict, limits: dict) -> DataFrame:
+    """What the views may learn from all lessons: (target, view, feature, n0, n1)."""
+    shared = known.sparkSession.sparkContext.broadcast((views, limits))  # SELECTED words and the metadata features
+    return known.mapInArrow(_count(shared), "target string, view int, feature bigint, n0 double, n1 double").groupBy(
+        "target", "view", "feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def choose(learnt: DataFrame) -> dict[tuple[str, int], np.ndarray]:
+    """Features of both views of every target with lessons of both classes: words that differ clearly between the classes,
+    all of the metadata."""
+    totals = {(r["target"], r["view"]): (r["n0"], r["n1"]) for r in learnt.where("feature = -1").collect()}
+    out = {}
+    for target in TARGETS:
+        if any(0 in totals.get((target, view), (0, 0)) for view in (TEXT, META)):
+            continue
+        n0, n1 = totals[target, TEXT]
+        own = learnt.where((F.col("target") == target) & (F.col("feature") >= 0))
+        both = (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
+        apart = F.abs((F.col("n1") + 0.5) / (n1 + 1) - (F.col("n0") + 0.5) / (n0 + 1))
+        z = apart / F.sqrt(both * (1 - both) * (1 / max(n0, 1) + 1 / max(n1, 1)) + 1e-12)
+        words = (own.where((F.col("view") == TEXT) & (F.col("n0") + F.col("n1") >= MIN_DOCS)).withColumn("z", z)
+                 .where(F.col("z") >= CLEAR).orderBy(F.desc("z"), "feature").limit(SELECTED).collect())
+        meta = own.where(F.col("view") == META).collect()  # _META_FEATURES at most
+        for view, rows in ((TEXT, words), (META, meta)):
+            out[target, view] = np.array(sorted(r["feature"] for r in rows), np.int64)
+    return out
+
+
+def fit(known: DataFrame, views: dict, limits: dict) -> dict[str, tuple[View, View]]:
+    """Both views of every target, from the labels and what ``views`` are sure of by ``limits``."""
+    chosen = choose(written(counts(known, views, limits), "learnt"))
+    shared = known.sparkSession.sparkContext.broadcast((views, limits, chosen))
+    shape = "target string, view int, part int, sums array<double>"
+    found = known.mapInArrow(_multiply(shared), shape).repartition("target", "view", "part").mapInArrow(_add, shape).collect()
+    products = {}
+    for at, features in chosen.items():
+        n = len(features) + 2
+        parts = sorted((r["part"], r["sums"]) for r in found if (r["target"], r["view"]) == at)
+        own = np.zeros((n, n))
+        own[np.triu_indices(n)] = np.concatenate([np.array(sums) for _, sums in parts])
+        products[at] = own + np.triu(own, 1).T
+    return {t: tuple(View(chosen[t, v], products[t, v]) for v in (TEXT, META)) for t in TARGETS if (t, TEXT) in chosen}
+
+
+def _held_scores(shared):
+    def run(reader):
+        for batch, _, scores in _scores(reader, shared.value):
+            aside = _kept_aside(batch)
+            for target, (text, meta) in scores.items():
+                mark = _marks(batch, target)
+                at = np.flatnonzero(aside & (mark >= 0))
+                yield pa.record_batch([batch.column("_lesson").take(pa.array(at)).cast(pa.binary()), pa.array([target] * len(at), pa.string()),
+                                       pa.array(mark[at]), pa.array(text[at]), pa.array(meta[at])],
+                                      names=["_lesson", "target", "mark", "by_text", "by_meta"])
+    return run
+
+
+class Model:
+    """Per target: both views, their calibrations, how they combine, prior log-odds. A target without both classes
+    among its labels, or among those kept aside, scores its prior."""
+
+    def __init__(self, views: dict, parts: dict, priors: dict):
+        self.views, self.parts, self.priors = {t: v for t, v in views.items() if t in parts}, parts, priors
+
+    def log_odds(self, target: str, scores: list[np.ndarray] | None, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Calibrated log-odds of the word view, the metadata view and both."""
+        if target not in self.parts:
+            flat = np.full(n, self.priors[target])
+            return flat, flat, flat
+        cal_text, cal_meta, both = self.parts[target]
+        t, m = cal_text[0] * scores[TEXT] + cal_text[1], cal_meta[0] * scores[META] + cal_meta[1]
+        return t, m, both.weights[0] * t + both.weights[1] * m + both.bias
+
+
+def calibrate(known: DataFrame, views: dict, labelled: int) -> dict:
+    """Per target with both classes among the lessons kept aside: calibrations of both views and how they combine."""
+    shared = known.sparkSession.sparkContext.broadcast(views)
+    held = known.mapInArrow(_held_scores(shared), "_lesson binary, target string, mark bigint, by_text double, by_meta double")
     parts = {}
-    for k, target in enumerate(TARGETS):
-        y = np.array([m[k] for m in marks], int)
-        held = (y >= 0) & (np.arange(len(y)) % 4 == 0)
-        fitted, kept = y[(y >= 0) & ~held], y[held]
-        prior = float(np.log((np.sum(y == 1) + 1) / (np.sum(y == 0) + 1)))
-        if len(set(fitted)) < 2 or len(set(kept)) < 2:
-            parts[target] = (None, None, None, None, None, prior)
+    for target in views:
+        rows = held.where(F.col("target") == target).orderBy("_lesson").limit(labelled).collect()
+        y = np.array([r["mark"] for r in rows], float)
+        if len(set(y)) < 2:
             continue
-        text, meta = cotrain(sets, dense, len(known), y, held)
-        t, m = _score_sets(text, sets)[held], (dense @ meta.weights + meta.bias)[held]
-        cal_t, cal_m = platt(t, kept), platt(m, kept)
-        views = np.stack([cal_t[0] * t + cal_t[1], cal_m[0] * m + cal_m[1]], axis=1)
-        parts[target] = (text, meta, cal_t, cal_m, newton(views, kept.astype(float), np.ones(len(kept)), 0.1), prior)
-    used = np.flatnonzero(sum((abs(p[0].weights) for p in parts.values() if p[0]), np.zeros(len(known))))
-    for part in parts.values():
-        if part[0]:
-            part[0].weights = part[0].weights[used]
-    return Model({int(known[i]): n for n, i in enumerate(used)}, parts)
+        t, m = np.array([r["by_text"] for r in rows]), np.array([r["by_meta"] for r in rows])
+        cal_t, cal_m = platt(t, y), platt(m, y)
+        calibrated = np.stack([cal_t[0] * t + cal_t[1], cal_m[0] * m + cal_m[1]], axis=1)
+        parts[target] = (cal_t, cal_m, newton(calibrated, y, np.ones(len(y)), 0.1))
+    return parts
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
+    """Fit on all lessons; the driver gets sums over the features kept, histograms and ``labelled`` scores of each target."""
+    known = written(lessons(docs, labels), "lessons")
+    context = docs.sparkSession.sparkContext
+    tally = known.agg(*[F.count(F.when(F.col(t) == v, 1)).alias(f"{t}{v}") for t in TARGETS for v in (0, 1)]).first()
+    priors = {t: float(np.log((tally[f"{t}1"] + 1) / (tally[f"{t}0"] + 1))) for t in TARGETS}
+    share = {t: tally[f"{t}1"] / max(1, tally[f"{t}0"] + tally[f"{t}1"]) for t in TARGETS}
+    views = fit(known, {}, {})
+    parts = calibrate(known, views, labelled) if views else {}
+    for _ in range(rounds):
+        views = {t: v for t, v in views.items() if t in parts}
+        if not views:
+            break
+        histogram = known.mapInArrow(_histogram(context.broadcast(views)), "target string, view int, bin bigint, n bigint").groupBy(
+            "target", "view", "bin").agg(F.sum("n").alias("n")).collect()  # 2 * SPAN * BIN + 1 bins of each at most
+        limits = {(t, v): sure([(r["bin"], r["n"]) for r in histogram if (r["target"], r["view"]) == (t, v)], share[t], parts[t][v])
+                  for t in views for v in (TEXT, META)}
+        views = fit(known, views, limits)
+        parts = calibrate(known, views, labelled)
+    return Model(views, parts, priors)
 
 
 def _apply(shared):
     def run(reader):
         model = shared.value
-        get = model.words.get
+        scorer = Scorer(model.views)
         for batch in batches(reader, 2 << 20):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            sets = [[i for h in _hashed(text) if (i := get(h)) is not None] for text in texts]
-            meta = [batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")]
-            dense = np.array([metadata(*own, text) for *own, text in zip(*meta, texts)])
+            pairs = [_flat(column) for column in _features(batch)]
             columns, names = [batch.column("doc_id")], ["doc_id"]
             for target in TARGETS:
-                for name, odds in zip((f"{target}_by_text", f"{target}_by_metadata", target), model.views(target, sets, dense)):
+                scores = [scorer(target, v, *pairs[v], batch.num_rows) for v in (TEXT, META)] if target in scorer.views else None
+                for name, odds in zip((f"{target}_by_text", f"{target}_by_metadata", target), model.log_odds(target, scores, batch.num_rows)):
                     columns.append(pa.array(1 / (1 + np.exp(-np.clip(odds, -50, 50)))))
                     names.append(name)
             columns.append(pa.array((np.asarray(columns[3]) >= 0.5) & (np.asarray(columns[6]) < 0.5)))
@@ -290,10 +491,11 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
     """doc_id, quality, toxic (probabilities, also by each view) and kept (quality >= 0.5 and toxic < 0.5) of every
     document.
 
-    A null text counts as empty, null metadata as a value of its own; null ids are scored but not learned from;
-    repeated rows get the same scores. Without labels of both classes a target scores its prior, 0.5 without any.
+    A null text counts as empty, null metadata as a value of its own; null ids are scored and, as unlabelled ones,
+    learned from; repeated rows get the same scores. Without labels of both classes a target scores its prior, 0.5
+    without any.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, labels))  # VOCABULARY words at most
+    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, labels))  # SELECTED words a target
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = ", ".join(f"{t}_by_text double, {t}_by_metadata double, {t} double" for t in TARGETS)
     return docs.select("doc_id", "text", *_meta(docs)).mapInArrow(_apply(shared), f"doc_id {kind}, {shape}, kept boolean")
