@@ -36,6 +36,12 @@ def test_every_operator_has_a_query():
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES if q.startswith("op")} and "pipeline" in QUERIES
 
 
+def test_row_keys_tell_nulls_apart(spark):
+    from weblode.llm.common import row_key
+    some = spark.createDataFrame([(7, None), (None, "7"), (None, None), (7, ""), (None, ""), (7, "7")], "doc_id bigint, text string")
+    assert some.select(row_key().alias("k")).distinct().count() == 6
+
+
 # --- sharding ---------------------------------------------------------------------------------------------------
 
 def _winner(key, shards):

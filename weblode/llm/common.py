@@ -14,8 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Identity of a document row. Rows equal in id and text share it and so share every decision."""
-    return F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
+    """Identity of a document row. Rows equal in id and text share it and so share every decision.
+
+    Hashes leave nulls out; the flag keeps a null id with the text '7' apart from the id 7 without a text.
+    """
+    return F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id).cast("string"), F.col(text))
 
 
 def packed(docs: DataFrame) -> DataFrame:

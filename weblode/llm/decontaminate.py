@@ -13,6 +13,7 @@ a slot may be filled with another number of tokens; and, for items without liter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weblode.llm.common import row_key
 from weblode.operators.blocks import written
 
 WINDOW = 8
@@ -102,7 +103,7 @@ def item_windows(items: DataFrame, forms=FORMS[:1]) -> tuple[DataFrame, list[tup
     """(item_id, _item, form, width, windows, at, fp) of the benchmark and the forms and widths in use: ``WINDOW``, and the
     whole length of shorter items. Items that are null or have no token give none; nor do windows of placeholders,
     save that an item with no other window is compared in form ``exact``, where that is asked for."""
-    known = items.select("item_id", F.col("text").alias("_text"), F.xxhash64(F.col("item_id").cast("string"), "text").alias("_item"))
+    known = items.select("item_id", F.col("text").alias("_text"), row_key("item_id").alias("_item"))
     known = written(with_forms(known.dropDuplicates(["_item"]), "_text", forms).where(F.size("_k_typed") > 0).drop("_text"), "templates")
     parts, uses = None, []
     for form in forms:
@@ -153,7 +154,7 @@ def consistent(found: DataFrame, docs: DataFrame, items: DataFrame, form: str =
     found = found.where(F.col("form") == form)
     if form == "exact":  # without slots
         return found.select("_key", "_item").distinct()
-    own = with_forms(items.select(F.xxhash64(F.col("item_id").cast("string"), "text").alias("_item"), "text"), "text", [form], values=True).select(
+    own = with_forms(items.select(row_key("item_id").alias("_item"), "text"), "text", [form], values=True).select(
         "_item", _slots(form).alias("_slots"))
     texts = docs.join(found.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
     texts = with_forms(texts, "text", [form], values=True).select("_key", F.col(f"_v_{form}").alias("_values"))
@@ -172,7 +173,7 @@ def scan(docs: DataFrame, items: DataFrame, forms=FORMS) -> DataFrame:
     Null and empty texts hold no item. Null item ids count but give no ``first_item``. Repeated rows get the same
     verdict, repeated items count once, in whatever ``forms`` they are found. Other columns are ignored.
     """
-    known = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("_key"))
+    known = docs.select("doc_id", "text", row_key().alias("_key"))
     windows, uses = item_windows(items, forms)
     if uses:
         found = written(candidates(known.select("_key", "text"), windows, uses), "candidates")
@@ -194,7 +195,7 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without benchmark items, with their columns as they are."""
     dirty = scan(docs, items).where("contaminated").select("_key").distinct()
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"),
-                         F.xxhash64(F.col("doc_id").cast("string"), "text").alias("_key"))
+                         row_key().alias("_key"))
     return packed.join(dirty, "_key", "left_anti").select("_row.*")
 
 

@@ -18,6 +18,7 @@ has grams but fewer than ``WINDOW``. Both the query and the pipeline use them.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weblode.llm.common import row_key
 from weblode.operators.blocks import written
 
 GRAM = 2
@@ -123,7 +124,7 @@ def deduplicate(docs: DataFrame, passages: bool = True) -> DataFrame:
     and do not delete each other's. Blank lines stay. Other columns are carried along in ``_row``. ``passages``: also
     short runs of lines, see above.
     """
-    known = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("_key"),
+    known = docs.select("doc_id", "text", row_key().alias("_key"),
                         F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
     found = written(fingerprints(known.select("doc_id", "text", "_key"), passages), "fingerprints")
     cut = (deletions(found).select("_key", F.sequence("start", "stop").alias("_at"))

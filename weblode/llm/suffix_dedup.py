@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weblode.llm.common import batches
+from weblode.llm.common import batches, row_key
 from weblode.operators.blocks import written
 
 LENGTH = 200
@@ -346,8 +346,7 @@ def remove_repeats(docs: DataFrame, with_rest: bool = False) -> DataFrame:
     Null texts are empty; texts under 200 bytes lose nothing; rows equal in id and text are copies of each other.
     Null ids are kept. Other columns are ignored.
     """
-    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "_key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_key", row_key())
     ranges, texts = repeats(known.select("_key", "text"))
     by_text = ranges.distinct().groupBy("_key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     cut = texts.join(by_text, "_key").mapInArrow(
