@@ -34,3 +34,10 @@ def test_next_batch_is_ten_urls_of_a_job(spark, tmp_path):
 def test_graph_has_the_first_500_pages_of_a_job(spark, tmp_path):
     pages_of_one_job(spark, tmp_path)
     assert len(agreed(spark, "graph_nodes", tmp_path)) == 500
+
+
+def test_edges_of_the_graph_lead_to_the_same_pages(spark, tmp_path):
+    pages_of_one_job(spark, tmp_path)
+    nodes = {r.id for r in agreed(spark, "graph_nodes", tmp_path)}
+    edges = agreed(spark, "graph_edges", tmp_path)
+    assert {r.target for r in edges} <= nodes and len(edges) > 300  # two pages of nine have no parent but themselves
