@@ -252,3 +252,18 @@ def test_crawl_step_tables(spark):
     links = out["links"].count()
     assert out["frontier"].count() + drops.where("discard_stage = 'link'").count() == links
     assert out["frontier"].where("job_id = 'job-3'").count() <= 50
+
+
+def test_a_micro_batch_is_encoded_by_many_tasks(spark, tmp_path):
+    """Each micro-batch of the encoder is one file; its rows are spread over all cores."""
+    import datetime
+
+    import pyarrow.parquet as pq
+
+    from weblode.plans.catalog import QUERIES
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(minutes=i), i % 9, ("signup", "view", "error")[i % 3], 1.0, '{"k": 1}') for i in range(400)]
+    pq.write_table(spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").toArrow(),
+                   tmp_path / "events.parquet")
+    out = QUERIES["stream_event_encode"](spark, str(tmp_path))
+    assert out.count() == 400 and len(out.inputFiles()) >= 5 * min(4, spark.sparkContext.defaultParallelism)

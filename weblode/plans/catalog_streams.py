@@ -12,6 +12,8 @@ from weblode.streaming import folds, sink
 
 
 FILES = 5
+ROW_GROUP = 1 << 20
+"""Bytes of a row group of such a file before compression, so that a micro-batch is read by many tasks."""
 _written: dict = {}
 
 
@@ -31,7 +33,7 @@ def dealt(df: DataFrame, number: str) -> str:
     folder = scratch_path(df.sparkSession, "files")
     numbered = df.withColumn("_file", F.expr(number))
     for i in range(FILES):
-        numbered.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+        numbered.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(folder)
     return folder
 
 
@@ -177,6 +179,8 @@ def stream_late_events(spark, sf):
 def stream_event_encode(spark, sf):
     """Events written in wire form as they come, read back as a log."""
     path = scratch_path(spark, "encoded")
-    event_log.start_encoded(_sent(live_log(spark, sf)), path).awaitTermination()
+    # A micro-batch is one file, which few tasks read; encoding costs far more than moving the rows as they are given.
+    spread = lambda raw: D.crawl_events(raw.repartition(spark.sparkContext.defaultParallelism))
+    event_log.start_encoded(_sent(live_log(spark, sf, spread)), path).awaitTermination()
     decoded = event_log.decode_events(sink.appended(spark, path), keep=("seq",))
     return event_log.as_log(event_log.valid_events(decoded)).select("seq", "ts", "job_id", "event_type", "url", "depth", "discard_stage", "worker_id")
