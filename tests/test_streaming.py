@@ -254,6 +254,58 @@ def test_crawl_step_tables(spark):
     assert out["frontier"].where("job_id = 'job-3'").count() <= 50
 
 
+def test_bounded_url_state_costs_few_calls_of_the_state(spark, raw):
+    """A micro-batch reads and writes the state once per bucket, however many URLs it holds."""
+    import pandas as pd
+
+    class Held:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+        def clear(self):
+            self.calls += 1
+            self.value = None
+
+    class Handle:
+        def __init__(self):
+            self.held, self.timers = Held(), []
+
+        def getValueState(self, name, schema):
+            return self.held
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class At:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    handle, fold = Handle(), folds._BoundedState(1000)
+    fold.init(handle)
+
+    def step(*events):
+        frames = iter([pd.DataFrame([e], columns=["url", "rank", "seq", "status", "ms"]) for e in events])
+        return sorted(map(tuple, pd.concat(fold.handleInputRows(("j", 0), frames, None)).itertuples(index=False)))
+
+    many = [(f"u{i}", 0, i, "queued", 100 + i) for i in range(50)]
+    assert len(step(*many)) == 50 and handle.held.calls == 2 and handle.timers == [1100]
+    assert step(("u0", 4, 60, "done", 500), ("u0", 1, 61, "fetching", 900), ("u1", 0, 1, "queued", 90)) == [("j", "u0", "done", 60)]
+    assert step(("u9", 0, 9, "queued", 99)) == []
+    assert handle.held.calls == 6 and handle.timers == [1100]  # u1 is due at 1101 still
+    assert list(fold.handleExpiredTimer(("j", 0), At(1102), At(1102))) == []  # u1 and u2, but not u0
+    assert handle.timers == [1100, 1103]
+    assert step(("u2", 1, 70, "fetching", 1200), ("u0", 1, 71, "fetching", 1200)) == [("j", "u2", "fetching", 70)]
+    fold.handleExpiredTimer(("j", 0), At(9999), At(9999))
+    assert handle.held.value is None
+
+
 def test_a_micro_batch_is_encoded_by_many_tasks(spark, tmp_path):
     """Each micro-batch of the encoder is one file; its rows are spread over all cores."""
     import datetime

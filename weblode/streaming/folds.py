@@ -7,6 +7,7 @@ session time zone must be UTC.
 
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -175,49 +176,86 @@ def worker_liveness(stream: DataFrame, ttl_seconds: int = WORKER_TTL_SECONDS, la
 
 
 class _BoundedState(StatefulProcessor):
-    """State fold of one URL, forgotten some event time after its last event."""
+    """State fold of the URLs of a bucket, each forgotten some event time after its last event.
+
+    A call of the handle is a round trip to the JVM, which costs more than folding many rows. So the state of a bucket is one
+    value, a table with a row per URL, read and written once a micro-batch, with one timer for the URL that is due first.
+    """
 
     def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.entry = handle.getValueState("entry", "rank int, seq bigint, status string, ms bigint")
+        self.held = handle.getValueState("held", "entries binary, due bigint")
+
+    def _load(self) -> tuple:
+        held = self.held.get()
+        return (None, None) if held is None else (pa.ipc.open_stream(bytes(held[0])).read_all().to_pandas(), held[1])
+
+    def _save(self, entries, due) -> None:
+        """Keep the entries, with a timer no later than the first of them is due."""
+        first = int(entries["ms"].min()) + self.ttl_ms
+        if due is None or first < due:
+            self.handle.registerTimer(first)
+            due = first
+        out, table = pa.BufferOutputStream(), pa.Table.from_pandas(entries, _ENTRY, preserve_index=False)
+        with pa.ipc.new_stream(out, _ENTRY) as writer:
+            writer.write_table(table)
+        self.held.update((out.getvalue().to_pybytes(), due))
 
     def handleInputRows(self, key, rows, timerValues):
-        before = tuple(self.entry.get()) if self.entry.exists() else None
-        best, newest = (before[:3], before[3]) if before else (None, 0)
-        for row in rows:
-            if best is None or (row.rank, row.seq) >= best[:2]:
-                best = (row.rank, row.seq, row.status)
-            newest = max(newest, row.ms)
-        self.entry.update((*best, newest))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(newest + self.ttl_ms)
-        if before is None or best != before[:3]:
-            yield Row(job_id=key[0], url=key[1], status=best[2], seq=best[1])
+        before, due = self._load()
+        after = before
+        for frame in rows:
+            frame = frame[_ENTRY.names]
+            both = frame if after is None else pd.concat([after, frame], ignore_index=True)
+            newest = both.groupby("url")["ms"].max()
+            after = both.sort_values(["rank", "seq"], kind="stable").drop_duplicates("url", keep="last")
+            after = after.assign(ms=after["url"].map(newest)).reset_index(drop=True)
+        self._save(after, due)
+        if before is not None:
+            old = after[["url"]].merge(before, "left", "url")
+            after = after[~((old["rank"] == after["rank"]) & (old["seq"] == after["seq"]) & (old["status"] == after["status"]))]
+        yield after.assign(job_id=key[0])[["job_id", "url", "status", "seq"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.entry.clear()
+        entries, due = self._load()
+        if entries is not None:
+            end = entries["ms"] + self.ttl_ms
+            entries = entries[(end > expiredTimerInfo.getExpiryTimeInMs()) & (end >= timerValues.getCurrentWatermarkInMs())]
+            if len(entries):
+                self._save(entries, None)
+            else:
+                self.held.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def bounded_url_state(stream: DataFrame, ttl_seconds: int = 86_400, late: str = "1 minute") -> DataFrame:
+_ENTRY = pa.schema([("url", pa.string()), ("rank", pa.int32()), ("seq", pa.int64()), ("status", pa.string()), ("ms", pa.int64())])
+_NO_SEQ = -(1 << 63)
+"""Stands for no ``seq`` in the fold, where it comes before all others as it does in the batch fold."""
+
+
+def bounded_url_state(stream: DataFrame, ttl_seconds: int = 86_400, late: str = "1 minute", buckets: int = 512) -> DataFrame:
     """``url_state`` with bounded memory (update): a URL is forgotten ``ttl_seconds`` after its last event.
 
-    A duplicate discard that comes later than that finds no state and starts a new one. The events of
-    a URL pass one by one and only the best row is held. Needs the RocksDB state store.
+    A duplicate discard that comes later than that finds no state and starts a new one. The events of a URL pass by the
+    batch and only the best row is held. The URLs of a job are dealt out to ``buckets``, whose states are read and written
+    as a whole: take so many that a bucket has some thousand live URLs, and leave the number for the life of the query.
+    Needs the RocksDB state store.
     """
     status = F.coalesce("status", F.lit("queued"))
-    rank = E.status_rank(status).cast("int")
+    rank = F.coalesce(E.status_rank(status).cast("int"), F.lit(-1))
     rows = stream.where(F.col("url").isNotNull()).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    rows = rows.select("job_id", "url", rank.alias("rank"), "seq", status.alias("status"), "at", F.unix_millis("at").alias("ms"))
-    return rows.groupBy("job_id", "url").transformWithState(
-        _BoundedState(ttl_seconds * 1000), "job_id string, url string, status string, seq bigint", "update", "eventTime")
+    rows = rows.select("job_id", F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int").alias("bucket"), "url", rank.alias("rank"),
+                       F.coalesce("seq", F.lit(_NO_SEQ)).alias("seq"), status.alias("status"), "at",
+                       F.coalesce(F.unix_millis("at"), F.lit(0)).alias("ms"))
+    return rows.groupBy("job_id", "bucket").transformWithStateInPandas(
+        _BoundedState(ttl_seconds * 1000), "job_id string, url string, status string, seq bigint", "update", "eventTime",
+    ).withColumn("seq", F.when(F.col("seq") != _NO_SEQ, F.col("seq")))
 
 
 class use_rocksdb:
