@@ -466,6 +466,25 @@ def test_sure_lessons():
     assert cotrain.sure(even, 0.5, (-1.0, 0.0)) == (-math.inf, math.inf) and cotrain.sure([], 0.5, (1.0, 0.0)) == (-math.inf, math.inf)
 
 
+def test_word_features_travel_at_two_bytes(data):
+    import numpy as np
+    for own in [*[cotrain.word_features(t or "") for _, t, *_ in data], [0, 65_535, 65_536, cotrain.BUCKETS - 1], []]:
+        packed = cotrain.pack(np.array(own, np.int64))
+        assert cotrain.unpack(packed).tolist() == own and len(packed) == 2 * len(own) + 4 * (cotrain.BUCKETS >> 16)
+
+
+def test_documents_take_the_scores_of_their_lessons(spark, docs):
+    """Texts are taken apart once, and the scores are those the model gives the documents by itself."""
+    labels = spark.createDataFrame([(r.doc_id, r.doc_id % 2, int(r.doc_id % 5 == 0)) for r in docs.select("doc_id").where("doc_id % 3 = 0").collect()],
+                                   "doc_id bigint, quality int, toxic int")
+    got = cotrain.score(docs, labels)
+    want = cotrain.score(docs, labels, cotrain.train(docs, labels))
+    rows = lambda df: sorted(repr((r.doc_id, r.kept, *[round(x, 9) for x in r if isinstance(x, float)])) for r in df.collect())
+    assert got.schema == want.schema and rows(got) == rows(want)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert any("words#" in line for line in plan(got).splitlines() if "MapInArrow" in line)
+
+
 # --- empty tables -----------------------------------------------------------------------------------------------
 
 def test_empty_documents(spark):

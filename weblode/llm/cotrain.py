@@ -173,20 +173,24 @@ def lessons(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(_lesson, words, meta, quality, toxic) of each distinct (text, lang, source, n_chars); marks are 0, 1 or null.
 
     Of several labels of a lesson the lowest quality and the highest toxicity count; labels meet ids only, and
-    features are shuffled once, after copies were merged where they were read. Null ids have no labels.
+    features are shuffled once, two bytes each, after copies were merged where they were read. Null ids have no labels.
     """
-    parts = [F.coalesce(F.concat(F.length(c.cast("string")), F.lit("="), c.cast("string")), F.lit("-")) for c in
-             (F.col(name) for name in ("lang", "source", "n_chars", "text"))]
-    known = docs.select("doc_id", "text", *_meta(docs)).withColumn("_lesson", F.unhex(F.md5(F.concat(*parts))))
+    known = _with_lesson(docs)
     marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     marked = (
         known.where("doc_id IS NOT NULL").select("doc_id", "_lesson").join(marks, "doc_id").groupBy("_lesson")
         .agg((F.min("q") > 0).cast("int").alias("quality"), (F.max("t") > 0).cast("int").alias("toxic"))
     )
     held = known.select("_lesson", "text", "lang", "source", "n_chars").mapInArrow(
-        _lesson_rows, "_lesson binary, words array<int>, meta array<int>")
+        _lesson_rows, "_lesson binary, words binary, meta array<int>")
     once = held.groupBy("_lesson").agg(F.first("words").alias("words"), F.first("meta").alias("meta"))
-    return once.join(marked, "_lesson", "left")
+    return once.mapInArrow(_unpacked, "_lesson binary, words array<int>, meta array<int>").join(marked, "_lesson", "left")
+
+
+def _with_lesson(docs: DataFrame) -> DataFrame:
+    parts = [F.coalesce(F.concat(F.length(c.cast("string")), F.lit("="), c.cast("string")), F.lit("-")) for c in
+             (F.col(name) for name in ("lang", "source", "n_chars", "text"))]
+    return docs.select("doc_id", "text", *_meta(docs)).withColumn("_lesson", F.unhex(F.md5(F.concat(*parts))))
 
 
 def _meta(docs: DataFrame) -> list:
@@ -209,7 +213,29 @@ def _lesson_rows(reader):
                 seen.add(key)
                 keep.append(i)
         batch = batch.take(pa.array(keep))
-        yield pa.record_batch([batch.column("_lesson").cast(pa.binary()), *_features(batch)], names=["_lesson", "words", "meta"])
+        words, meta = _features(batch)
+        yield pa.record_batch([batch.column("_lesson").cast(pa.binary()), pa.array([pack(own.values.to_numpy()) for own in words], pa.binary()), meta],
+                              names=["_lesson", "words", "meta"])
+
+
+def pack(features: np.ndarray) -> bytes:
+    """Ascending word features in little space: how many have each upper half, then their lower halves of 16 bits."""
+    upper = np.bincount(features >> 16, minlength=BUCKETS >> 16)
+    return upper.astype("<i4").tobytes() + (features & 0xFFFF).astype("<u2").tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    upper = np.frombuffer(packed, "<i4", BUCKETS >> 16)
+    lower = np.frombuffer(packed, "<u2", offset=upper.nbytes)
+    return (np.repeat(np.arange(len(upper), dtype=np.int32), upper) << 16) + lower.astype(np.int32)
+
+
+def _unpacked(reader):
+    for batch in batches(reader, 2 << 20):
+        words = [unpack(own) for own in batch.column("words").to_pylist()]
+        ends = np.cumsum([0, *map(len, words)])
+        yield pa.record_batch([batch.column("_lesson"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(words), pa.int32())),
+                               batch.column("meta")], names=["_lesson", "words", "meta"])
 
 
 def _kept_aside(batch: pa.RecordBatch) -> np.ndarray:
@@ -450,8 +476,11 @@ def calibrate(known: DataFrame, views: dict, labelled: int) -> dict:
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
     """Fit on all lessons; the driver gets sums over the features kept, histograms and ``labelled`` scores of each target."""
-    known = written(lessons(docs, labels), "lessons")
-    context = docs.sparkSession.sparkContext
+    return _fitted(written(lessons(docs, labels), "lessons"), labelled, rounds)
+
+
+def _fitted(known: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
+    context = known.sparkSession.sparkContext
     tally = known.agg(*[F.count(F.when(F.col(t) == v, 1)).alias(f"{t}{v}") for t in TARGETS for v in (0, 1)]).first()
     priors = {t: float(np.log((tally[f"{t}1"] + 1) / (tally[f"{t}0"] + 1))) for t in TARGETS}
     share = {t: tally[f"{t}1"] / max(1, tally[f"{t}0"] + tally[f"{t}1"]) for t in TARGETS}
@@ -470,13 +499,17 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     return Model(views, parts, priors)
 
 
-def _apply(shared):
+_SCORES = ", ".join(f"{t}_by_text double, {t}_by_metadata double, {t} double" for t in TARGETS) + ", kept boolean"
+
+
+def _apply(shared, key: str):
+    """Arrow function: column ``key`` and the scores of documents, or of lessons, which have their features."""
     def run(reader):
         model = shared.value
         scorer = Scorer(model.views)
         for batch in batches(reader, 2 << 20):
-            pairs = [_flat(column) for column in _features(batch)]
-            columns, names = [batch.column("doc_id")], ["doc_id"]
+            pairs = [_flat(column) for column in ([batch.column("words"), batch.column("meta")] if key == "_lesson" else _features(batch))]
+            columns, names = [batch.column(key)], [key]
             for target in TARGETS:
                 scores = [scorer(target, v, *pairs[v], batch.num_rows) for v in (TEXT, META)] if target in scorer.views else None
                 for name, odds in zip((f"{target}_by_text", f"{target}_by_metadata", target), model.log_odds(target, scores, batch.num_rows)):
@@ -493,9 +526,13 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
 
     A null text counts as empty, null metadata as a value of its own; null ids are scored and, as unlabelled ones,
     learned from; repeated rows get the same scores. Without labels of both classes a target scores its prior, 0.5
-    without any.
+    without any. Without a ``model`` one is trained, and documents take the scores of their lessons.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, labels))  # SELECTED words a target
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = ", ".join(f"{t}_by_text double, {t}_by_metadata double, {t} double" for t in TARGETS)
-    return docs.select("doc_id", "text", *_meta(docs)).mapInArrow(_apply(shared), f"doc_id {kind}, {shape}, kept boolean")
+    context = docs.sparkSession.sparkContext
+    if model is not None:
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        return docs.select("doc_id", "text", *_meta(docs)).mapInArrow(_apply(context.broadcast(model), "doc_id"), f"doc_id {kind}, {_SCORES}")
+    known = written(lessons(docs, labels), "lessons")
+    shared = context.broadcast(_fitted(known))  # SELECTED words a target
+    scored = known.select("_lesson", "words", "meta").mapInArrow(_apply(shared, "_lesson"), f"_lesson binary, {_SCORES}")
+    return _with_lesson(docs).select("doc_id", "_lesson").join(scored, "_lesson", "left").drop("_lesson")
