@@ -184,7 +184,8 @@ def lessons(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = known.select("_lesson", "text", "lang", "source", "n_chars").mapInArrow(
         _lesson_rows, "_lesson binary, words binary, meta array<int>")
     once = held.groupBy("_lesson").agg(F.first("words").alias("words"), F.first("meta").alias("meta"))
-    return once.mapInArrow(_unpacked, "_lesson binary, words array<int>, meta array<int>").join(marked, "_lesson", "left")
+    return once.join(marked, "_lesson", "left").mapInArrow(  # unpacked last: the join goes by the shuffle of the copies
+        _unpacked, "_lesson binary, words array<int>, meta array<int>, quality int, toxic int")
 
 
 def _with_lesson(docs: DataFrame) -> DataFrame:
@@ -235,7 +236,7 @@ def _unpacked(reader):
         words = [unpack(own) for own in batch.column("words").to_pylist()]
         ends = np.cumsum([0, *map(len, words)])
         yield pa.record_batch([batch.column("_lesson"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(words), pa.int32())),
-                               batch.column("meta")], names=["_lesson", "words", "meta"])
+                               *map(batch.column, ("meta", "quality", "toxic"))], names=["_lesson", "words", "meta", "quality", "toxic"])
 
 
 def _kept_aside(batch: pa.RecordBatch) -> np.ndarray:
