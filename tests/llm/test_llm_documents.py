@@ -111,6 +111,32 @@ def test_copies_and_small_languages_keep_their_band(spark):
     assert len(kept & set(range(60))) >= 58 and {500, 501} <= kept
 
 
+def test_every_language_has_its_own_band(spark, monkeypatch):
+    """Languages beyond those of one round are judged by models and bands of their own, as they are by themselves."""
+    import random
+    rng = random.Random(9)
+    data, schema = [], "doc_id bigint, text string, lang string"
+    for n in range(67):
+        words = [f"{chr(97 + n % 26)}{n}x{i}" for i in range(4 + n)]
+        data += [(100 * n + i, " ".join(rng.choices(words, k=60)), f"l{n}" if n else None) for i in range(2)]
+    got = quality_rules.judge(spark.createDataFrame(data, schema)).collect()
+    assert len(got) == len(data) and all(r.lower is not None for r in got if not r.base_failed)
+    assert len({(r.lower, r.upper) for r in got if not r.base_failed}) == len({r.doc_id // 100 for r in got if not r.base_failed}) > 60
+    monkeypatch.setattr(quality_rules, "ROUND", 3)
+    few = [r for r in data if r[0] < 700]
+    assert sorted(quality_rules.judge(spark.createDataFrame(few, schema)).collect()) == sorted(r for r in got if r.doc_id < 700)
+
+
+def test_counting_words_holds_few(monkeypatch):
+    """What a task holds of words is bounded; what it gives back is not cut."""
+    import pyarrow as pa
+    monkeypatch.setattr(quality_rules, "_FLUSH", 50)
+    batch = pa.record_batch([pa.array(["en"] * 40), pa.array([" ".join(f"w{i}x{j % 20}" for j in range(30)) for i in range(40)])], names=["_lang", "text"])
+    monkeypatch.setattr(quality_rules, "_BATCH", 100)
+    out = list(quality_rules._count_words(iter([batch])))
+    assert max(b.num_rows for b in out) < 200 and sum(sum(b.column("n").to_pylist()) for b in out) == 1200
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over the whole vocabulary, words seen and unseen after a context share all of the probability."""
     import math
