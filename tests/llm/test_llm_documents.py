@@ -313,6 +313,20 @@ def test_short_runs_of_many_words_go(spark):
 
 # --- decontamination --------------------------------------------------------------------------------------------
 
+def test_forms_are_computed_once(spark):
+    """Tokens are cut and lower-cased once for all forms; functions with a lambda would do it again for each mention."""
+    one = spark.createDataFrame([(1, "Ask Ann Lee for 5 Km, 7 8 or 9 M now"), (2, None)], "k int, text string")
+    got = decontaminate.with_forms(one, "text", decontaminate.FORMS)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("lower(") == 1
+    row, empty = got.orderBy("k").collect()
+    assert row["_k_typed"] == ["ask", "<name>", "<name>", "for", "<number>", "<name>", "<number>", "<number>", "or", "<number>", "<name>", "now"]
+    assert row["_k_lower"] == ["ask", "ann", "lee", "for", "<number>", "<unit>", "<number>", "<number>", "or", "<number>", "<unit>", "now"]
+    assert row["_k_runs"] == ["ask", "<name>", "for", "<number>", "<name>", "<number>", "or", "<number>", "<name>", "now"]
+    assert row["_k_exact"] == ["ask", "ann", "lee", "for", "5", "km", "7", "8", "or", "9", "m", "now"]
+    assert [empty[f"_k_{f}"] for f in decontaminate.FORMS] == [[]] * 4
+
+
 def test_templates_catch_other_numbers_and_names(spark):
     items = spark.createDataFrame([
         (1, "If Alice has 12 apples and gives 5 kg of them to her friend how many apples are left when 12 were counted"),

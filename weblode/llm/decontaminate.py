@@ -51,37 +51,38 @@ def pieces(text: Column) -> Column:
 
 
 def value(piece: Column) -> Column:
-    """A token as it stands, lower-cased."""
-    return F.lower(F.when(piece.startswith(_MARK), F.substr(piece, F.lit(2))).otherwise(piece))
+    """A lower-case token as it stands."""
+    return F.when(piece.startswith(_MARK), F.substr(piece, F.lit(2))).otherwise(piece)
 
 
-def template(parts: Column) -> Column:
-    """Typed template tokens of an array of tokens."""
-    typed = F.transform(parts, lambda p: F.when(p.startswith(_MARK), "<name>").when((p >= "0") & (p < ":"), "<number>").otherwise(F.lower(p)))
-    follows = F.concat(F.array(F.lit("")), typed)  # one longer: padded with null at its end by zip_with
-    return F.slice(F.zip_with(typed, follows, lambda own, before: F.when(
-        (before == "<number>") & own.isin(UNITS), "<unit>").otherwise(own)), 1, F.size(typed))
+def kind(piece: Column) -> Column:
+    """Type of a lower-case token that is a name or number, else the token."""
+    return F.when(piece.startswith(_MARK), "<name>").when((piece >= "0") & (piece < ":"), "<number>").otherwise(piece)
+
+
+def units(kinds: str) -> Column:
+    """Column ``kinds`` of typed tokens with the units after numbers typed, too."""
+    return F.transform(kinds, lambda own, i: F.when(own.isin(UNITS) & (F.get(kinds, i - 1) == "<number>"), "<unit>").otherwise(own))
 
 
 def with_forms(df: DataFrame, text: str, forms, values: bool = False) -> DataFrame:
     """Adds per form the array ``_k_form`` of template tokens of a text and, with ``values``, ``_v_form`` of their values."""
-    out = df.withColumn("_p", pieces(F.col(text))).withColumn("_k_typed", template(F.col("_p")))
-    plain = F.transform("_p", value)
-    own = {"typed": F.col("_k_typed"), "lower": template(plain), "exact": plain}
+    # Functions with a lambda compute what they are given anew for each mention of it, so what is mentioned twice is a column.
+    out = df.withColumn("_p", F.transform(pieces(F.col(text)), F.lower))
+    out = out.withColumn("_v", F.transform("_p", value)).withColumn("_typed", F.transform("_p", kind)).drop("_p")
+    if "lower" in forms:
+        out = out.withColumn("_lower", F.transform("_v", kind))
+    out = out.withColumn("_k_typed", units("_typed"))
     # Position 0 and every position that does not go on with the placeholder before it.
-    before = F.concat(F.array(F.lit("")), F.col("_k_typed"))  # one longer: its last pair has no own token
-    first = F.filter(F.zip_with("_k_typed", before, lambda k, b: F.struct(k.alias("k"), (k.startswith("<") & (k == b)).alias("goes"))),
-                     lambda s: s["k"].isNotNull() & ~s["goes"])
-    own["runs"] = F.transform(first, lambda s: s["k"])
-    out = out.select("*", *[own[f].alias(f"_k_{f}") for f in forms if f != "typed"])
+    starts = lambda k, i: (i == 0) | ~(k.startswith("<") & (k == F.get("_k_typed", i - 1)))
+    own = {"lower": lambda: units("_lower"), "exact": lambda: F.col("_v"), "runs": lambda: F.filter("_k_typed", starts)}
+    out = out.select("*", *[own[f]().alias(f"_k_{f}") for f in forms if f != "typed"]).drop("_typed", "_lower")
     if not values:
-        return out.drop("_p")
-    out = out.withColumn("_v", plain)
-    at = F.filter(F.transform("_k_typed", lambda k, i: F.when((i == 0) | ~(k.startswith("<") & (k == F.get("_k_typed", i - 1))), i)), lambda i: i.isNotNull())
+        return out.drop("_v")
     if "runs" in forms:
-        out = out.withColumn("_at", at)
+        out = out.withColumn("_at", F.filter(F.transform("_k_typed", lambda k, i: F.when(starts(k, i), i)), lambda i: i.isNotNull()))
     run = F.transform("_at", lambda s, j: F.array_join(F.slice("_v", s + 1, F.coalesce(F.get("_at", j + 1), F.size("_v")) - s), " "))
-    return out.select("*", *[(run if f == "runs" else F.col("_v")).alias(f"_v_{f}") for f in forms]).drop("_p", "_v", "_at")
+    return out.select("*", *[(run if f == "runs" else F.col("_v")).alias(f"_v_{f}") for f in forms]).drop("_v", "_at")
 
 
 def _windows(hashes: Column, width: int, form: str) -> Column:
