@@ -513,6 +513,62 @@ def test_word_features_travel_at_two_bytes(data):
         assert cotrain.unpack(packed).tolist() == own and len(packed) == 2 * len(own) + 4 * (cotrain.BUCKETS >> 16)
 
 
+def test_word_view_of_many_texts(data):
+    """Texts taken apart together have the features of each read by itself in plain Python."""
+    import random
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+    import xxhash
+
+    def plain(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        distinct = set(words)
+        out = {w.strip(".,;:!?\"'()[]#*$%&|<>").lower() for w in distinct}
+        out.update(["^" + w[:5] for w in out if len(w) > 5] + ["^" + w[:7] for w in out if len(w) > 7])
+        odd = [m.group() for w in distinct if (m := re.search(r"\W+$", w))]
+        n, kinds = max(1, len(words)), max(1, len(distinct))
+        out.update(["~end " + t for t in odd] + [
+            f"~distinct {10 * len(distinct) // n}", f"~upper {10 * sum(w.isupper() and len(w) > 1 for w in distinct) // kinds}",
+            f"~marked {10 * len([t for t in odd if len(t) > 1]) // kinds}"])
+        return sorted({xxhash.xxh3_64_intdigest(t) % cotrain.BUCKETS for t in out})
+
+    rng, marks = random.Random(5), "aBcdefG \t\n\x0b\x1c\x85\xa0É\u0130\u03a3\u01c5ß\u0301_9.,-!\u300c\u4e2d\U0001f600\U0001d400\x00"
+    texts = [t or "" for _, t, *_ in data] + ["".join(rng.choice(marks) for _ in range(rng.randrange(80))) for _ in range(2000)]
+    row, feature = cotrain.word_view(pa.array(texts, pa.string()))
+    assert [own.tolist() for own in np.split(feature, np.searchsorted(row, np.arange(1, len(texts))))] == [plain(t) for t in texts]
+    packed = cotrain.pack_rows(row, feature, len(texts))
+    assert packed.to_pylist() == [cotrain.pack(np.array(plain(t))) for t in texts]
+    again = cotrain.unpack_rows(packed.slice(5, 900))
+    assert (again[0] + 5).tolist() == row[(row >= 5) & (row < 905)].tolist() and again[1].tolist() == feature[(row >= 5) & (row < 905)].tolist()
+
+
+def test_cotraining_sums_travel_by_range(spark):
+    """Lessons reach Python packed, and a task gives a row for each range of features, not for each feature."""
+    from types import SimpleNamespace
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(100)) + " good" * (i % 2), "en", None, None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(0, 200, 2)] + [(i, i % 2, None) for i in range(1, 200, 4)],
+                                   "doc_id bigint, quality int, toxic int")
+    known = cotrain.packed_lessons(docs, labels).cache()
+    assert known.schema["words"].dataType.simpleString() == "binary"
+    sent = list(cotrain._count(SimpleNamespace(value=({}, {})))(iter(known.toArrow().to_batches())))
+    features = sum(len(own) for batch in sent for own in batch.column("feature").to_pylist())
+    assert sum(batch.num_rows for batch in sent) <= 2 * (cotrain.BUCKETS // cotrain.PART + 3) < features / 10
+    table = lambda df: sorted((r.target, r.view, r.feature, r.n0, r.n1) for r in df.collect())
+    apart = cotrain.lessons(docs, labels)
+    assert table(cotrain.counts(known, {}, {})) == table(cotrain.counts(apart, {}, {}))
+    views = cotrain.fit(known, {}, {})
+    limits = {(t, v): (-0.1, 0.1) for t in views for v in (cotrain.TEXT, cotrain.META)}
+    taught = table(cotrain.counts(known, views, limits))
+    assert views and taught == table(cotrain.counts(apart, views, limits)) and len(taught) > len(table(cotrain.counts(known, {}, {})))
+    labelled = known.where("quality IS NOT NULL OR toxic IS NOT NULL")
+    parts = lambda df: {t: (*own[:2], own[2].bias) for t, own in cotrain.calibrate(df, views, 1000).items()}
+    assert parts(known) == parts(labelled) != {}
+    known.unpersist()
+
+
 def test_documents_take_the_scores_of_their_lessons(spark, docs):
     """Texts are taken apart once, and the scores are those the model gives the documents by itself."""
     labels = spark.createDataFrame([(r.doc_id, r.doc_id % 2, int(r.doc_id % 5 == 0)) for r in docs.select("doc_id").where("doc_id % 3 = 0").collect()],

@@ -13,14 +13,13 @@ copies of it teach once. Words are hashed to ``BUCKETS`` features. The one sampl
 aside for the calibration, a parameter.
 """
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from weblode.llm.common import WORD, batches
+from weblode.llm.common import batches
 from weblode.operators.blocks import written
 
 LABELLED = 6000
@@ -44,35 +43,104 @@ RIDGE = 10.0
 BIN, SPAN = 1000, 4
 """Histogram bins per unit of score; scores beyond the span are in the last bin."""
 PART = 4096
-"""Sums of products that travel as one row."""
+"""Sums of products that travel as one row; word features of a range, whose counts do."""
 TARGETS = ("quality", "toxic")
 TEXT, META = 0, 1
 
-_words = re.compile(WORD).findall
-_tail = re.compile(r"\W+$")
 _LANGS, _SOURCES, _STEPS = 16, 64, 24
 _SIZES = 8
 _META_FEATURES = _LANGS + _SOURCES + _SIZES * _STEPS + 2
-
-
-def tokens(text: str) -> set[str]:
-    """Word view of a text: distinct lower-case words and their stems, marks at their ends, bucketed shares of shapes."""
-    words = _words(text)
-    distinct = set(words)
-    out = {w.strip(".,;:!?\"'()[]#*$%&|<>").lower() for w in distinct}
-    out.update(["^" + w[:5] for w in out if len(w) > 5] + ["^" + w[:7] for w in out if len(w) > 7])
-    odd = [m.group() for w in distinct if (m := _tail.search(w))]
-    out.update("~end " + t for t in odd)
-    n = max(1, len(words))
-    out.add(f"~distinct {10 * len(distinct) // n}")
-    out.add(f"~upper {10 * sum(w.isupper() and len(w) > 1 for w in distinct) // max(1, len(distinct))}")
-    out.add(f"~marked {10 * len([t for t in odd if len(t) > 1]) // max(1, len(distinct))}")
-    return out
+_MARKS = ".,;:!?\"'()[]#*$%&|<>"
+_UPPERS = BUCKETS >> 16
+
+
+def tail(word: str) -> str:
+    """Characters at the end of a word that are neither letters nor digits nor underscores."""
+    end = len(word)
+    while end and not (word[end - 1].isalnum() or word[end - 1] == "_"):
+        end -= 1
+    return word[end:]
+
+
+def _strings(column: pa.Array) -> list[str]:
+    """As ``to_pylist``, without a scalar of each value on the way."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _hashed(tokens: list[str]) -> np.ndarray:
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens)) % BUCKETS).astype(np.int64)
+
+
+def buckets(tokens: pa.Array) -> np.ndarray:
+    """Feature of each token; every distinct token is hashed once."""
+    coded = tokens.dictionary_encode()
+    return _hashed(_strings(coded.dictionary))[coded.indices.to_numpy()]
+
+
+def _are(chars: pa.Array, kind) -> np.ndarray:
+    """Whether the characters are of a kind."""
+    coded = chars.dictionary_encode()
+    return np.array([kind(c) for c in _strings(coded.dictionary)], bool)[coded.indices.to_numpy()]
+
+
+def _each_once(row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, in order."""
+    pairs = np.sort(row.astype(np.int64) << 32 | code)
+    pairs = pairs[np.flatnonzero(np.diff(pairs, prepend=-1))]
+    return (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+
+
+def _of_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of each word: itself in lower case without marks around it, stems of 5 and 7 letters, the marks at its end,
+    -1 for those it has not; whether it is in upper case, and whether it ends in several marks."""
+    n = len(words)
+    trimmed = pc.utf8_trim(words, characters=_MARKS).dictionary_encode()
+    lower = [w.lower() for w in _strings(trimmed.dictionary)]
+    plain = pa.array(lower, pa.string())
+    size = pc.utf8_length(plain).to_numpy()
+    of_plain = [_hashed(lower)]
+    for k in (5, 7):
+        at = np.flatnonzero(size > k)
+        of_plain.append(np.full(len(size), -1))
+        of_plain[-1][at] = buckets(pc.binary_join_element_wise("^", pc.utf8_slice_codeunits(plain.take(pa.array(at)), 0, k), ""))
+
+    at = np.flatnonzero(~_are(pc.utf8_slice_codeunits(words, -1, 1 << 30), str.isalnum))  # the others have nothing at their end
+    ends = [tail(w) for w in _strings(words.take(pa.array(at)))]
+    marked = np.zeros(n, bool)
+    marked[at] = [len(end) > 1 for end in ends]
+    of_end = np.full(n, -1)
+    of_end[at] = np.where([end != "" for end in ends], buckets(pa.array(["~end " + end for end in ends], pa.string())), -1)
+
+    at = np.flatnonzero(~_are(pc.utf8_slice_codeunits(words, 0, 1), str.islower))  # the others are not in upper case
+    upper = np.zeros(n, bool)
+    upper[at] = [w.isupper() and len(w) > 1 for w in _strings(words.take(pa.array(at)))]
+    return np.stack([*[x[trimmed.indices.to_numpy()] for x in of_plain], of_end], axis=1), upper, marked
+
+
+def word_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of the word view of texts: what their words have, and bucketed shares of shapes; each once, in order.
+
+    A word of several texts is taken apart once."""
+    n = len(texts)
+    split = pc.ascii_split_whitespace(texts)  # at the white space that WORD leaves out
+    row, flat = np.repeat(np.arange(n), np.diff(split.offsets.to_numpy())), split.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)  # at the ends of a text there may be empty ones
+    row, coded = row[full.to_numpy(zero_copy_only=False)], flat.filter(full).dictionary_encode()
+    words = np.bincount(row, minlength=n)
+    row, code = _each_once(row, coded.indices.to_numpy())
+    distinct = np.bincount(row, minlength=n)
+    features, *flags = _of_words(coded.dictionary)
+    shares = [10 * distinct // np.maximum(1, words)]
+    shares += [10 * np.bincount(row[flag[code]], minlength=n) // np.maximum(1, distinct) for flag in flags]
+    of_shares = [buckets(pa.array([f"~{name} {k}" for k in range(11)]))[share] for name, share in zip(("distinct", "upper", "marked"), shares)]
+    own = features[code].ravel()
+    at = np.flatnonzero(own >= 0)
+    return _each_once(np.concatenate([row[at // features.shape[1]], *[np.arange(n)] * 3]), np.concatenate([own[at], *of_shares]))
 
 
 def word_features(text: str) -> list[int]:
-    """Buckets of the tokens, each once, in order."""
-    return sorted({xxhash.xxh3_64_intdigest(t) % BUCKETS for t in tokens(text)})
+    """Buckets of the word view of a text, each once, in order."""
+    return word_view(pa.array([text], pa.string()))[1].tolist()
 
 
 def _slot(name: str | None, size: int) -> int:
@@ -153,20 +221,35 @@ class View:
 
 
 class Scorer:
-    """The views of every target as look-up tables; lives in a task."""
+    """The views of every target as look-up tables of the features that any of them weighs; lives in a task."""
 
     def __init__(self, views: dict[str, tuple[View, View]]):
-        self.views = {t: [(v.table(size), v.bias) for v, size in zip(pair, (BUCKETS, _META_FEATURES))] for t, pair in views.items()}
-
-    def __call__(self, target: str, view: int, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-        weights, bias = self.views[target][view]
-        return np.bincount(row, weights[feature], minlength=n) + bias
+        self.views, self.places = views, []
+        for view, size in ((TEXT, BUCKETS), (META, _META_FEATURES)):
+            used = np.unique(np.concatenate([np.zeros(0, np.int64), *[pair[view].features for pair in views.values()]]))
+            place = np.zeros(size, np.min_scalar_type(len(used)))  # from 1; 0: no weight
+            place[used] = np.arange(1, len(used) + 1)
+            self.places.append((place, {t: np.append(0, pair[view].table(size)[used]) for t, pair in views.items()}))
+
+    def __call__(self, pairs: list[tuple[np.ndarray, np.ndarray]], n: int) -> dict[str, list[np.ndarray]]:
+        """Scores of ``n`` rows with these (row, feature) pairs of both views, by target and view."""
+        out = {t: [] for t in self.views}
+        for view, (row, feature) in enumerate(pairs if out else []):
+            place, weights = self.places[view]
+            found = place[feature]
+            at = np.flatnonzero(found)
+            found, row = found[at], row[at]
+            for target, scores in out.items():
+                scores.append(np.bincount(row, weights[target][found], minlength=n) + self.views[target][view].bias)
+        return out
 
 
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of a column of lists."""
-    lengths = np.diff(column.offsets.to_numpy())
-    return np.repeat(np.arange(len(column)), lengths), column.flatten().to_numpy().astype(np.int64)
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of a column of lists or of packed features."""
+    if pa.types.is_list(column.type):
+        lengths = np.diff(column.offsets.to_numpy())
+        return np.repeat(np.arange(len(column), dtype=np.int32), lengths), column.flatten().to_numpy().astype(np.int32)
+    return unpack_rows(column)
 
 
 def lessons(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -175,6 +258,12 @@ def lessons(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Of several labels of a lesson the lowest quality and the highest toxicity count; labels meet ids only, and
     features are shuffled once, two bytes each, after copies were merged where they were read. Null ids have no labels.
     """
+    return packed_lessons(docs, labels).mapInArrow(_unpacked, "_lesson binary, words array<int>, meta array<int>, quality int, toxic int")
+
+
+def packed_lessons(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lessons with their word features packed, as training and scores read them: a lesson is one value then,
+    not some hundreds, on its way from and to Python."""
     known = _with_lesson(docs)
     marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     marked = (
@@ -184,8 +273,7 @@ def lessons(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = known.select("_lesson", "text", "lang", "source", "n_chars").mapInArrow(
         _lesson_rows, "_lesson binary, words binary, meta array<int>")
     once = held.groupBy("_lesson").agg(F.first("words").alias("words"), F.first("meta").alias("meta"))
-    return once.join(marked, "_lesson", "left").mapInArrow(  # unpacked last: the join goes by the shuffle of the copies
-        _unpacked, "_lesson binary, words array<int>, meta array<int>, quality int, toxic int")
+    return once.join(marked, "_lesson", "left")
 
 
 def _with_lesson(docs: DataFrame) -> DataFrame:
@@ -199,15 +287,15 @@ def _meta(docs: DataFrame) -> list:
     return [(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
 
 
-def _features(batch: pa.RecordBatch) -> list[pa.Array]:
-    texts = [t or "" for t in batch.column("text").to_pylist()]
-    meta = [batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")]
-    return [pa.array([word_features(t) for t in texts], pa.list_(pa.int32())),
-            pa.array([meta_features(*own, text) for *own, text in zip(*meta, texts)], pa.list_(pa.int32()))]
+def _features(batch: pa.RecordBatch) -> tuple[tuple[np.ndarray, np.ndarray], pa.Array]:
+    """(row, feature) of the word view, and a column of the metadata view."""
+    texts = batch.column("text").fill_null("")
+    own = zip(*[batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")], texts.to_pylist())
+    return word_view(texts), pa.array([meta_features(*x) for x in own], pa.list_(pa.int32()))
 
 
 def _lesson_rows(reader):
-    for batch in batches(reader, 2 << 20):
+    for batch in batches(reader, 4 << 20):
         seen, keep = set(), []
         for i, key in enumerate(batch.column("_lesson").to_pylist()):
             if key not in seen:
@@ -215,27 +303,53 @@ def _lesson_rows(reader):
                 keep.append(i)
         batch = batch.take(pa.array(keep))
         words, meta = _features(batch)
-        yield pa.record_batch([batch.column("_lesson").cast(pa.binary()), pa.array([pack(own.values.to_numpy()) for own in words], pa.binary()), meta],
-                              names=["_lesson", "words", "meta"])
+        yield pa.record_batch([batch.column("_lesson").cast(pa.binary()), pack_rows(*words, batch.num_rows), meta], names=["_lesson", "words", "meta"])
+
+
+def _heads(starts: np.ndarray) -> np.ndarray:
+    """Places of the 16-bit halves that begin packed rows."""
+    return starts[:, None] + np.arange(2 * _UPPERS)
+
+
+def pack_rows(row: np.ndarray, feature: np.ndarray, n: int) -> pa.Array:
+    """Ascending word features of rows in little space: how many have each upper half, then their lower halves of 16 bits."""
+    upper = np.bincount(row.astype(np.int64) * _UPPERS + (feature >> 16), minlength=n * _UPPERS).reshape(n, _UPPERS)
+    ends = np.cumsum([0, *upper.sum(axis=1) + 2 * _UPPERS])
+    halves, lower = np.zeros(ends[-1], "<u2"), np.ones(ends[-1], bool)
+    lower[_heads(ends[:-1])] = False
+    halves[lower] = feature & 0xFFFF
+    halves[_heads(ends[:-1])] = upper.astype("<i4").view("<u2")
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(halves)])
+
+
+def unpack_rows(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of packed rows."""
+    n = len(packed)
+    if not n:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset:packed.offset + n + 1]
+    halves = np.frombuffer(packed.buffers()[2], "<u2", (offsets[-1] - offsets[0]) // 2, offsets[0])
+    heads, lower = _heads((offsets[:-1] - offsets[0]) // 2), np.ones(len(halves), bool)
+    lower[heads] = False
+    upper = halves[heads].view("<i4")
+    high = np.repeat(np.tile(np.arange(_UPPERS, dtype=np.int32) << 16, n), upper.ravel())
+    return np.repeat(np.arange(n, dtype=np.int32), upper.sum(axis=1)), high | halves[lower]
 
 
 def pack(features: np.ndarray) -> bytes:
-    """Ascending word features in little space: how many have each upper half, then their lower halves of 16 bits."""
-    upper = np.bincount(features >> 16, minlength=BUCKETS >> 16)
-    return upper.astype("<i4").tobytes() + (features & 0xFFFF).astype("<u2").tobytes()
+    """One packed row."""
+    return pack_rows(np.zeros(len(features), np.int32), features, 1)[0].as_py()
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    upper = np.frombuffer(packed, "<i4", BUCKETS >> 16)
-    lower = np.frombuffer(packed, "<u2", offset=upper.nbytes)
-    return (np.repeat(np.arange(len(upper), dtype=np.int32), upper) << 16) + lower.astype(np.int32)
+    return unpack_rows(pa.array([packed], pa.binary()))[1]
 
 
 def _unpacked(reader):
     for batch in batches(reader, 2 << 20):
-        words = [unpack(own) for own in batch.column("words").to_pylist()]
-        ends = np.cumsum([0, *map(len, words)])
-        yield pa.record_batch([batch.column("_lesson"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(words), pa.int32())),
+        row, feature = unpack_rows(batch.column("words"))
+        ends = np.cumsum([0, *np.bincount(row, minlength=batch.num_rows)])
+        yield pa.record_batch([batch.column("_lesson"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32())),
                                *map(batch.column, ("meta", "quality", "toxic"))], names=["_lesson", "words", "meta", "quality", "toxic"])
 
 
@@ -249,12 +363,14 @@ def _marks(batch: pa.RecordBatch, target: str) -> np.ndarray:
     return batch.column(target).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _scores(reader, views):
-    """Batches with the (row, feature) pairs of both views and their scores of every target there are views of."""
+def _scores(reader, views, only=None):
+    """Batches, of ``only`` these rows, with the (row, feature) pairs of both views and their scores of every target there
+    are views of."""
     scorer = Scorer(views)
-    for batch in batches(reader):
+    for batch in batches(reader, 4 << 20):
+        batch = batch.filter(pa.array(only(batch))) if only else batch
         pairs = [_flat(batch.column("words")), _flat(batch.column("meta"))]
-        yield batch, pairs, {t: [scorer(t, v, *pairs[v], batch.num_rows) for v in (TEXT, META)] for t in scorer.views}
+        yield batch, pairs, scorer(pairs, batch.num_rows)
 
 
 def _histogram(shared):
@@ -310,7 +426,8 @@ def _lessons_for(batch: pa.RecordBatch, aside: np.ndarray, scores: dict, limits:
 
 
 def _count(shared):
-    """Arrow function: lessons of either class that hold a feature, by target and view; feature -1 counts the lessons."""
+    """Arrow function: lessons of either class that hold a feature, by target, view and range of ``PART`` features; feature
+    -1 counts the lessons."""
     def run(reader):
         views, limits = shared.value
         sums = {}
@@ -319,24 +436,38 @@ def _count(shared):
             for target in TARGETS:
                 for view, size in ((TEXT, BUCKETS), (META, _META_FEATURES)):
                     label, weight = _lessons_for(batch, aside, scores, limits, target, view)
+                    if not weight.any():
+                        continue
+                    own = sums.setdefault((target, view), np.zeros((2, size + 1)))  # the lessons come first
+                    own[:, 0] += [weight[label == value].sum() for value in (0, 1)]
                     row, feature = pairs[view]
-                    for value in (0, 1):
-                        own = weight * (label == value)
-                        if own.any():
-                            at = (target, view, value)
-                            if at not in sums:
-                                sums[at] = np.zeros(size + 1)
-                            inside = own[row] > 0
-                            np.add.at(sums[at], feature[inside], own[row[inside]])
-                            sums[at][size] += own.sum()
-        for (target, view, value), n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.record_batch(
-                [pa.array([target] * len(at)), pa.array([view] * len(at), pa.int32()), pa.array(np.where(at == len(n) - 1, -1, at)),
-                 pa.array(n[at] * (value == 0)), pa.array(n[at] * (value == 1))], names=["target", "view", "feature", "n0", "n1"])
+                    at = np.flatnonzero((weight > 0)[row])
+                    row = row[at]
+                    np.add.at(own, (label[row], feature[at] + 1), weight[row])
+        for (target, view), own in sums.items():
+            feature = np.flatnonzero(own.any(axis=0)) - 1
+            part, start = np.unique(feature // PART, return_index=True)
+            ends = pa.array([*start, len(feature)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (feature, own[0, feature + 1], own[1, feature + 1])]
+            yield pa.record_batch([pa.array([target] * len(part)), pa.array([view] * len(part), pa.int32()), pa.array(part), *lists],
+                                  names=["target", "view", "part", "feature", "n0", "n1"])
     return run
 
 
+def _add_counts(reader):
+    """Arrow function: counts of the features of each range, one row a feature."""
+    totals = {}
+    for batch in reader:
+        for target, view, part, *lists in zip(*[batch.column(i).to_pylist() for i in range(3)], *[batch.column(i) for i in (3, 4, 5)]):
+            feature, n0, n1 = (own.values.to_numpy() for own in lists)
+            own = totals.setdefault((target, view, part), np.zeros((2, PART)))
+            own[:, feature - part * PART] += [n0, n1]
+    for (target, view, part), own in totals.items():
+        at = np.flatnonzero(own.any(axis=0))
+        yield pa.record_batch([pa.array([target] * len(at)), pa.array([view] * len(at), pa.int32()), pa.array(at + part * PART),
+                               pa.array(own[0, at]), pa.array(own[1, at])], names=["target", "view", "feature", "n0", "n1"])
+
+
 def _multiply(shared):
     """Arrow function: sums of products of the chosen features, a constant and the goal, the upper triangle in parts."""
     def run(reader):
@@ -354,10 +485,12 @@ def _multiply(shared):
                 use = np.flatnonzero(weight)
                 if not len(use):
                     continue
-                at = np.full(batch.num_rows, -1)
+                at = np.zeros(batch.num_rows, np.int32)
                 at[use] = np.arange(len(use))
-                row, column = at[pairs[view][0]], place[target, view][pairs[view][1]]
-                inside = (row >= 0) & (column >= 0)
+                row, feature = pairs[view]
+                own = np.flatnonzero((weight > 0)[row])
+                row, column = at[row[own]], place[target, view][feature[own]]
+                inside = column >= 0
                 x = np.zeros((len(use), len(features) + 2))
                 x[row[inside], column[inside]] = 1
                 x[:, -2], x[:, -1] = 1, 2 * label[use] - 1
@@ -387,8 +520,14 @@ def _add(reader):
 def counts(known: DataFrame, views: dict, limits: dict) -> DataFrame:
     """What the views may learn from all lessons: (target, view, feature, n0, n1)."""
     shared = known.sparkSession.sparkContext.broadcast((views, limits))  # SELECTED words and the metadata features
-    return known.mapInArrow(_count(shared), "target string, view int, feature bigint, n0 double, n1 double").groupBy(
-        "target", "view", "feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = _teaching(known, views).mapInArrow(
+        _count(shared), "target string, view int, part bigint, feature array<bigint>, n0 array<double>, n1 array<double>")
+    return found.repartition("target", "view", "part").mapInArrow(_add_counts, "target string, view int, feature bigint, n0 double, n1 double")
+
+
+def _teaching(known: DataFrame, views: dict) -> DataFrame:
+    """Lessons that can teach: without ``views`` to label the others, those with labels."""
+    return known if views else known.where(F.coalesce(*TARGETS).isNotNull())
 
 
 def choose(learnt: DataFrame) -> dict[tuple[str, int], np.ndarray]:
@@ -417,7 +556,7 @@ def fit(known: DataFrame, views: dict, limits: dict) -> dict[str, tuple[View, Vi
     chosen = choose(written(counts(known, views, limits), "learnt"))
     shared = known.sparkSession.sparkContext.broadcast((views, limits, chosen))
     shape = "target string, view int, part int, sums array<double>"
-    found = known.mapInArrow(_multiply(shared), shape).repartition("target", "view", "part").mapInArrow(_add, shape).collect()
+    found = _teaching(known, views).mapInArrow(_multiply(shared), shape).repartition("target", "view", "part").mapInArrow(_add, shape).collect()
     products = {}
     for at, features in chosen.items():
         n = len(features) + 2
@@ -428,16 +567,13 @@ def fit(known: DataFrame, views: dict, limits: dict) -> dict[str, tuple[View, Vi
     return {t: tuple(View(chosen[t, v], products[t, v]) for v in (TEXT, META)) for t in TARGETS if (t, TEXT) in chosen}
 
 
-def _held_scores(shared):
+def _held_scores(shared, target: str):
+    """Arrow function: both views' scores of the lessons kept aside; all have labels."""
     def run(reader):
-        for batch, _, scores in _scores(reader, shared.value):
-            aside = _kept_aside(batch)
-            for target, (text, meta) in scores.items():
-                mark = _marks(batch, target)
-                at = np.flatnonzero(aside & (mark >= 0))
-                yield pa.record_batch([batch.column("_lesson").take(pa.array(at)).cast(pa.binary()), pa.array([target] * len(at), pa.string()),
-                                       pa.array(mark[at]), pa.array(text[at]), pa.array(meta[at])],
-                                      names=["_lesson", "target", "mark", "by_text", "by_meta"])
+        for batch, _, scores in _scores(reader, shared.value, _kept_aside):
+            text, meta = scores[target]
+            yield pa.record_batch([batch.column("_lesson").cast(pa.binary()), pa.array(_marks(batch, target)), pa.array(text), pa.array(meta)],
+                                  names=["_lesson", "mark", "by_text", "by_meta"])
     return run
 
 
@@ -460,11 +596,12 @@ class Model:
 
 def calibrate(known: DataFrame, views: dict, labelled: int) -> dict:
     """Per target with both classes among the lessons kept aside: calibrations of both views and how they combine."""
-    shared = known.sparkSession.sparkContext.broadcast(views)
-    held = known.mapInArrow(_held_scores(shared), "_lesson binary, target string, mark bigint, by_text double, by_meta double")
     parts = {}
-    for target in views:
-        rows = held.where(F.col("target") == target).orderBy("_lesson").limit(labelled).collect()
+    for target, pair in views.items():
+        shared = known.sparkSession.sparkContext.broadcast({target: pair})
+        held = known.where(F.col(target).isNotNull()).mapInArrow(
+            _held_scores(shared, target), "_lesson binary, mark bigint, by_text double, by_meta double")
+        rows = held.orderBy("_lesson").limit(labelled).collect()
         y = np.array([r["mark"] for r in rows], float)
         if len(set(y)) < 2:
             continue
@@ -477,7 +614,7 @@ def calibrate(known: DataFrame, views: dict, labelled: int) -> dict:
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
     """Fit on all lessons; the driver gets sums over the features kept, histograms and ``labelled`` scores of each target."""
-    return _fitted(written(lessons(docs, labels), "lessons"), labelled, rounds)
+    return _fitted(written(packed_lessons(docs, labels), "lessons"), labelled, rounds)
 
 
 def _fitted(known: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
@@ -509,11 +646,12 @@ def _apply(shared, key: str):
         model = shared.value
         scorer = Scorer(model.views)
         for batch in batches(reader, 2 << 20):
-            pairs = [_flat(column) for column in ([batch.column("words"), batch.column("meta")] if key == "_lesson" else _features(batch))]
+            words, meta = (_flat(batch.column("words")), batch.column("meta")) if key == "_lesson" else _features(batch)
+            pairs = [words, _flat(meta)]
             columns, names = [batch.column(key)], [key]
+            scores = scorer(pairs, batch.num_rows)
             for target in TARGETS:
-                scores = [scorer(target, v, *pairs[v], batch.num_rows) for v in (TEXT, META)] if target in scorer.views else None
-                for name, odds in zip((f"{target}_by_text", f"{target}_by_metadata", target), model.log_odds(target, scores, batch.num_rows)):
+                for name, odds in zip((f"{target}_by_text", f"{target}_by_metadata", target), model.log_odds(target, scores.get(target), batch.num_rows)):
                     columns.append(pa.array(1 / (1 + np.exp(-np.clip(odds, -50, 50)))))
                     names.append(name)
             columns.append(pa.array((np.asarray(columns[3]) >= 0.5) & (np.asarray(columns[6]) < 0.5)))
@@ -533,7 +671,7 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
     if model is not None:
         kind = docs.schema["doc_id"].dataType.simpleString()
         return docs.select("doc_id", "text", *_meta(docs)).mapInArrow(_apply(context.broadcast(model), "doc_id"), f"doc_id {kind}, {_SCORES}")
-    known = written(lessons(docs, labels), "lessons")
+    known = written(packed_lessons(docs, labels), "lessons")
     shared = context.broadcast(_fitted(known))  # SELECTED words a target
     scored = known.select("_lesson", "words", "meta").mapInArrow(_apply(shared, "_lesson"), f"_lesson binary, {_SCORES}")
     return _with_lesson(docs).select("doc_id", "_lesson").join(scored, "_lesson", "left").drop("_lesson")
