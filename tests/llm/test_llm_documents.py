@@ -160,6 +160,47 @@ def test_no_bigram_is_cut(spark):
     assert quality_rules.kneser_ney(counted)[0].count() == 400 * 400
 
 
+def _scores(texts):
+    """Log perplexities of the texts of one language under the model of all words and bigrams, in plain Python."""
+    three = {(a, b, c) for t in texts for a, b, c in zip(["<<", "<", *WORDS(t)], ["<", *WORDS(t)], WORDS(t))}
+    count = collections.Counter((b, c) for _, b, c in three)
+    before = collections.Counter(c for _, c in count)
+
+    def cuts(counts):
+        n = [0, *(sum(x == i for x in counts) for i in (1, 2, 3, 4))]
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        return [min(max(i - (i + 1) * y * n[i + 1] / max(n[i], 1), 0.05), i - 0.05) for i in (1, 2, 3)]
+
+    high, low = cuts(count.values()), cuts(before.values())
+    left = sum(low[min(n, 3) - 1] for n in before.values()) / len(count) / len(before)
+    total, taken = collections.Counter(), collections.Counter()
+    for (u, _), n in count.items():
+        total[u] += n
+        taken[u] += high[min(n, 3) - 1]
+
+    def logp(u, w):
+        p = (before[w] - low[min(before[w], 3) - 1]) / len(count) + left
+        return math.log((count[u, w] - high[min(count[u, w], 3) - 1]) / total[u] + taken[u] / total[u] * p)
+
+    return [-sum(logp(u, w) for u, w in zip(["<", *WORDS(t)], WORDS(t))) / max(len(WORDS(t)), 1) for t in texts]
+
+
+def test_perplexity_is_that_of_all_words_and_bigrams(spark, monkeypatch):
+    """Two languages that share words, of over 1,023 words each, in many parts and several lots, equal plain Python."""
+    import random
+    rng = random.Random(3)
+    texts = {lang: [" ".join(f"w{int(rng.paretovariate(0.2)) % 5000}é" for _ in range(rng.choice([1, 2, 100, 300]))) for _ in range(60)] for lang in ("en", "fr")}
+    texts["en"] += [" \n" + texts["en"][3] + "\v", texts["fr"][5]]
+    assert all(len(set(WORDS(" ".join(t)))) > 1023 for t in texts.values())
+    monkeypatch.setattr(quality_rules, "_PART", 4000, raising=False)
+    data = [(100 * n + i, t, lang) for n, (lang, own) in enumerate(texts.items()) for i, t in enumerate(own)]
+    got = quality_rules.judge(spark.createDataFrame(data, "doc_id bigint, text string, lang string").repartition(5)).collect()
+    found = {r.doc_id: r.log_perplexity for r in got}
+    for n, own in enumerate(texts.values()):
+        for i, x in enumerate(_scores(own)):
+            assert abs(found[100 * n + i] - x) < 1e-9
+
+
 # --- near duplicates --------------------------------------------------------------------------------------------
 
 def _components(data):
