@@ -201,6 +201,32 @@ def test_perplexity_is_that_of_all_words_and_bigrams(spark, monkeypatch):
             assert abs(found[100 * n + i] - x) < 1e-9
 
 
+def test_pairs_of_rare_words_count_in_the_pipeline(spark):
+    """Texts that differ in the order of words beyond the 1,023 most frequent alone, in the pipeline's first stage."""
+    import random
+
+    import corpus_pipeline
+    rng = random.Random(8)
+    often, rare = [f"o{i}" for i in range(1023)] * 6, [[f"r{i}{x}" for x in "abc"] for i in range(1500)]
+    data = []
+    rng.shuffle(often)
+    for i in range(60):
+        own = [rare[(100 * i + j) % 1500] for j in range(100)]  # each of the 1,500 runs of three words is in four texts
+        rng.shuffle(own)
+        data.append((i, " ".join(" ".join([o, *three]) for o, three in zip(often[100 * i:100 * i + 100], own)), "en"))
+    for i in range(3):  # the texts 0, 1 and 2, the rare words in places of other rare words
+        words = data[i][1].split(" ")
+        mixed = [w for w in words if w[0] == "r"]
+        rng.shuffle(mixed)
+        left = iter(mixed)
+        data.append((100 + i, " ".join(next(left) if w[0] == "r" else w for w in words), "en"))
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    found = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert all(found[100 + i].log_perplexity > found[i].log_perplexity + 0.5 for i in range(3))
+    assert {r.doc_id for r in corpus_pipeline.quality(spark, docs, "").collect()} == set(range(60))
+
+
 # --- near duplicates --------------------------------------------------------------------------------------------
 
 def _components(data):
